@@ -64,30 +64,53 @@ def _sum(edges: Column, term) -> Column:
     return F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + term(e))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def signed_area(ring) -> Column:
     """Shoelace area of projected ``array<struct<x,y>>``; counter-clockwise is positive."""
-    return _sum(_edges(_col(ring)), lambda e: e.getField("cross")) / F.lit(2.0)
+    return _let(_col(ring), lambda r: _sum(_edges(r), lambda e: e.getField("cross")) / F.lit(2.0))
 
 
 def ring_area(ring) -> Column:
     return F.abs(signed_area(ring))
 
 
+def _centroid(ring: Column, edges: Column) -> Column:
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("w"), zero.alias("x"), zero.alias("y"))
+
+    def add(acc, e):
+        cross = e.getField("cross")
+        return F.struct(
+            (acc.getField("w") + cross).alias("w"),
+            (acc.getField("x") + (e.getField("x0") + e.getField("x1")) * cross).alias("x"),
+            (acc.getField("y") + (e.getField("y0") + e.getField("y1")) * cross).alias("y"),
+        )
+
+    o, n = F.element_at(ring, 1), F.size(ring).cast("double")
+
+    def vertex_mean(c: str) -> Column:
+        return F.aggregate(ring, zero, lambda a, p: a + p.getField(c)) / n
+
+
+    def place(acc):
+        area3 = F.lit(3.0) * acc.getField("w")
+        return F.struct(
+            *[
+                F.when(area3 != 0, o.getField(c) + acc.getField(c) / area3).otherwise(vertex_mean(c)).alias(c)
+                for c in ("x", "y")
+            ]
+        )
+
+    return F.aggregate(edges, start, add, place)
+
+
 def ring_centroid(ring) -> Column:
     """Area centroid as ``struct<x,y>``; the vertex mean for a ring without area."""
-    ring = _col(ring)
-    edges = _edges(ring)
-    twice = _sum(edges, lambda e: e.getField("cross"))
-    cx = _sum(edges, lambda e: (e.getField("x0") + e.getField("x1")) * e.getField("cross"))
-    cy = _sum(edges, lambda e: (e.getField("y0") + e.getField("y1")) * e.getField("cross"))
-    o = F.element_at(ring, 1)
-    n = F.size(ring).cast("double")
-    flat_x = F.aggregate(ring, F.lit(0.0), lambda a, p: a + p.getField("x")) / n
-    flat_y = F.aggregate(ring, F.lit(0.0), lambda a, p: a + p.getField("y")) / n
-    return F.struct(
-        F.when(twice != 0, o.getField("x") + cx / (F.lit(3.0) * twice)).otherwise(flat_x).alias("x"),
-        F.when(twice != 0, o.getField("y") + cy / (F.lit(3.0) * twice)).otherwise(flat_y).alias("y"),
-    )
+    return _let(_col(ring), lambda r: _centroid(r, _edges(r)))
 
 
 def point_distance(x0, y0, x1, y1) -> Column:
@@ -133,6 +156,9 @@ def hex_cell(x, y, x0, x1, y0, y1, gridsize: int = 30) -> Column:
     """
     x, y, x0, x1, y0, y1 = (_col(c) for c in (x, y, x0, x1, y0, y1))
     ny = int(gridsize / math.sqrt(3.0))
+    # A hair of padding keeps the extreme points off the lattice edge.
+    pad_x, pad_y = (x1 - x0) * F.lit(1e-9), (y1 - y0) * F.lit(1e-9)
+    x0, x1, y0, y1 = x0 - pad_x, x1 + pad_x, y0 - pad_y, y1 + pad_y
     sx = (x1 - x0) / F.lit(float(gridsize))
     sy = (y1 - y0) / F.lit(float(ny))
     u, v = (x - x0) / sx, (y - y0) / sy

@@ -61,3 +61,9 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, name: str) -> str:
     """A new, so far unused folder for one run of ``name``."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ready_checkpoints(spark: SparkSession) -> None:
+    """Give ``DataFrame.checkpoint`` its folder where the session names none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
