@@ -91,7 +91,7 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
 
 def dust(spark: SparkSession, sf: str) -> DataFrame:
     return readings(spark, sf).filter(F.col("event_type").isin("click", "view")).select(
-        F.col("sensor_id").alias("sds_sensor"), "ts", F.col("value").alias("P1"), (F.col("value") * 0.5).alias("P2")
+        F.col("sensor_id").alias("sds_sensor"), "ts", F.col("value").alias("P1"), (F.col("value") / 3).alias("P2")
     )
 
 
@@ -215,7 +215,7 @@ def _grid_sql(name: str, source: str, key: str, values: list[str]) -> dict[str,
 
 VIEWS: dict[str, str] = {
     "readings": "SELECT user_id AS sensor_id, ts, event_type, value FROM events",
-    "dust": "SELECT user_id AS sds_sensor, ts, value AS P1, value * 0.5 AS P2 FROM events "
+    "dust": "SELECT user_id AS sds_sensor, ts, value AS P1, value / 3 AS P2 FROM events "
     "WHERE event_type IN ('click', 'view')",
     "meteo": f"SELECT user_id + {METEO_ID_BASE} AS bme_sensor, ts, 98000.0 + value * 10 AS pressure, "
     "value / 10 AS temperature, 100.0 - value / 10 AS humidity FROM events "

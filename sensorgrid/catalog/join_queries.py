@@ -184,8 +184,8 @@ def grid(spark, sf):
 @query(
     "j13_missing_elevation_places",
     "SELECT DISTINCT p.lat, p.lon FROM pairs p WHERE NOT EXISTS "
-    "(SELECT 1 FROM ground g WHERE g.lat = p.lat AND g.lon = p.lon AND g.elevation > 50)",
+    "(SELECT 1 FROM ground g WHERE g.lat = p.lat AND g.lon = p.lon AND g.elevation > 98)",
     "pairs ground",
 )
 def no_elevation(spark, sf):
-    return joins.missing_elevation(pairs(spark, sf), ground(spark, sf).filter(F.col("elevation") > 50))
+    return joins.missing_elevation(pairs(spark, sf), ground(spark, sf).filter(F.col("elevation") > 98))

@@ -117,7 +117,7 @@ def url_parts(spark, sf):
 @query(
     "c10_link_without_parent_parts",
     r"""SELECT page_id, array_to_string(list_filter(string_split(regexp_extract('go <a href=' || url || '/../x> end', '(https?://[^\s<>"''#]+)', 1), '/'),
-    p -> p <> '..'), '/') AS link FROM pages""",
+    lambda p: p <> '..'), '/') AS link FROM pages""",
 )
 def download_link(spark, sf):
     from sensorgrid.sources.listing import download_links

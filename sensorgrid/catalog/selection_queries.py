@@ -173,12 +173,12 @@ def features(spark, sf):
 
 @query(
     "f12_replaced_target",
-    "SELECT timestamp, lat, lon, sds_sensor, ln(P1) AS P1 FROM (SELECT * EXCLUDE (P2) FROM labelled)",
+    "SELECT timestamp, lat, lon, sds_sensor, round(ln(P1), 6) AS P1 FROM (SELECT * EXCLUDE (P2) FROM labelled)",
     "labelled",
 )
 def target(spark, sf):
     df = labelled(spark, sf).drop("P2")
-    return select.replace_y(df, F.ln("P1"))
+    return rounded(select.replace_y(df, F.ln("P1")), 6, "P1")
 
 
 @query(

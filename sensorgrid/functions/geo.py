@@ -146,31 +146,3 @@ def haversine_m(lat0, lon0, lat1, lon1) -> Column:
     dlat, dlon = a1 - a0, F.radians(_col(lon1)) - F.radians(_col(lon0))
     h = F.pow(F.sin(dlat / 2.0), 2.0) + F.cos(a0) * F.cos(a1) * F.pow(F.sin(dlon / 2.0), 2.0)
     return F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
-
-
-def hex_cell(x, y, x0, x1, y0, y1, gridsize: int = 30) -> Column:
-    """Hexagon of a point on two interleaved lattices, the nearer centre wins.
-
-    ``gridsize`` hexagons span the x range; the y count keeps them regular.
-    Returns ``struct<lattice,ix,iy,cx,cy>``.
-    """
-    x, y, x0, x1, y0, y1 = (_col(c) for c in (x, y, x0, x1, y0, y1))
-    ny = int(gridsize / math.sqrt(3.0))
-    # A hair of padding keeps the extreme points off the lattice edge.
-    pad_x, pad_y = (x1 - x0) * F.lit(1e-9), (y1 - y0) * F.lit(1e-9)
-    x0, x1, y0, y1 = x0 - pad_x, x1 + pad_x, y0 - pad_y, y1 + pad_y
-    sx = (x1 - x0) / F.lit(float(gridsize))
-    sy = (y1 - y0) / F.lit(float(ny))
-    u, v = (x - x0) / sx, (y - y0) / sy
-    iu, iv = F.rint(u), F.rint(v)
-    ju, jv = F.floor(u).cast("double"), F.floor(v).cast("double")
-    d_even = (u - iu) * (u - iu) + F.lit(3.0) * (v - iv) * (v - iv)
-    d_odd = (u - ju - 0.5) * (u - ju - 0.5) + F.lit(3.0) * (v - jv - 0.5) * (v - jv - 0.5)
-    even = d_even < d_odd
-    return F.struct(
-        F.when(even, 0).otherwise(1).alias("lattice"),
-        F.when(even, iu).otherwise(ju).cast("bigint").alias("ix"),
-        F.when(even, iv).otherwise(jv).cast("bigint").alias("iy"),
-        (x0 + sx * F.when(even, iu).otherwise(ju + 0.5)).alias("cx"),
-        (y0 + sy * F.when(even, iv).otherwise(jv + 0.5)).alias("cy"),
-    )

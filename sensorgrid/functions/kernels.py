@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column
@@ -102,6 +102,25 @@ class Periodic(Kernel):
         }
 
 
+@dataclass(frozen=True)
+class Constant(Kernel):
+    """The same covariance everywhere."""
+
+    variance: float = 1.0
+
+    def matrix(self, a, b):
+        return np.full((a.shape[0], b.shape[0]), self.variance)
+
+    def diagonal(self, a):
+        return np.full(a.shape[0], self.variance)
+
+    def column(self, a, b):
+        return F.lit(float(self.variance))
+
+    def as_dict(self):
+        return {"type": "constant", "variance": self.variance}
+
+
 @dataclass(frozen=True)
 class Combined(Kernel):
     """Sum or product of kernels."""
@@ -134,6 +153,8 @@ def kernel_from_dict(d: dict) -> Kernel:
         return Matern32(tuple(d["dims"]), d["lengthscale"], d["variance"])
     if d["type"] == "periodic":
         return Periodic(tuple(d["dims"]), d["period"], d["lengthscale"], d["variance"])
+    if d["type"] == "constant":
+        return Constant(d["variance"])
     return Combined(d["type"], tuple(kernel_from_dict(p) for p in d["parts"]))
 
 
@@ -172,5 +193,6 @@ def get_kernel(name: str) -> Kernel:
     return kernels[name]()
 
 
-def scaled(kernel: Matern32, factor: float) -> Matern32:
-    return replace(kernel, lengthscale=kernel.lengthscale * factor)
+def scaled(kernel: Kernel, factor: float) -> Kernel:
+    """The kernel times a constant variance."""
+    return kernel if factor == 1.0 else Constant(factor) * kernel

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorgrid.config import DEFAULT_LOAD_DAYS
-from sensorgrid.functions import geo, scalar
+from sensorgrid.functions import scalar
 from sensorgrid.operators.resample import numeric_columns
 
 # --- fixed values: feature groups of the correlation study ---------------------------
@@ -130,14 +131,40 @@ def at_latest(df: DataFrame, time: str = "timestamp") -> DataFrame:
 def hexagon_mean(
     df: DataFrame, values: Sequence[str], x: str = "lon", y: str = "lat", gridsize: int = 30
 ) -> DataFrame:
-    """Mean of ``values`` and row count per hexagon of the extent of the data."""
+    """Mean of ``values`` and row count per hexagon of the extent of the data.
+
+    ``gridsize`` hexagons span the x range and as many the y range as keeps them
+    regular.  Their centres form two interleaved lattices; a point belongs to the
+    nearer of the two centres next to it.
+    """
+    rows = int(gridsize / math.sqrt(3.0))
     extent = df.agg(F.struct(
         F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")
     )).scalar()
-    cell = geo.hex_cell(x, y, extent["x0"], extent["x1"], extent["y0"], extent["y1"], gridsize)
+
+    def place(axis: str, cells: int, low: str, high: str):
+        width = F.col("_e")[high] - F.col("_e")[low]
+        pad = width * F.lit(1e-9)  # keeps the extreme points off the lattice edge
+        start, stop = F.col("_e")[low] - pad, F.col("_e")[high] + pad
+        return (F.col(axis) - start) / ((stop - start) / F.lit(float(cells)))
+
+    def off(axis: str, centre) -> Column:
+        return (F.col(axis) - centre) * (F.col(axis) - centre)
+
+    placed = df.select(F.col(x), F.col(y), *values, extent.alias("_e")).withColumns(
+        {"_u": place(x, gridsize, "x0", "x1"), "_v": place(y, rows, "y0", "y1")}
+    )
+    near = {"_iu": F.rint("_u"), "_iv": F.rint("_v"), "_ju": F.floor("_u"), "_jv": F.floor("_v")}
+    to_even = off("_u", F.col("_iu")) + F.lit(3.0) * off("_v", F.col("_iv"))
+    to_odd = off("_u", F.col("_ju") + 0.5) + F.lit(3.0) * off("_v", F.col("_jv") + 0.5)
+    cells = placed.withColumns(near).withColumn("_even", to_even < to_odd)
     return (
-        df.withColumn("_cell", cell)
-        .select("_cell.lattice", "_cell.ix", "_cell.iy", *values)
+        cells.select(
+            F.when(F.col("_even"), 0).otherwise(1).alias("lattice"),
+            F.when(F.col("_even"), F.col("_iu")).otherwise(F.col("_ju")).cast("bigint").alias("ix"),
+            F.when(F.col("_even"), F.col("_iv")).otherwise(F.col("_jv")).cast("bigint").alias("iy"),
+            *values,
+        )
         .groupBy("lattice", "ix", "iy")
         .agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(v) for v in values])
     )

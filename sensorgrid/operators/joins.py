@@ -62,7 +62,7 @@ def attach_dimension(
     on = list(on)
     extra = [c for c in columns if c not in on]
     if "bme_sensor" not in on and "bme_sensor" in sensors.columns:
-        ordered = F.struct("bme_sensor", *extra)
+        ordered = F.struct("bme_sensor", *[c for c in extra if c != "bme_sensor"])
         sensors = sensors.groupBy(*on).agg(F.min(ordered).alias("_d")).select(*on, "_d.*")
     return readings.join(sensors.select(*on, *extra), on, "inner")
 
