@@ -5,8 +5,11 @@ from . import (  # noqa: F401
     fold_queries,
     geo_queries,
     join_queries,
+    model_queries,
+    plan_queries,
     scalar_queries,
     selection_queries,
     source_queries,
+    stream_queries,
 )
 from .base import REGISTRY, registered_oracles, registered_queries  # noqa: F401

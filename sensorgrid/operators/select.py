@@ -136,11 +136,14 @@ def sensor_series(df: DataFrame, column: str, roles: Roles = Roles()) -> DataFra
 
 
 # --- links ------------------------------------------------------------------------
-def day_links(links: DataFrame, day: str, href: str = "href") -> DataFrame:
-    """Outdoor file links of one day, without the link to the parent folder."""
+def day_links(links: DataFrame, day: str | Column, href: str = "href") -> DataFrame:
+    """Outdoor file links of a day, without the link to the parent folder.
+
+    ``day`` is one ISO day, or the column that holds the day of each listing.
+    """
     h = F.col(href)
     return links.filter(
-        F.contains(h, F.lit(day))
+        F.contains(h, day.cast("string") if isinstance(day, Column) else F.lit(day))
         & ~F.contains(h, F.lit(text.INDOOR_MARK))
         & (F.length(text.after_date(h)) > 0)
     )
