@@ -12,7 +12,7 @@ from sensorgrid.operators import aggregates, select
 from sensorgrid.plans import studies
 
 PERIOD = StudyPeriod("2024-01-01", "2024-02-01", "2024-01-11")
-M = 60
+M = 200
 
 
 def study(spark, sf):

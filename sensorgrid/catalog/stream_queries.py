@@ -15,9 +15,10 @@ from sensorgrid.streaming import hourly, ingest, online
 
 
 def event_stream(spark, sf):
-    path = f"{sf}/events.parquet"
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    # The glob takes the table as one file or as a folder of files.
     return (
-        spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+        spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
         .select(F.col("user_id").alias("sensor_id"), F.col("ts").cast("timestamp").alias("timestamp"), "event_type", "value")
     )
 

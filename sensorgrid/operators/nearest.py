@@ -1,11 +1,11 @@
 """Exact distance to the nearest feature, by descent through a tree of cells.
 
 Features (points or segments) hang in a grid tree by their midpoint: every level
-cuts a cell into 8 x 8.  A tree node keeps the bounding box of what it holds.  All
+cuts a cell into 16 x 16.  A tree node keeps the bounding box of what it holds.  All
 points walk down together, one equi-join per level: a point keeps a node only if
 the node's nearest possible distance does not exceed the least of the farthest
 possible distances seen for that point.  No feature that could be nearest is ever
-dropped, so the result is exact, and a node fans out to at most 64 children however
+dropped, so the result is exact, and a node fans out to at most 256 children however
 dense the data is.  Copies of a place are folded before the walk.
 
 Features and tree are checkpointed once in the cluster's checkpoint folder: each
@@ -24,9 +24,10 @@ from sensorgrid.functions import geo
 from sensorgrid.operators.select import inside
 from sensorgrid.session import ready_checkpoints
 
-BITS = 3  # 8 x 8 children per node
-BROADCAST_LEVELS = 3  # at most 64 ** 3 = 262,144 nodes per kind, about 20 MB
-DEFAULT_LEVELS = 6  # 100 km / 8 ** 6 = 0.4 m
+BITS = 4  # 16 x 16 children per node
+BROADCAST_LEVELS = 2  # at most 256 ** 2 = 65,536 nodes per kind, about 5 MB
+DEFAULT_LEVELS = 4  # 100 km / 16 ** 4 = 1.5 m
+MAX_LEVELS = 7  # cell numbers of an axis have to fit into 31 bits
 
 
 def _node(cx: Column, cy: Column, up: int) -> Column:
@@ -52,8 +53,8 @@ def nearest_distances(
     both ends equal.  Returns ``x, y`` and one column per kind, NULL for a kind
     without features.
     """
-    if not 1 <= levels <= 10:
-        raise ValueError("levels must be between 1 and 10")
+    if not 1 <= levels <= MAX_LEVELS:
+        raise ValueError(f"levels must be between 1 and {MAX_LEVELS}")
     spark = places.sparkSession
     ready_checkpoints(spark)
     features = (
