@@ -11,4 +11,12 @@ streaming   the same operators on Structured Streaming
 catalog     registered queries over the driver's tables, with oracle SQL
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run on executors travel with their code, so executors need not have
+# the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

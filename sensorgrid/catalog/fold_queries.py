@@ -152,6 +152,22 @@ def random_rows(spark, sf):
     )
 
 
+L3_PART = """(SELECT sds_sensor, us FROM (SELECT sds_sensor, epoch_us(timestamp) AS us, timestamp FROM labelled) WHERE timestamp {c} TIMESTAMP '2024-01-15'
+ORDER BY md5(sds_sensor::VARCHAR || '#' || us::VARCHAR || '#42'), sds_sensor, us LIMIT {n})"""
+
+
+@query(
+    "l3_refreshed_rows",
+    "SELECT * FROM " + L3_PART.format(c="<", n=140) + " UNION ALL SELECT * FROM " + L3_PART.format(c=">=", n=60),
+    "labelled",
+)
+def refreshed_rows(spark, sf):
+    """200 rows: 70 % from before the split, 30 % from after it."""
+    df = labelled(spark, sf).withColumn("us", F.unix_micros("timestamp"))
+    old, new = select.split_at(df, "2024-01-15")
+    return sampling.refreshed_rows(old, new, 200, ["sds_sensor", "us"])
+
+
 @query("l4_preview", "SELECT event_id, ts, value FROM events ORDER BY event_id LIMIT 5")
 def preview(spark, sf):
     return select.preview(events(spark, sf).select("event_id", "ts", "value").orderBy("event_id"))

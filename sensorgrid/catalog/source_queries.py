@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorgrid.catalog.base import events, query, table
+from sensorgrid.catalog.base import events, query, rounded, table
 from sensorgrid.functions import text
-from sensorgrid.operators.select import day_links  # noqa: F401
 from sensorgrid.schemas import SDS_COLUMNS, SDS_RAW
 from sensorgrid.session import run_dir
-from sensorgrid.sources import elevation, listing, readings, station, tables
+from sensorgrid.sources import elevation, forecast, listing, readings, station, tables
+from sensorgrid.streaming import ingest
 
 S1_SQL = """
 SELECT sensor_id, sensor_type, lat, lon, ts AS timestamp, P1, P2 FROM (
@@ -140,7 +140,7 @@ def sensor_table(spark, sf):
 )
 def dataset(spark, sf):
     """Day folders; the read prunes by day."""
-    from sensorgrid.catalog.base import dust_hourly, rounded
+    from sensorgrid.catalog.base import dust_hourly
 
     path = run_dir(spark, "dataset")
     tables.write_dataset(dust_hourly(spark, sf).select("sds_sensor", F.col("hour").alias("timestamp"), "P1"), path)
@@ -154,7 +154,7 @@ def dataset(spark, sf):
     "labelled",
 )
 def metrics(spark, sf):
-    from sensorgrid.catalog.base import labelled, rounded
+    from sensorgrid.catalog.base import labelled
     from sensorgrid.operators.aggregates import fold_errors
 
     path = run_dir(spark, "metrics")
@@ -194,3 +194,95 @@ def elevations(spark, sf):
 
     body = F.to_json(F.struct(F.array(item(1.0, 0), item(2.0, 1)).alias("results"), F.lit("OK").alias("status")))
     return elevation.parse_elevation(events(spark, sf).select("event_id", body.alias("body")), order="event_id")
+
+
+# --- forecast pages: one per day, the hours of the day as columns -------------------------
+PAGE_SQL = """
+WITH h AS (SELECT ts::DATE AS day, extract('hour' FROM ts)::INT AS h, count(*) AS n, max(value) AS top, min(user_id) AS low
+FROM events GROUP BY 1, 2),
+p AS (SELECT *, (date_diff('day', DATE '1970-01-01', day))::BIGINT AS page_id,
+row_number() OVER (PARTITION BY day ORDER BY (h + 24 - extract('day' FROM day)::INT % 24) % 24) - 1 AS pos FROM h),
+r AS (SELECT *, coalesce(sum(CASE WHEN h = 23 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos
+ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS roll FROM p)
+"""
+
+
+def forecast_pages(spark, sf):
+    """``page_id, day, html`` in the layout of the forecast site, from hourly figures of the readings."""
+    per_hour = events(spark, sf).groupBy(F.to_date("ts").alias("day"), F.hour("ts").alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("value").alias("top"), F.min("user_id").alias("low")
+    )
+    start = F.dayofmonth("day") % 24
+    columns = per_hour.groupBy("day").agg(
+        F.sort_array(F.collect_list(F.struct(((F.col("h") + 24 - start) % 24).alias("o"), "h", "n", "top", "low"))).alias("c")
+    )
+
+    def line(label, cell):
+        tds = F.array_join(F.transform("c", lambda e: F.concat(F.lit("<td>"), cell(e), F.lit("</td>"))), "")
+        return F.concat(F.lit(f"<tr><td><b>{label}</b></td>"), tds, F.lit("</tr>"))
+
+    def text_of(c):
+        return c.cast("string")
+
+    def hint(e):
+        mark = F.concat(F.lit("<div onmouseover=\"tooltip(this, "), text_of(e["n"]), F.lit(" {u}, 'x')\">*</div>"))
+        return F.concat(F.replace(mark, F.lit("{u}"), F.lit("mm")), F.replace(mark, F.lit("{u}"), F.lit("in")))
+
+    top = lambda e: e["top"].cast("decimal(10,2)").cast("string")
+    html = F.concat(
+        F.lit("<html><table id='other'><tr><td>x</td></tr></table><table id='forecastTable_1_3'>"),
+        line("Местное время", lambda e: text_of(e["h"])),
+        line("Осадки, мм", hint),
+        line("Температура, °C", lambda e: F.concat(top(e), F.lit(" <i>50 F</i>"))),
+        line("Давление, мм рт. ст.", lambda e: F.concat(text_of(e["low"] + 740), F.lit(" 29.1"))),
+        line("Ветер: скорость, м/с", lambda e: F.concat(F.lit("\n "), text_of(e["n"]))),
+        line("направление", lambda e: F.concat(F.lit("С-"), text_of(e["low"] % 8), F.lit(" x"))),
+        line("Влажность, %", lambda e: text_of(e["low"])),
+        F.lit("</table></html>"),
+    )
+    return columns.select(F.unix_date("day").cast("bigint").alias("page_id"), "day", html.alias("html"))
+
+
+@query(
+    "s10_forecast_pages",
+    PAGE_SQL
+    + """SELECT page_id, pos, day::TIMESTAMP AS snapshot, day::TIMESTAMP + to_days(roll) + to_hours(h) - INTERVAL 3 HOUR AS time_utc,
+' ' || n || ' mm' AS weather, top AS temp, (low + 740)::DOUBLE AS pressure, n::DOUBLE AS wind_speed, 'С-' || (low % 8) AS wind_dir,
+low::DOUBLE AS humidity FROM r""",
+)
+def pages_to_rows(spark, sf):
+    rows = forecast.tidy_forecast(forecast_pages(spark, sf), F.col("day"), F.to_timestamp("day"))
+    return rows.withColumnsRenamed({
+        "Parsing date": "snapshot", "Date-Time": "time_utc", "Weather": "weather", "Temp": "temp", "Pressure": "pressure",
+        "Wind_speed": "wind_speed", "Wind_dir": "wind_dir", "Humidity": "humidity",
+    })
+
+
+@query(
+    "st7_forecast_page_stream",
+    PAGE_SQL + "SELECT pos, top AS temp, low::DOUBLE AS humidity, n::DOUBLE AS wind_speed FROM r",
+)
+def page_stream(spark, sf):
+    """Page files arrive, one of them broken; their snapshot time is the file time and left out here."""
+    root = run_dir(spark, "forecast")
+    pages = forecast_pages(spark, sf)
+    broken = pages.agg(F.max("page_id").alias("page_id")).select(F.col("page_id") + 1, F.lit("<html>gone</html>").alias("html"))
+    arrived = pages.select("page_id", "html").union(broken)
+    arrived.repartition("page_id").write.partitionBy("page_id").text(f"{root}/pages")
+    ingest.forecast_available(spark, f"{root}/pages", f"{root}/rows", f"{root}/checkpoint", recursiveFileLookup="true").awaitTermination()
+    rows = spark.read.parquet(f"{root}/rows")
+    return rows.select("pos", F.col("Temp").alias("temp"), F.col("Humidity").alias("humidity"), F.col("Wind_speed").alias("wind_speed"))
+
+
+@query("s11_append_new_days", S1_SQL)
+def append_days(spark, sf):
+    """Two rounds of arriving daily files; the second takes only the new ones."""
+    root = run_dir(spark, "daily")
+    raw = _raw_dust(spark, sf)
+    early = F.col("timestamp") < "2024-01-16"
+    for part in (raw.filter(early), raw.filter(~early)):
+        part.write.mode("append").option("sep", ";").option("header", "true").csv(f"{root}/files")
+        stream = ingest.reading_stream(spark, f"{root}/files", SDS_RAW)
+        ingest.append_available(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    table = spark.read.schema(stream.schema).parquet(f"{root}/table")
+    return table.select("sensor_id", "sensor_type", "lat", "lon", "timestamp", "P1", "P2")

@@ -81,7 +81,7 @@ def archive_link(response) -> Column:
 
 def first_token(c) -> Column:
     """First whitespace-separated token, NULL when there is none."""
-    token = F.split(F.trim(_col(c)), r"\s+")[0]
+    token = F.regexp_extract(_col(c), r"(\S+)", 1)
     return F.when(token != "", token)
 
 

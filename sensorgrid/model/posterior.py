@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,20 +84,29 @@ def _data_terms(stats: Statistics, noise: float) -> float:
     )
 
 
-def first_fit(kernel: Kernel, noise: float, z: np.ndarray, stats: Statistics) -> Posterior:
-    """Posterior and bound from the statistics of all rows so far."""
+def first_fits(kernel: Kernel, noises: Sequence[float], z: np.ndarray, stats: Statistics) -> list[Posterior]:
+    """Posterior and bound from the statistics of all rows so far, one per noise."""
     eye = np.eye(len(z))
     white = lower_inverse(cholesky(kernel.matrix(z, z) + JITTER * eye))
-    gain = white @ stats.a @ white.T / noise
-    factor = cholesky(eye + gain)
-    post = np.linalg.solve(factor, white)
-    weights = post @ stats.b / noise
-    bound = _data_terms(stats, noise) - log_diag(factor) + 0.5 * weights @ weights + 0.5 * np.trace(gain)
-    return Posterior(kernel, noise, z, white, post, weights, float(bound))
+    spread, reach = white @ stats.a @ white.T, white @ stats.b
+    out = []
+    for noise in noises:
+        gain = spread / noise
+        factor = cholesky(eye + gain)
+        weights = np.linalg.solve(factor, reach) / noise
+        bound = _data_terms(stats, noise) - log_diag(factor) + 0.5 * weights @ weights + 0.5 * np.trace(gain)
+        out.append(Posterior(kernel, noise, z, white, np.linalg.solve(factor, white), weights, float(bound)))
+    return out
 
 
-def online_update(old: Posterior, kernel: Kernel, noise: float, z: np.ndarray, stats: Statistics) -> Posterior:
-    """Posterior after a batch, given only its statistics and the old posterior."""
+def first_fit(kernel: Kernel, noise: float, z: np.ndarray, stats: Statistics) -> Posterior:
+    return first_fits(kernel, [noise], z, stats)[0]
+
+
+def online_updates(
+    old: Posterior, kernel: Kernel, noises: Sequence[float], z: np.ndarray, stats: Statistics
+) -> list[Posterior]:
+    """Posterior after a batch, given only its statistics and the old posterior, one per noise."""
     mean_old, cov_old, prior_old = old.at_points()
     eye_old, eye = np.eye(len(old.z)), np.eye(len(z))
     prior_old = prior_old + JITTER * eye_old
@@ -108,26 +118,28 @@ def online_update(old: Posterior, kernel: Kernel, noise: float, z: np.ndarray, s
 
     seen = white @ cross
     by_cov, by_prior = cov_white @ seen.T, prior_old_white @ seen.T
-    gain = white @ stats.a @ white.T / noise
-    factor = cholesky(eye * (1.0 + JITTER) + gain + by_cov.T @ by_cov - by_prior.T @ by_prior)
-
+    carried = eye * (1.0 + JITTER) + by_cov.T @ by_cov - by_prior.T @ by_prior
+    spread, reach = white @ stats.a @ white.T, white @ stats.b
     old_weights = cov_white @ mean_old
-    post = np.linalg.solve(factor, white)
-    weights = post @ (stats.b / noise + cross @ (cov_white.T @ old_weights))
+    old_reach = seen @ (cov_white.T @ old_weights)
 
     left = kernel.matrix(old.z, old.z) + JITTER * eye_old - seen.T @ seen
-    trace = np.trace(cov_white @ left @ cov_white.T) - np.trace(prior_old_white @ left @ prior_old_white.T)
-    bound = (
-        _data_terms(stats, noise)
-        + 0.5 * np.trace(gain)
-        - 0.5 * old_weights @ old_weights
-        + 0.5 * weights @ weights
-        - log_diag(factor)
-        + log_diag(prior_factor)
-        - log_diag(cov_factor)
-        - 0.5 * trace
-    )
-    return Posterior(kernel, noise, z, white, post, weights, float(bound))
+    trace = np.sum((cov_white @ left) * cov_white) - np.sum((prior_old_white @ left) * prior_old_white)
+    fixed = -0.5 * old_weights @ old_weights + log_diag(prior_factor) - log_diag(cov_factor) - 0.5 * trace
+    out = []
+    for noise in noises:
+        gain = spread / noise
+        factor = cholesky(carried + gain)
+        weights = np.linalg.solve(factor, reach / noise + old_reach)
+        bound = (
+            _data_terms(stats, noise) + fixed + 0.5 * np.trace(gain) + 0.5 * weights @ weights - log_diag(factor)
+        )
+        out.append(Posterior(kernel, noise, z, white, np.linalg.solve(factor, white), weights, float(bound)))
+    return out
+
+
+def online_update(old: Posterior, kernel: Kernel, noise: float, z: np.ndarray, stats: Statistics) -> Posterior:
+    return online_updates(old, kernel, [noise], z, stats)[0]
 
 
 def refreshed_points(z_old: np.ndarray, new_points: np.ndarray, seed: int, keep: float = 0.7) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from sensorgrid.config import Roles
 from sensorgrid.functions import scalar
 from sensorgrid.functions.kernels import Kernel, get_kernel, kernel_from_json, scaled
-from sensorgrid.model.posterior import STATE_SCHEMA, Posterior, first_fit, online_update, refreshed_points
+from sensorgrid.model.posterior import STATE_SCHEMA, Posterior, first_fits, online_updates, refreshed_points
 from sensorgrid.model.statistics import BLOCK_ROWS, X_COLUMNS, Statistics, sufficient_statistics
 from sensorgrid.operators.aggregates import fit_target
 from sensorgrid.operators.sampling import DEFAULT_SEED, sampled_rows
@@ -86,9 +86,8 @@ def rank_first(
     out = []
     for kernel, s in zip(kernels, stats):
         for factor in amplitudes:
-            for noise in noises:
-                k = scaled(kernel, factor)
-                out.append(Choice(k, noise, first_fit(k, noise, z, s.scaled(factor))))
+            k = scaled(kernel, factor)
+            out += [Choice(k, p.noise, p) for p in first_fits(k, noises, z, s.scaled(factor))]
     return sorted(out, key=lambda c: -c.posterior.bound)
 
 
@@ -167,7 +166,7 @@ class SparseModel:
 def best_update(old: Posterior, z: np.ndarray, stats: Statistics, noises: Sequence[float]) -> Posterior:
     """Online update with the noise of the best bound; the old noise is among those tried."""
     tried = sorted({old.noise, *noises})
-    return max((online_update(old, old.kernel, n, z, stats) for n in tried), key=lambda p: p.bound)
+    return max(online_updates(old, old.kernel, tried, z, stats), key=lambda p: p.bound)
 
 
 def predict_rows(
@@ -189,8 +188,7 @@ def predict_rows(
     schema = T.StructType(
         df.schema.fields + [T.StructField(n, T.DoubleType()) for n in added]
     )
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(dict(models))
+    models = dict(models)
     key = F.col(group).cast("bigint") if group else F.lit(0).cast("bigint")
     at = [c.alias(f"_{n}") for n, c in scale.inputs(roles).items()]
     inputs = df.select(*names, key.alias("_grp"), *at)
@@ -202,7 +200,7 @@ def predict_rows(
             x = pdf[[f"_{c}" for c in X_COLUMNS]].to_numpy(float)
             known = ~np.isnan(x).any(axis=1)
             for g in np.unique(grp):
-                model = shared.value.get(int(g))
+                model = models.get(int(g))
                 if model is None:
                     continue
                 here = np.flatnonzero((grp == g) & known)

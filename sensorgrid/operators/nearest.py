@@ -8,8 +8,8 @@ possible distances seen for that point.  No feature that could be nearest is eve
 dropped, so the result is exact, and a node fans out to at most 256 children however
 dense the data is.  Copies of a place are folded before the walk.
 
-Features and tree are checkpointed once in the cluster's checkpoint folder: each
-level then starts from a short plan, and a lost executor costs no recomputation.
+Features and tree are written once to the shared folder, the tree by level: each step
+then reads its level only, and a lost executor costs no recomputation.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sensorgrid.config import MAP_BOX, PARK_MIN_AREA_M2, Box
 from sensorgrid.functions import geo
 from sensorgrid.operators.select import inside
-from sensorgrid.session import ready_checkpoints
+from sensorgrid.session import stored
 
 BITS = 4  # 16 x 16 children per node
 BROADCAST_LEVELS = 2  # at most 256 ** 2 = 65,536 nodes per kind, about 5 MB
@@ -55,14 +55,9 @@ def nearest_distances(
     """
     if not 1 <= levels <= MAX_LEVELS:
         raise ValueError(f"levels must be between 1 and {MAX_LEVELS}")
-    spark = places.sparkSession
-    ready_checkpoints(spark)
-    features = (
-        features.select("kind", "ax", "ay", "bx", "by")
-        .filter(F.col("kind").isin(*kinds))
-        .na.drop()
-        .distinct()
-        .checkpoint()
+    features = stored(
+        features.select("kind", "ax", "ay", "bx", "by").filter(F.col("kind").isin(*kinds)).na.drop().distinct(),
+        "features",
     )
     mx, my = (F.col("ax") + F.col("bx")) / 2.0, (F.col("ay") + F.col("by")) / 2.0
     x0, y0, width, height = features.agg(
@@ -82,7 +77,7 @@ def nearest_distances(
         for level in range(1, levels + 1)
     ])
     # Boxes of all nodes of all levels, built in one pass and written once.
-    tree = (
+    tree = stored(
         features.withColumn("_a", F.explode(ancestors))
         .groupBy("_a.level", "kind", "_a.node")
         .agg(
@@ -91,8 +86,9 @@ def nearest_distances(
             F.max(F.greatest("ax", "bx")).alias("bx1"),
             F.max(F.greatest("ay", "by")).alias("by1"),
         )
-        .withColumn("up", _parent(F.col("node")))
-        .checkpoint()
+        .withColumn("up", _parent(F.col("node"))),
+        "feature-tree",
+        partition_by="level",
     )
 
     walk = (

@@ -42,6 +42,14 @@ def sampled_rows(df: DataFrame, n: int, columns: Sequence[str], seed: int = DEFA
     return df.select(*columns).orderBy(key, *columns).limit(n)
 
 
+def refreshed_rows(
+    old: DataFrame, new: DataFrame, m: int, columns: Sequence[str], keep: float = 0.7, seed: int = DEFAULT_SEED
+) -> DataFrame:
+    """``m`` rows: the part ``keep`` drawn from ``old``, the rest from ``new``."""
+    kept = int(keep * m)
+    return sampled_rows(old, kept, columns, seed).unionByName(sampled_rows(new, m - kept, columns, seed))
+
+
 def sampled_rows_by(
     df: DataFrame, group: str, n: int, columns: Sequence[str], seed: int = DEFAULT_SEED
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorgrid.operators.numbering import day_bucket, number_rows
-from sensorgrid.session import ready_checkpoints
+from sensorgrid.session import stored
 
 BLOCK = 4096
 
@@ -18,13 +18,12 @@ BLOCK = 4096
 def indexed_series(df: DataFrame, y: str, time: str = "timestamp") -> DataFrame:
     """``(t, y)`` with ``t`` the 0-based place of the row in time order; NULLs left out.
 
-    The series is checkpointed: what follows reads it several times, and it is far
-    smaller than the readings it was made from.
+    The series is stored: what follows reads it several times, and it is far smaller
+    than the readings it was made from.
     """
-    ready_checkpoints(df.sparkSession)
-    rows = df.select(F.col(time), F.col(y).cast("double").alias("y")).na.drop().checkpoint()
+    rows = stored(df.select(F.col(time), F.col(y).cast("double").alias("y")).na.drop(), "series")
     numbered = number_rows(rows, [time], day_bucket(time), "_rn")
-    return numbered.select((F.col("_rn") - 1).cast("bigint").alias("t"), "y").checkpoint()
+    return stored(numbered.select((F.col("_rn") - 1).cast("bigint").alias("t"), "y"), "indexed-series")
 
 
 def _lag_sums(max_lag: int | None):

@@ -9,7 +9,7 @@ from sensorgrid.config import Roles, StudyPeriod
 from sensorgrid.functions import scalar
 from sensorgrid.model import evaluate
 from sensorgrid.operators import aggregates, select, spectral
-from sensorgrid.session import ready_checkpoints
+from sensorgrid.session import stored
 
 
 def feature_correlations(dataset: DataFrame, target: str = "P1") -> DataFrame:
@@ -41,14 +41,13 @@ def periodicity(
     City means are floored, put on the standardised log scale and indexed; the
     autocovariance over all lags is the input of the periodogram.  The dataset is
     read once: the city series (a row per timestamp) and the autocovariance are
-    checkpointed, since each of them is used several times.
+    stored, since each of them is used several times.
     """
-    ready_checkpoints(dataset.sparkSession)
     city = aggregates.city_mean(select.study_period(dataset, period, time), time, [target])
-    floored = select.with_target(select.floor_target(city, target), target).checkpoint()
+    floored = stored(select.with_target(select.floor_target(city, target), target), "city")
     fit = aggregates.fit_target(floored, target, time).select(F.struct("mean", "sd").alias("f")).scalar()
     z = floored.select(time, scalar.standardise_log(target, fit["mean"], fit["sd"]).alias("z"))
-    acov = spectral.autocovariance(spectral.indexed_series(z, "z", time)).checkpoint()
+    acov = stored(spectral.autocovariance(spectral.indexed_series(z, "z", time)), "autocovariance")
     as_series = acov.select(F.col("lag").alias("t"), F.col("acov").alias("y"))
     return acov, spectral.periodogram(as_series, max_index)
 

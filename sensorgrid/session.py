@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators count on.  Joins carry no size hints unless a
 # bound is proven; adaptive execution measures a side before broadcasting it.
@@ -63,7 +63,13 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def ready_checkpoints(spark: SparkSession) -> None:
-    """Give ``DataFrame.checkpoint`` its folder where the session names none."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Cuts the lineage of a frame that is used several times.  The table outlives lost
+    executors, is read by column and has a size the optimizer knows.
+    """
+    path = run_dir(df.sparkSession, name)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)

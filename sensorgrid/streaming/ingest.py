@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from sensorgrid.config import STATION_ZONE
 from sensorgrid.sources import forecast, readings
 
 
@@ -45,26 +46,27 @@ def progress_stream(stream: DataFrame, key: str = "sensor_id", time: str = "time
 
 
 def forecast_available(
-    spark: SparkSession, folder: str, path: str, checkpoint: str
+    spark: SparkSession, folder: str, path: str, checkpoint: str, **options: str
 ) -> StreamingQuery:
-    """Append forecast rows of arriving page files; a bad page gives no rows.
+    """Append forecast rows of arriving page files (one page per file); a bad page gives no rows.
 
     The snapshot time is the file's modification time and the first column belongs
     to its local day.
     """
     pages = (
-        spark.readStream.format("binaryFile")
-        .option("pathGlobFilter", "*.html")
+        spark.readStream.format("text")
+        .option("wholetext", "true")
+        .options(**options)
         .load(folder)
         .select(
-            F.xxhash64("path", "modificationTime").alias("page_id"),
-            F.col("modificationTime").alias("seen"),
-            F.decode("content", "UTF-8").alias("html"),
+            F.xxhash64("_metadata.file_path").alias("page_id"),
+            F.col("_metadata.file_modification_time").alias("seen"),
+            F.col("value").alias("html"),
         )
     )
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        local_day = F.to_date(F.from_utc_timestamp("seen", forecast.STATION_ZONE))
+        local_day = F.to_date(F.from_utc_timestamp("seen", STATION_ZONE))
         rows = forecast.tidy_forecast(batch, local_day, F.col("seen"))
         # One folder per batch, overwritten on replay, keeps the append exact.
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
