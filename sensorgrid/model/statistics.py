@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from sensorgrid.functions.kernels import Kernel
 from sensorgrid.model.linalg import symmetric
+from sensorgrid.session import wide
 
 X_COLUMNS = ["t", "lon", "lat"]
 BLOCK_ROWS = 2048  # rows per kernel block inside a task
@@ -86,8 +87,6 @@ def sufficient_statistics(
         for pdf in batches:
             for g, part in pdf.groupby("grp", sort=False):
                 g = int(g)
-                if g not in points:
-                    continue
                 x, target = part[X_COLUMNS].to_numpy(float), part[y].to_numpy(float)
                 new = [block_statistics(k, points[g], x, target) for k in kernels]
                 if g in held:
@@ -102,7 +101,13 @@ def sufficient_statistics(
 
     grp = F.col(group).cast("bigint") if group else F.lit(0).cast("bigint")
     used = rows.select(grp.alias("grp"), *X_COLUMNS, y).na.drop()
-    partials = used.mapInPandas(fold, PARTIALS)
+    # A row costs about M x M operations but is five numbers wide, so it pays to spread
+    # rows over all cores.  Spreading by group and a few salts gives every task rows of
+    # few groups, hence few M x M blocks to hand on, however the input is ordered.
+    tasks = wide(rows.sparkSession)
+    salts = max(1, -(-tasks // len(points)))
+    salt = F.pmod(F.xxhash64(*X_COLUMNS, y), F.lit(salts))
+    partials = used.filter(F.col("grp").isin(*points)).repartition(tasks, "grp", salt).mapInPandas(fold, PARTIALS)
     sums = (
         partials.select("grp", "cand", "i", F.posexplode("v").alias("j", "v"))
         .groupBy("grp", "cand", "i", "j")

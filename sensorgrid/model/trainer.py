@@ -19,6 +19,7 @@ from sensorgrid.model.posterior import STATE_SCHEMA, Posterior, first_fits, onli
 from sensorgrid.model.statistics import BLOCK_ROWS, X_COLUMNS, Statistics, sufficient_statistics
 from sensorgrid.operators.aggregates import fit_target
 from sensorgrid.operators.sampling import DEFAULT_SEED, sampled_rows
+from sensorgrid.session import wide
 
 NORMAL_95 = 1.96
 # Settings tried on the driver; noise and amplitude need no further pass over the data.
@@ -215,5 +216,7 @@ def predict_rows(
                 out["var"] = scale.invert(var)
             yield out
 
-    return inputs.mapInPandas(run, schema)
+    # Predicting a row costs far more than moving it, so rows are spread over all cores.
+    spread = inputs.repartition(wide(df.sparkSession), F.xxhash64(*inputs.columns))
+    return spread.mapInPandas(run, schema)
 

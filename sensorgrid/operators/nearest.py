@@ -91,12 +91,15 @@ def nearest_distances(
         partition_by="level",
     )
 
+    # Places are spread once, by a whole-number key; every window below keeps to it.
     walk = (
         places.select("x", "y").na.drop().distinct()
+        .withColumn("place", F.xxhash64("x", "y"))
+        .repartition("place")
         .withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
         .withColumn("node", F.lit(0).cast("bigint"))
     )
-    per_place = Window.partitionBy("x", "y", "kind")
+    per_place = Window.partitionBy("place", "x", "y", "kind")
     for level in range(1, levels + 1):
         children = tree.filter(F.col("level") == level).drop("level")
         if level <= BROADCAST_LEVELS:
@@ -107,13 +110,13 @@ def nearest_distances(
             .withColumn("_near", geo.box_near("x", "y", *_box()))
             .withColumn("_reach", F.min(geo.box_far("x", "y", *_box())).over(per_place))
             .filter(F.col("_near") <= F.col("_reach") * F.lit(1.0 + 1e-12) + F.lit(1e-9))
-            .select("x", "y", "kind", "node")
+            .select("place", "x", "y", "kind", "node")
         )
     distance = geo.segment_distance("x", "y", "ax", "ay", "bx", "by")
     found = walk.join(hung, ["kind", "node"]).withColumn("_d", distance)
-    return found.groupBy("x", "y").agg(
+    return found.groupBy("place", "x", "y").agg(
         *[F.min(F.when(F.col("kind") == k, F.col("_d"))).alias(k) for k in kinds]
-    )
+    ).drop("place")
 
 
 # --- map features -------------------------------------------------------------------

@@ -73,3 +73,8 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+def wide(spark: SparkSession) -> int:
+    """Task count for work that is heavy per row: all cores, or more where the session shuffles wider."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
