@@ -80,6 +80,8 @@ def _page_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parser.close()
             ids += [page_id] * len(parser.out)
             rows += parser.out
+        if not rows:
+            continue
         yield pd.DataFrame(
             {
                 "page_id": ids,
