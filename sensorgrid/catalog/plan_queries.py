@@ -12,6 +12,7 @@ from sensorgrid.catalog.geo_queries import J11_SQL, shapes
 from sensorgrid.catalog.join_queries import LINK_NAMES, WEATHER_SQL, archive_links, checked_links
 from sensorgrid.config import StudyPeriod
 from sensorgrid.plans import dataset, discovery, loading, studies
+from sensorgrid.session import stored
 
 DIMENSION = ["sealevel_alt", "surface_alt", "nearest_park", "nearest_road", "nearest_indust"]
 
@@ -78,7 +79,8 @@ def hourly_dataset(spark, sf):
 
     dimension = joins.attach_elevation(pairs(spark, sf).join(altitudes(spark, sf), "bme_sensor", "left"), ground(spark, sf))
     blank = F.lit(None).cast("double")
-    dimension = dimension.withColumns({c: blank for c in ("nearest_park", "nearest_road", "nearest_indust")})
+    # The dimension is built once and kept as a table, as a user would.
+    dimension = stored(dimension.withColumns({c: blank for c in ("nearest_park", "nearest_road", "nearest_indust")}), "sensors")
     out = dataset.hourly_dataset(dust(spark, sf), meteo(spark, sf), weather_hourly(spark, sf), dimension, "ts")
     out = out.drop("nearest_park", "nearest_road", "nearest_indust")
     return rounded(out, 6, *[c for c, t in out.dtypes if t == "double" and c not in ("lat", "lon")])

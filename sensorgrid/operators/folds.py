@@ -45,12 +45,9 @@ def prequential_mean(folds: DataFrame, fold: str = "fold", y: str = "P1") -> Dat
     )
     earlier = Window.orderBy(fold).rowsBetween(Window.unboundedPreceding, -1)
     pred = F.sum("s").over(earlier) / F.sum("n").over(earlier)
+    mse = (F.col("q") - F.lit(2.0) * F.col("pred") * F.col("s")) / F.col("n") + F.col("pred") * F.col("pred")
     return (
         sums.withColumn("pred", pred)
         .filter(F.col("pred").isNotNull())
-        .select(
-            fold,
-            "pred",
-            F.sqrt((F.col("q") - F.lit(2.0) * F.col("pred") * F.col("s")) / F.col("n") + F.col("pred") * F.col("pred")).alias("rmse"),
-        )
+        .select(fold, "pred", F.sqrt(F.greatest(mse, F.lit(0.0))).alias("rmse"))
     )

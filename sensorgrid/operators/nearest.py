@@ -26,8 +26,8 @@ from sensorgrid.session import stored
 
 BITS = 4  # 16 x 16 children per node
 BROADCAST_LEVELS = 2  # at most 256 ** 2 = 65,536 nodes per kind, about 5 MB
-DEFAULT_LEVELS = 4  # 100 km / 16 ** 4 = 1.5 m
-MAX_LEVELS = 7  # cell numbers of an axis have to fit into 31 bits
+MAX_LEVELS = 7  # 100 km / 16 ** 7 = 0.4 mm; cell numbers of an axis fit into 31 bits
+LEAF_ROWS = 64  # the tree is deepened until no leaf holds more features
 
 
 def _node(cx: Column, cy: Column, up: int) -> Column:
@@ -40,20 +40,37 @@ def _parent(node: Column) -> Column:
     return _node(cx, cy, 1)
 
 
+def _depth(features: DataFrame, cx: Column, cy: Column) -> int:
+    """Least number of levels at which no leaf holds more than ``LEAF_ROWS`` features."""
+    nodes = F.array(*[
+        F.struct(F.lit(level).alias("level"), _node(cx, cy, MAX_LEVELS - level).alias("node"))
+        for level in range(1, MAX_LEVELS + 1)
+    ])
+    fullest = (
+        features.select("kind", F.explode(nodes).alias("_n"))
+        .groupBy("_n.level", "kind", "_n.node")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("level")
+        .agg(F.max("rows").alias("rows"))
+        .collect()
+    )
+    return min((r["level"] for r in fullest if r["rows"] <= LEAF_ROWS), default=MAX_LEVELS)
+
+
 def _box() -> list[Column]:
     return [F.col(c) for c in ("bx0", "by0", "bx1", "by1")]
 
 
 def nearest_distances(
-    places: DataFrame, features: DataFrame, kinds: Sequence[str], levels: int = DEFAULT_LEVELS
+    places: DataFrame, features: DataFrame, kinds: Sequence[str], levels: int | None = None
 ) -> DataFrame:
     """Distance from every distinct place to the nearest feature of every kind.
 
     ``places``: ``x, y``.  ``features``: ``kind, ax, ay, bx, by``, a point feature having
     both ends equal.  Returns ``x, y`` and one column per kind, NULL for a kind
-    without features.
+    without features.  The depth follows from the densest spot unless ``levels`` is given.
     """
-    if not 1 <= levels <= MAX_LEVELS:
+    if levels is not None and not 1 <= levels <= MAX_LEVELS:
         raise ValueError(f"levels must be between 1 and {MAX_LEVELS}")
     features = stored(
         features.select("kind", "ax", "ay", "bx", "by").filter(F.col("kind").isin(*kinds)).na.drop().distinct(),
@@ -64,13 +81,15 @@ def nearest_distances(
         F.min(mx), F.min(my), F.max(mx) - F.min(mx), F.max(my) - F.min(my)
     ).first()
     side = max(width or 0.0, height or 0.0) or 1.0
-    cells = 1 << (BITS * levels)
+    cells = 1 << (BITS * MAX_LEVELS)
 
-    def leaf(mid: Column, low: float | None) -> Column:
+    def finest(mid: Column, low: float | None) -> Column:
         place = F.floor((mid - F.lit(low or 0.0)) / F.lit(side) * F.lit(float(cells)))
         return F.least(place, F.lit(cells - 1)).cast("bigint")
 
-    cx, cy = leaf(mx, x0), leaf(my, y0)
+    levels = levels or _depth(features, finest(mx, x0), finest(my, y0))
+    to_leaf = BITS * (MAX_LEVELS - levels)
+    cx, cy = F.shiftright(finest(mx, x0), to_leaf), F.shiftright(finest(my, y0), to_leaf)
     hung = features.withColumn("node", _node(cx, cy, 0))
     ancestors = F.array(*[
         F.struct(F.lit(level).alias("level"), _node(cx, cy, levels - level).alias("node"))
@@ -157,7 +176,7 @@ def attach_nearest(
     roads: DataFrame,
     industrial: DataFrame,
     box: Box = MAP_BOX,
-    levels: int = DEFAULT_LEVELS,
+    levels: int | None = None,
 ) -> DataFrame:
     """Sensors inside ``box`` with ``nearest_park, nearest_road, nearest_indust`` in metres.
 

@@ -20,12 +20,12 @@ def read_sensors(spark: SparkSession, path: str) -> DataFrame:
 def write_dataset(dataset: DataFrame, path: str, time: str = "timestamp", mode: str = "overwrite") -> None:
     """Hourly dataset in one folder per day.
 
-    Rows are spread by day and hour of day before writing, so a day is written by
-    up to 24 tasks and not by one.
+    Rows are rebalanced by day before writing: adaptive execution joins small days into
+    one task and cuts a day with very many rows into several, so files have an even size.
     """
     (
         dataset.withColumn("date", F.to_date(time))
-        .repartition("date", F.hour(time))
+        .hint("rebalance", "date")
         .write.mode(mode)
         .partitionBy("date")
         .parquet(path)

@@ -19,7 +19,7 @@ def brute(points, segs):
     return np.array(out)
 
 
-@pytest.mark.parametrize("levels", [1, 3, 5])
+@pytest.mark.parametrize("levels", [1, 3, 7, None])
 def test_tree_equals_brute_force(spark, levels):
     rng = np.random.default_rng(1)
     pts = rng.uniform(-2000, 12000, (150, 2))
