@@ -35,11 +35,11 @@ def pressure_altitude(spark, sf):
 
 @query(
     "a3_city_mean",
-    "SELECT hour, round(avg(P1), 6) AS P1, round(avg(P2), 6) AS P2 FROM dust_hourly GROUP BY 1",
+    "SELECT hour, round(avg(P1), 8) AS P1, round(avg(P2), 8) AS P2 FROM dust_hourly GROUP BY 1",
     "dust_hourly",
 )
 def city_mean(spark, sf):
-    return rounded(aggregates.city_mean(dust_hourly(spark, sf), "hour", ["P1", "P2"]))
+    return rounded(aggregates.city_mean(dust_hourly(spark, sf), "hour", ["P1", "P2"]), 8)
 
 
 @query(
@@ -70,7 +70,7 @@ def _corr_sql() -> str:
         for b in CORR_COLUMNS
     )
     return (
-        "WITH j AS (SELECT ln(d.P1) AS P1, w.temp_meteo, w.pres_meteo + d.P2 AS pres_meteo, w.wind_speed * w.wind_speed AS wind_speed "
+        "WITH j AS (SELECT ln(CASE WHEN d.P1 > 0 THEN d.P1 END) AS P1, w.temp_meteo, w.pres_meteo + d.P2 AS pres_meteo, w.wind_speed * w.wind_speed AS wind_speed "
         "FROM dust_hourly d LEFT JOIN weather_hourly w ON d.hour = w.hour) " + parts
     )
 
@@ -85,7 +85,7 @@ def correlation(spark, sf):
 
 @query(
     "a9_fit_log_target",
-    "SELECT round(avg(ln(P1)), 6) AS mean, round(stddev_pop(ln(P1)), 6) AS sd, min(timestamp) AS start FROM labelled",
+    "SELECT round(avg(ln(CASE WHEN P1 > 0 THEN P1 END)), 6) AS mean, round(stddev_pop(ln(CASE WHEN P1 > 0 THEN P1 END)), 6) AS sd, min(timestamp) AS start FROM labelled",
     "labelled",
 )
 def fit_target(spark, sf):

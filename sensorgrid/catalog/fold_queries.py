@@ -190,6 +190,30 @@ def append_sources(spark, sf):
     return joins.append_sources(d, m)
 
 
+@query(
+    "u3_new_names_minus_checked",
+    """SELECT DISTINCT user_id || '.csv' AS name FROM events WHERE event_type = 'click' AND user_id NOT IN
+    (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 100)""",
+)
+def new_names(spark, sf):
+    """Names of one list that are not in another; rows of the first are kept as they are."""
+    e = events(spark, sf)
+    name = F.concat(F.col("user_id").cast("string"), F.lit(".csv"))
+    listed = e.filter(F.col("event_type") == "click").select(name.alias("name")).distinct()
+    checked = e.filter((F.col("event_type") == "signup") & (F.col("value") > 100)).select(name.alias("name"))
+    return joins.not_of_sensors(listed, checked, "name")
+
+
+@query(
+    "w7_last_row_per_sensor",
+    "SELECT sensor_id, max(ts) AS ts, arg_max(value, ts) AS value FROM readings GROUP BY 1",
+    "readings",
+)
+def last_row(spark, sf):
+    df = readings(spark, sf).withColumn("at", F.col("ts"))
+    return aggregates.last_known(df, ["ts", "value"], "sensor_id", "at")
+
+
 @query(
     "u2_repeated_load_keeps_copies",
     "SELECT sensor_id, count(*) AS n FROM (SELECT * FROM readings UNION ALL SELECT * FROM readings) GROUP BY 1",

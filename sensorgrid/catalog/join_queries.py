@@ -182,7 +182,7 @@ def grid(spark, sf):
 
 
 @query(
-    "j13_missing_elevation_places",
+    "j6_missing_elevation_places",
     "SELECT DISTINCT p.lat, p.lon FROM pairs p WHERE NOT EXISTS "
     "(SELECT 1 FROM ground g WHERE g.lat = p.lat AND g.lon = p.lon AND g.elevation > 98)",
     "pairs ground",

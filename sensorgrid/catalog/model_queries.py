@@ -1,23 +1,31 @@
-"""Model jobs.  Their results rest on seeded draws and matrix solves, so they have no oracle."""
+"""Model jobs.  All but the summed statistics rest on matrix solves and have no oracle."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorgrid.catalog.base import dust_hourly, labelled, pairs, query, rounded
+from sensorgrid.catalog.base import dust, place_lat, place_lon, place_sql, query, rounded
+from sensorgrid.catalog.scalar_queries import MATERN_SQL, TIME_SQL
 from sensorgrid.config import StudyPeriod
 from sensorgrid.functions import kernels
 from sensorgrid.model import evaluate, statistics, trainer
 from sensorgrid.operators import aggregates, select
+from sensorgrid.operators.resample import hourly_mean
+from sensorgrid.operators.sampling import draw_key
 from sensorgrid.plans import studies
+from sensorgrid.session import stored
 
 PERIOD = StudyPeriod("2024-01-01", "2024-02-01", "2024-01-11")
 M = 200
 
 
 def study(spark, sf):
-    """All dust readings with place, floored at 1, on the second."""
-    return select.floor_target(labelled(spark, sf).drop("P2"))
+    """Hourly dust of all sensors with their places, floored at 1, as a table."""
+    hourly = hourly_mean(dust(spark, sf), ["sds_sensor"], ["P1"], fill=False)
+    place = F.floor(F.col("sds_sensor") / 2).cast("bigint")
+    return stored(select.floor_target(hourly).select(
+        F.col("hour").alias("timestamp"), place_lat(place).alias("lat"), place_lon(place).alias("lon"), "sds_sensor", "P1"
+    ), "dataset")
 
 
 def _model(spark, sf):
@@ -25,14 +33,32 @@ def _model(spark, sf):
     return trainer.SparseModel(trainer.TargetScale.fit(df)).build(df, M), df
 
 
-@query("a17_sparse_statistics")
+A17_POINTS = 20
+A17_SQL = f"""
+WITH s AS (SELECT h.sds_sensor, h.hour, {place_sql('sds_sensor // 2')}, CASE WHEN P1 <= 1 THEN 1.0 ELSE P1 END AS P1 FROM dust_h h),
+f AS (SELECT avg(ln(P1)) AS mean, stddev_pop(ln(P1)) AS sd, min(hour) AS start FROM s),
+x AS (SELECT sds_sensor, hour, date_diff('microsecond', start, hour) / 3.6e9 AS t, lon, lat, (ln(P1) - mean) / sd AS z FROM s, f),
+p AS (SELECT t AS zt, lon AS zlon, lat AS zlat, row_number() OVER
+(ORDER BY md5(sds_sensor::VARCHAR || '#' || epoch_us(hour)::VARCHAR || '#42')) - 1 AS i FROM x QUALIFY i < {A17_POINTS}),
+d AS (SELECT i, sds_sensor, hour, z, t - zt AS dt, sqrt(pow(lon - zlon, 2) + pow(lat - zlat, 2)) AS ds FROM x, p),
+k AS (SELECT i, sds_sensor, hour, z, {TIME_SQL} * {MATERN_SQL.format(d='ds', l='0.05')} AS k FROM d)
+SELECT a.i, b.i AS j, round(sum(a.k * b.k), 6) AS v FROM k a JOIN k b ON a.sds_sensor = b.sds_sensor AND a.hour = b.hour AND a.i <= b.i GROUP BY 1, 2
+UNION ALL SELECT i, {A17_POINTS}, round(sum(k * z), 6) FROM k GROUP BY 1
+UNION ALL SELECT -1, 0, round(sum(z * z), 6) FROM x UNION ALL SELECT -1, 1, count(*) FROM x
+"""
+
+
+@query("a17_sparse_statistics", A17_SQL, "dust_hourly")
 def sparse_statistics(spark, sf):
-    """Upper triangle of the summed statistics of all readings."""
+    """Summed statistics of all hourly rows: upper triangle, kernel-weighted targets, scalars."""
     df = study(spark, sf)
     rows = trainer.TargetScale.fit(df).apply(df)
-    z = trainer.draw_points(rows, 20)
+    drawn = rows.withColumn("us", F.unix_micros("timestamp")).orderBy(draw_key(["sds_sensor", "us"]))
+    z = drawn.limit(A17_POINTS).select("t", "lon", "lat").toPandas().to_numpy(float)
     s = statistics.sufficient_statistics(rows, {0: z}, [kernels.get_kernel("basic")])[(0, 0)]
-    cells = [(i, j, float(s.a[i, j])) for i in range(20) for j in range(i, 20)]
+    n = len(z)
+    cells = [(i, j, float(s.a[i, j])) for i in range(n) for j in range(i, n)]
+    cells += [(i, A17_POINTS, float(s.b[i])) for i in range(n)] + [(-1, 0, s.yy), (-1, 1, s.n)]
     return rounded(spark.createDataFrame(cells, "i int, j int, v double"))
 
 
@@ -80,12 +106,8 @@ def sensor_fold_errors(spark, sf):
 
 @query("m10_map_prediction")
 def map_prediction(spark, sf):
-    """Grid at the latest hour with readings, from a model of the hourly means."""
-    hourly = dust_hourly(spark, sf).filter(F.col("P1").isNotNull()).join(
-        pairs(spark, sf).select("sds_sensor", "lat", "lon").distinct(), "sds_sensor"
-    ).withColumnRenamed("hour", "timestamp")
-    df = select.floor_target(hourly.drop("P2"))
-    model = trainer.SparseModel(trainer.TargetScale.fit(df)).build(df, M)
+    """Grid over the sensors that report in the latest hour."""
+    model, df = _model(spark, sf)
     return rounded(evaluate.map_prediction(model, df))
 
 
@@ -99,5 +121,4 @@ def map_hexagons(spark, sf):
 @query("m11_observed_and_predicted_series")
 def city(spark, sf):
     model, df = _model(spark, sf)
-    daily = model.predict(df, reference_variance=True).withColumn("timestamp", F.date_trunc("hour", "timestamp"))
-    return rounded(evaluate.city_series(daily))
+    return rounded(evaluate.city_series(model.predict(df, reference_variance=True)))

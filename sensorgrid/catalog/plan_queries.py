@@ -170,7 +170,7 @@ def _study_frame(spark, sf):
 
 
 STUDY_CTE = f"""
-WITH j AS (SELECT d.hour AS timestamp, ln(d.P1) AS P1, w.temp_meteo, w.pres_meteo + d.P2 AS pres_meteo, w.hum_meteo, w.wind_speed, a.sealevel_alt
+WITH j AS (SELECT d.hour AS timestamp, ln(CASE WHEN d.P1 > 0 THEN d.P1 END) AS P1, w.temp_meteo, w.pres_meteo + d.P2 AS pres_meteo, w.hum_meteo, w.wind_speed, a.sealevel_alt
 FROM dust_hourly d LEFT JOIN weather_hourly w ON d.hour = w.hour JOIN altitudes a ON a.bme_sensor = d.sds_sensor + {METEO_ID_BASE})
 """
 

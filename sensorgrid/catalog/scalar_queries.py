@@ -168,10 +168,20 @@ def units(spark, sf):
     ))
 
 
+@query(
+    "c14_surface_altitude",
+    "SELECT event_id, round((125.0 + value) - (props->>'k')::DOUBLE, 6) AS surface_alt FROM events",
+)
+def surface(spark, sf):
+    """Sea-level altitude minus ground elevation."""
+    ground = F.from_json("props", "k double")["k"]
+    return rounded(events(spark, sf).select("event_id", ((F.lit(125.0) + F.col("value")) - ground).alias("surface_alt")))
+
+
 @query(
     "c15_standardised_log_target",
-    """WITH m AS (SELECT avg(ln(P1)) AS mean, stddev_pop(ln(P1)) AS sd FROM labelled)
-    SELECT sds_sensor, timestamp, round((ln(P1) - mean) / sd, 6) AS z, round(exp((ln(P1) - mean) / sd * sd + mean), 6) AS back
+    """WITH m AS (SELECT avg(ln(CASE WHEN P1 > 0 THEN P1 END)) AS mean, stddev_pop(ln(CASE WHEN P1 > 0 THEN P1 END)) AS sd FROM labelled)
+    SELECT sds_sensor, timestamp, round((ln(CASE WHEN P1 > 0 THEN P1 END) - mean) / sd, 6) AS z, round(exp((ln(CASE WHEN P1 > 0 THEN P1 END) - mean) / sd * sd + mean), 6) AS back
     FROM labelled, m""",
     "labelled",
 )
@@ -207,14 +217,14 @@ def _against_centre(spark, sf):
 
 _X = ("SELECT sds_sensor, timestamp, date_diff('microsecond', (SELECT min(timestamp) FROM labelled), timestamp) / 3.6e9 - 360.0 AS dt, "
       "sqrt(pow(lon - 37.6::DOUBLE, 2) + pow(lat - 55.75::DOUBLE, 2)) AS ds FROM labelled")
-_M32 = "(1 + sqrt(3.0::DOUBLE) * abs({d}) / {l}::DOUBLE) * exp(-sqrt(3.0::DOUBLE) * abs({d}) / {l}::DOUBLE)"
+MATERN_SQL = "(1 + sqrt(3.0::DOUBLE) * abs({d}) / {l}::DOUBLE) * exp(-sqrt(3.0::DOUBLE) * abs({d}) / {l}::DOUBLE)"
 _PER = "exp(-0.5 * pow(sin(pi() * dt / {p}) / 12.0, 2))"
-_TIME = "({t} + {t} * ({c}))".format(t=_M32.format(d="dt", l="5.0"), c=" + ".join(_PER.format(p=p) for p in (8, 10, 30, 2)))
+TIME_SQL = "({t} + {t} * ({c}))".format(t=MATERN_SQL.format(d="dt", l="5.0"), c=" + ".join(_PER.format(p=p) for p in (8, 10, 30, 2)))
 
 
 @query(
     "m1_matern32_kernel",
-    f"SELECT sds_sensor, timestamp, round({_M32.format(d='ds', l='0.05')}, 6) AS k FROM ({_X})",
+    f"SELECT sds_sensor, timestamp, round({MATERN_SQL.format(d='ds', l='0.05')}, 6) AS k FROM ({_X})",
     "labelled",
 )
 def matern(spark, sf):
@@ -234,7 +244,7 @@ def periodic(spark, sf):
 
 @query(
     "m3_combined_kernels",
-    f"SELECT sds_sensor, timestamp, round({_TIME}, 6) AS time_cov, round({_TIME} * {_M32.format(d='ds', l='0.05')}, 6) AS basic FROM ({_X})",
+    f"SELECT sds_sensor, timestamp, round({TIME_SQL}, 6) AS time_cov, round({TIME_SQL} * {MATERN_SQL.format(d='ds', l='0.05')}, 6) AS basic FROM ({_X})",
     "labelled",
 )
 def combined(spark, sf):

@@ -173,7 +173,7 @@ def features(spark, sf):
 
 @query(
     "f12_replaced_target",
-    "SELECT timestamp, lat, lon, sds_sensor, round(ln(P1), 6) AS P1 FROM (SELECT * EXCLUDE (P2) FROM labelled)",
+    "SELECT timestamp, lat, lon, sds_sensor, round(ln(CASE WHEN P1 > 0 THEN P1 END), 6) AS P1 FROM (SELECT * EXCLUDE (P2) FROM labelled)",
     "labelled",
 )
 def target(spark, sf):

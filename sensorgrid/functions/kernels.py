@@ -25,6 +25,26 @@ class Kernel:
         return Combined("product", (self, other))
 
     def matrix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Covariance of the rows of ``a`` and ``b``.
+
+        Hourly rows share few times and few places, so a kernel is worked out on the
+        distinct values of its dimensions where these are clearly fewer than the rows.
+        """
+        dims = sorted(self.active())
+        if 0 < len(dims) < b.shape[1] and len(b) > 1:
+            part = b[:, dims[0]] if len(dims) == 1 else b[:, dims]
+            values, first, place = np.unique(
+                part, axis=None if len(dims) == 1 else 0, return_index=True, return_inverse=True
+            )
+            if 2 * len(values) <= len(b):
+                return self.raw_matrix(a, b[first])[:, place.ravel()]
+        return self.raw_matrix(a, b)
+
+    def active(self) -> set[int]:
+        """Dimensions the kernel looks at."""
+        raise NotImplementedError
+
+    def raw_matrix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
     def diagonal(self, a: np.ndarray) -> np.ndarray:
@@ -37,11 +57,13 @@ class Kernel:
         return json.dumps(self.as_dict())
 
 
-def _sqdist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if a.shape[1] == 1:
+        return np.abs(np.subtract.outer(a[:, 0], b[:, 0]))
     out = np.zeros((a.shape[0], b.shape[0]))
     for d in range(a.shape[1]):
         out += np.subtract.outer(a[:, d], b[:, d]) ** 2
-    return out
+    return np.sqrt(out)
 
 
 @dataclass(frozen=True)
@@ -52,8 +74,11 @@ class Matern32(Kernel):
     lengthscale: float = 1.0
     variance: float = 1.0
 
-    def matrix(self, a, b):
-        r = np.sqrt(3.0 * _sqdist(a[:, self.dims], b[:, self.dims])) / self.lengthscale
+    def active(self):
+        return set(self.dims)
+
+    def raw_matrix(self, a, b):
+        r = _distance(a[:, self.dims], b[:, self.dims]) * (math.sqrt(3.0) / self.lengthscale)
         return self.variance * (1.0 + r) * np.exp(-r)
 
     def diagonal(self, a):
@@ -79,7 +104,10 @@ class Periodic(Kernel):
     lengthscale: float = 1.0
     variance: float = 1.0
 
-    def matrix(self, a, b):
+    def active(self):
+        return set(self.dims)
+
+    def raw_matrix(self, a, b):
         total = np.zeros((a.shape[0], b.shape[0]))
         for d in self.dims:
             total += (np.sin(np.pi * np.subtract.outer(a[:, d], b[:, d]) / self.period) / self.lengthscale) ** 2
@@ -108,7 +136,10 @@ class Constant(Kernel):
 
     variance: float = 1.0
 
-    def matrix(self, a, b):
+    def active(self):
+        return set()
+
+    def raw_matrix(self, a, b):
         return np.full((a.shape[0], b.shape[0]), self.variance)
 
     def diagonal(self, a):
@@ -135,7 +166,10 @@ class Combined(Kernel):
             out = out + v if self.how == "sum" else out * v
         return out
 
-    def matrix(self, a, b):
+    def active(self):
+        return set().union(*(p.active() for p in self.parts))
+
+    def raw_matrix(self, a, b):
         return self._fold(p.matrix(a, b) for p in self.parts)
 
     def diagonal(self, a):

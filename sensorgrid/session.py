@@ -76,5 +76,12 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
 
 
 def wide(spark: SparkSession) -> int:
-    """Task count for work that is heavy per row: all cores, or more where the session shuffles wider."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Task count for work that is heavy per row.
+
+    A cluster gets two tasks per core, or more where the session shuffles wider; adaptive
+    execution would size such tasks by their bytes, which say little here.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    if spark.sparkContext.master.startswith("local"):
+        return cores
+    return max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
