@@ -96,11 +96,12 @@ def sample_position(readings: DataFrame, file: str = "file", time: str = "timest
     return first_two.groupBy(file).agg(F.max(row).alias("_r")).select(file, *[F.col("_r")[c].alias(c) for c in columns])
 
 
-def high_water(df: DataFrame, key: str, time: str = "timestamp") -> DataFrame:
+def high_water(df: DataFrame, key: str | Sequence[str], time: str = "timestamp") -> DataFrame:
     """First day not yet loaded per key: the day after its last row."""
+    keys = [key] if isinstance(key, str) else list(key)
     return (
         df.filter(F.col(time).isNotNull())
-        .groupBy(key)
+        .groupBy(*keys)
         .agg(F.date_add(F.to_date(F.max(time)), 1).alias("next_day"))
     )
 

@@ -19,11 +19,13 @@ def load_plan(sensors: DataFrame, stored: DataFrame, today: Column, server: str
     """``sensor_id, sensor_type, day, url, file`` of every missing sensor day.
 
     A sensor starts at the day after its last stored row, but not before the default
-    day, and ends yesterday.  ``stored`` has ``sensor_id, timestamp``.
+    day, and ends yesterday.  ``stored`` has ``sensor_id, timestamp`` and, where one id has
+    files of several types, ``sensor_type``.
     """
     default_day = aggregates.default_load_day(today)
-    marks = aggregates.high_water(stored, "sensor_id")
-    start = aggregates.load_start(sensors.join(marks, "sensor_id", "left"), default_day)
+    key = ["sensor_id", "sensor_type"] if "sensor_type" in stored.columns else ["sensor_id"]
+    marks = aggregates.high_water(stored, key)
+    start = aggregates.load_start(sensors.join(marks, key, "left"), default_day)
     days = start.select(
         "sensor_id", "sensor_type", F.explode(scalar.days_between("start_day", F.date_sub(today, 1))).alias("day")
     )

@@ -63,6 +63,9 @@ def test_load_plan(spark):
     days = lambda s: sorted(str(r["day"]) for r in plan if r["sensor_id"] == s)
     assert days(1) == ["2019-12-04", "2019-12-05"] and days(3) == []
     assert days(2)[0] == "2019-11-06" and len(days(2)) == 30
+    typed = stored.withColumn("sensor_type", F.lit("bme280"))
+    by_type = loading.load_plan(loading.listed_sensors(lines), typed, F.lit("2019-12-06").cast("date"))
+    assert by_type.filter("sensor_id = 1").count() == 30  # the stored rows are of another type
     row = next(r for r in plan if r["sensor_id"] == 1)
     assert row["file"] == "1_sds011_sensor_.csv" and row["url"].endswith(f"{row['day']}_sds011_sensor_1.csv")
 

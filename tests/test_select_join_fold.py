@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from sensorgrid.accessor import spat
 from sensorgrid.config import DISCOVERY_BOX, Roles
 from sensorgrid.operators import aggregates, folds, joins, sampling, select
 
@@ -39,6 +40,18 @@ def test_half_open_selection(ds):
     assert select.sploc(ds, slice(3, 5)).count() == 2
 
 
+def test_accessor(ds):
+    view = spat(ds)
+    assert set(view.with_x_columns(["x"]).x.columns) == {"timestamp", "lat", "lon", "sds_sensor", "x"}
+    assert view.with_y_column("y").y.columns == ["y"]
+    assert view.replace_x(lon=F.lit(1.0)).x.first()["lon"] == 1.0 and view.replace_y(F.lit(0)).y.first()["P1"] == 0
+    assert view.tloc["2021-03-01":"2021-03-03"].count() == 2 and view.tloc["2021-03-01"].count() == 1
+    assert view.sploc[3, 6].count() == 1 and view.sploc[3:5, :].count() == 2
+    assert view.random_sensors(2).count() == 2 and view.locations().count() == 3 and view.series("P1").count() == 3
+    with pytest.raises(AttributeError):
+        spat(ds.drop("lat"))
+
+
 def test_selection_is_pushed_to_the_scan(spark, sf):
     df = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts")
     plan = select.tloc(df, slice("2024-01-05", "2024-01-09"), Roles(time="ts"))._jdf.queryExecution().executedPlan().toString()
