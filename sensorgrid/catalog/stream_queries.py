@@ -10,7 +10,7 @@ from sensorgrid.catalog.source_queries import S1_SQL, _raw_dust
 from sensorgrid.model import trainer
 from sensorgrid.operators import select
 from sensorgrid.schemas import SDS_RAW
-from sensorgrid.session import run_dir
+from sensorgrid.session import local_state_width, run_dir
 from sensorgrid.streaming import hourly, ingest, online
 
 
@@ -39,7 +39,8 @@ def meteo_stream(spark, sf):
 def finish(spark, stream, name):
     """Append the stream to a new table in the shared folder and read the table."""
     root = run_dir(spark, name)
-    ingest.append_available(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    with local_state_width(spark):
+        ingest.append_available(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/table")
 
 
@@ -115,7 +116,8 @@ def online_model(spark, sf):
     day = F.to_date("timestamp")
     rest.repartitionByRange(20, day, "timestamp").write.parquet(f"{root}/days")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 5).parquet(f"{root}/days")
-    online.update_available(stream, f"{root}/state", f"{root}/checkpoint").awaitTermination()
+    with local_state_width(spark):
+        online.update_available(stream, f"{root}/state", f"{root}/checkpoint").awaitTermination()
     return rounded(spark.read.parquet(f"{root}/state").select("batch", "noise", "bound", "m", "updates"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +76,23 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
+@contextmanager
+def local_state_width(spark: SparkSession):
+    """Streams started inside keep one state partition per core on a local session.
+
+    Stream state is not coalesced at run time, so the session's width is what every
+    micro-batch pays for.  A cluster session keeps its own setting.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def wide(spark: SparkSession) -> int:
     """Task count for work that is heavy per row.
 
