@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorgrid.catalog.base import (
-    altitudes, dust, dust_hourly, labelled, meteo_hourly, positions, query, readings, rounded, station, table, weather_hourly,
-)
-from sensorgrid.functions import scalar
-from sensorgrid.operators import aggregates, numbering, resample, spectral
-from sensorgrid.operators.select import floor_target, sensor_series
+from sensorgrid.catalog.base import altitudes, dust, dust_hourly, labelled, query, readings, rounded, weather_hourly
+from sensorgrid.operators import aggregates, resample, spectral
+from sensorgrid.operators.select import sensor_series
 
 A1_SQL = """
 WITH h AS (SELECT sensor_id, date_trunc('hour', ts) AS hour, avg(value) AS value FROM readings GROUP BY 1, 2),

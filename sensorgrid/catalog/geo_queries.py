@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorgrid.catalog.base import events, labelled, pairs, place_lat, place_lon, place_sql, query, rounded, table
+from sensorgrid.catalog.base import labelled, pairs, place_lat, place_lon, place_sql, query, rounded, table
 from sensorgrid.functions import geo
 from sensorgrid.operators import aggregates, nearest
 from sensorgrid.sources import features as feature_source

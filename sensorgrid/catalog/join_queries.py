@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorgrid.catalog.base import (
-    WEATHER, altitudes, dust, dust_hourly, ground, labelled, meteo_hourly, pairs, positions, query, readings, rounded,
-    station, weather_hourly,
+    altitudes,
+    dust_hourly,
+    ground,
+    labelled,
+    meteo_hourly,
+    pairs,
+    query,
+    readings,
+    rounded,
+    weather_hourly,
 )
-from sensorgrid.functions import scalar, text
 from sensorgrid.operators import joins, resample, sampling
 
 METEO = ["pressure", "temperature", "humidity"]

@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorgrid.catalog.base import (
-    METEO_ID_BASE, altitudes, dust, dust_hourly, events, ground, meteo, pairs, place_lat, place_lon, place_sql, positions, query,
-    readings, rounded, weather_hourly,
+    METEO_ID_BASE,
+    altitudes,
+    dust,
+    dust_hourly,
+    events,
+    ground,
+    meteo,
+    pairs,
+    place_lat,
+    place_lon,
+    place_sql,
+    query,
+    readings,
+    rounded,
+    weather_hourly,
 )
 from sensorgrid.catalog.geo_queries import J11_SQL, shapes
 from sensorgrid.catalog.join_queries import LINK_NAMES, WEATHER_SQL, archive_links, checked_links

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorgrid.catalog.base import dust, events, labelled, meteo, place_lat, place_lon, query, readings, rounded, table
+from sensorgrid.catalog.base import events, labelled, meteo, query, readings, rounded, table
 from sensorgrid.functions import kernels, scalar, text
 
 C1_SQL = """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorgrid.catalog.base import dust, events, labelled, meteo, pairs, positions, query, readings, rounded, station
+from sensorgrid.catalog.base import dust, events, labelled, meteo, positions, query, rounded
 from sensorgrid.catalog.join_queries import LINK_NAMES, archive_links
 from sensorgrid.config import DISCOVERY_BOX, MAP_BOX, Roles, StudyPeriod
 from sensorgrid.operators import aggregates, select

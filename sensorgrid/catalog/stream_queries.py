@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorgrid.catalog.base import METEO_ID_BASE, events, pairs, query, rounded, station, weather_hourly
+from sensorgrid.catalog.base import METEO_ID_BASE, events, pairs, query, rounded, weather_hourly
 from sensorgrid.catalog.model_queries import M, PERIOD, study
 from sensorgrid.catalog.source_queries import S1_SQL, _raw_dust
 from sensorgrid.model import trainer
