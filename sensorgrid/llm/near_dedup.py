@@ -181,66 +181,115 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return map_batches(ordered.select("a", "kind", "b", "text"), test, "a bigint, b bigint")
 
 
-def confirmed_in_groups(groups: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between nodes of one group of likely partners that no link has joined so far.
+def blocked(named: DataFrame, sizes: DataFrame, payload: DataFrame, column: str) -> DataFrame:
+    """Rows ``(grp, i, j, side, node, label, column)``, each pair (i, j) of blocks of a group in one task and in a row.
 
-    A group whose nodes carry one label is settled.  The others are cut into blocks of about
-    ``BLOCK`` nodes, and each pair of blocks is one small piece of work that counts the
-    intersections of all its sets at once; only links leave it.
+    ``named`` has ``(grp, node, label)``, ``sizes`` the number ``n`` of nodes of the groups wanted.  A node is sent
+    to as many pieces of work as its group has blocks.
     """
+    blocks = sizes.select("grp", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    cells = (
+        named.join(blocks, "grp").withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label")
+    )
+    wide = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        cells.join(payload, "node").repartition(wide, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "node")
+        .select("grp", "i", "j", "side", "node", "label", column)
+    )
+
+
+def open_sizes(named: DataFrame) -> DataFrame:
+    """``(grp, n)`` of the groups of more than two nodes that carry more than one label."""
+    return (
+        named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .filter("lo < hi AND n > 2").select("grp", "n")
+    )
+
+
+def tested_blocks(rows: DataFrame, values, links) -> DataFrame:
+    """Pairs ``(a, b)`` that ``links`` finds in each piece of work; ``values`` reads a batch's last column."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, here, rows = Shingler(width), None, []
+        read, here, met = values(), None, []
         for batch in batches:
             cell = [batch.column(k).to_pylist() for k in range(6)]
-            for group, i, j, side, node, label, members in zip(*cell, shingler.sets(batch.column(6))):
+            for group, i, j, side, node, label, value in zip(*cell, read(batch.column(6))):
                 if here != (group, i, j):
-                    yield block_links(rows, percent)
-                    here, rows = (group, i, j), []
-                rows.append((side, node, label, members))
-        yield block_links(rows, percent)
+                    yield pairs_batch(links(met))
+                    here, met = (group, i, j), []
+                met.append((side, node, label, value))
+        yield pairs_batch(links(met))
+
+    return map_batches(rows, test, "a bigint, b bigint")
+
+
+def pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+
+def facing(rows: list[tuple]) -> Iterator[tuple[int, slice]]:
+    """Each row with the rows it has to meet: those of the other side, or the later ones if there is one side."""
+    if len(rows) > 1:
+        left = sum(r[0] == 0 for r in rows)
+        within = left == len(rows)
+        for k in range(len(rows) - 1 if within else left):
+            yield k, slice(k + 1 if within else left, len(rows))
 
+
+def confirmed_in_groups(groups: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between nodes of one group of likely partners that no link has joined so far.
+
+    A group whose nodes carry one label is settled.  The others are cut into blocks, and each pair of
+    blocks is one small piece of work that counts the intersections of all its sets at once.
+    """
     named = groups.withColumnRenamed("component", "grp").join(labels, "node", "left").select(
         "grp", "node", F.coalesce("component", "node").alias("label"))
-    sizes = (
-        named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .filter("lo < hi AND n > 2").select("grp", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    )
-    cells = (
-        named.join(sizes, "grp").withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label")
-    )
-    wide = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = (
-        cells.join(texts, "node").repartition(wide, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "node")
-        .select("grp", "i", "j", "side", "node", "label", "text")
-    )
-    return map_batches(rows, test, "a bigint, b bigint")
+    rows = blocked(named, open_sizes(named), texts, "text")
+    return tested_blocks(rows, lambda: Shingler(width).sets, lambda met: block_links(met, percent))
+
+
+def likely_in_buckets(members: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Likely partners in one bucket that its star left in different groups, because the leader met them by chance."""
+    named = members.filter("n > 2").join(groups, "node", "left").select(
+        F.col("key").alias("grp"), "node", F.coalesce("component", "node").alias("label"))
 
+    def signs(column: pa.Array) -> Iterator[np.ndarray]:
+        return (np.frombuffer(v, np.uint32) for v in column.to_pylist())
 
-def block_links(rows: list[tuple], percent: int) -> pa.RecordBatch:
-    """Links among rows ``(side, node, label, set)``: between the sides, or within if there is one side."""
+    def agreeing(rows: list[tuple]) -> list[tuple[int, int]]:
+        found: list[tuple[int, int]] = []
+        if len(rows) > 1:
+            signed, labels = np.stack([r[3] for r in rows]), np.array([r[2] for r in rows], np.int64)
+            nodes_ = [r[1] for r in rows]
+            for k, others in facing(rows):
+                near = (labels[others] != labels[k]) & ((signed[others] == signed[k]).sum(axis=1) >= LEAST_EQUAL)
+                found += [(min(nodes_[k], nodes_[x]), max(nodes_[k], nodes_[x])) for x in np.flatnonzero(near) + others.start]
+        return found
+
+    rows = blocked(named, open_sizes(named), nodes.select("node", "minhashes"), "minhashes")
+    return tested_blocks(rows, lambda: signs, agreeing).distinct()
+
+
+def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links among rows ``(side, node, label, set)`` of different labels."""
     found: list[tuple[int, int]] = []
     labels = np.array([r[2] for r in rows], np.int64)
     if len(rows) > 1 and labels.min() < labels.max():
-        side, nodes = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
-        sizes = np.array([len(r[3]) for r in rows])
+        nodes, sizes = np.array([r[1] for r in rows], np.int64), np.array([len(r[3]) for r in rows])
         terms, flat = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        within = side.max() == 0
-        for k in range(len(rows) if within else int((side == 0).sum())):
-            others = slice(k + 1, len(rows)) if within else slice(int((side == 0).sum()), len(rows))
-            if others.start >= len(rows) or not (labels[others] != labels[k]).any():
-                continue
-            mark = np.zeros(len(terms), np.int64)
-            mark[flat[starts[k]:starts[k + 1]]] = 1
-            common = np.add.reduceat(mark[flat[starts[others.start]:]], starts[others.start:-1] - starts[others.start])
-            link = (labels[others] != labels[k]) & (100 * common >= percent * (sizes[k] + sizes[others] - common))
-            found += [(int(nodes[k]), int(b)) for b in nodes[others][link]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+        for k, others in facing(rows):
+            if (labels[others] != labels[k]).any():
+                mark = np.zeros(len(terms), np.int64)
+                mark[flat[starts[k]:starts[k + 1]]] = 1
+                common = np.add.reduceat(mark[flat[starts[others.start]:]], starts[others.start:-1] - starts[others.start])
+                link = (labels[others] != labels[k]) & (100 * common >= percent * (sizes[k] + sizes[others] - common))
+                found += [(int(nodes[k]), int(b)) for b in nodes[others][link]]
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -287,13 +336,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     tested = stored(stars, "stars")
     near = stored(likely(tested, nodes), "pairs")
     groups = components(near)
-    # Members of one bucket that its star left in different groups: the leader met them by chance.
-    placed = members.filter("n > 2").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("grp"))
-    split = placed.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("key")
-    left = stored(placed.join(split, "key"), "split")
-    x, y = (left.select("key", F.col("node").alias(n), F.col("grp").alias(f"g{n}")) for n in ("a", "b"))
-    across = x.join(y, "key").filter("a < b AND ga <> gb").select("a", "b").distinct()
-    strays = stored(likely(across.join(tested, ["a", "b"], "left_anti"), nodes), "pairs")
+    strays = stored(likely_in_buckets(members, groups, nodes), "pairs")
     if not strays.isEmpty():
         near = stored(near.unionAll(strays), "pairs")
         groups = components(near)
