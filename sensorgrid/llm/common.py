@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A batch that goes to Python holds at most so many rows and bytes.
-BATCH_ROWS = 1000
-BATCH_BYTES = 4 << 20
+BATCH_ROWS = 500
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -41,8 +41,8 @@ MINHASHES = 4 * HALVES
 LEAST_EQUAL = 16
 #: Members that one task tests against a leader; a larger star is split.
 STAR_ROWS = 256
-#: Nodes of a block, on average, in groups that a star of links did not settle.
-BLOCK = 192
+#: Nodes of a block, on average, where texts are compared and where minhashes are.
+TEXT_BLOCK, SIGNATURE_BLOCK = 192, 4096
 
 _SEEDS = mixed(np.arange(1, 2 * MINHASHES + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 _MASKS, _FACTORS = _SEEDS[:MINHASHES], _SEEDS[MINHASHES:] | np.uint64(1)
@@ -181,13 +181,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return map_batches(ordered.select("a", "kind", "b", "text"), test, "a bigint, b bigint")
 
 
-def blocked(named: DataFrame, sizes: DataFrame, payload: DataFrame, column: str) -> DataFrame:
+def blocked(named: DataFrame, sizes: DataFrame, payload: DataFrame, column: str, block: int) -> DataFrame:
     """Rows ``(grp, i, j, side, node, label, column)``, each pair (i, j) of blocks of a group in one task and in a row.
 
     ``named`` has ``(grp, node, label)``, ``sizes`` the number ``n`` of nodes of the groups wanted.  A node is sent
     to as many pieces of work as its group has blocks.
     """
-    blocks = sizes.select("grp", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    blocks = sizes.select("grp", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
     cells = (
         named.join(blocks, "grp").withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -248,7 +248,7 @@ def confirmed_in_groups(groups: DataFrame, labels: DataFrame, texts: DataFrame,
     """
     named = groups.withColumnRenamed("component", "grp").join(labels, "node", "left").select(
         "grp", "node", F.coalesce("component", "node").alias("label"))
-    rows = blocked(named, open_sizes(named), texts, "text")
+    rows = blocked(named, open_sizes(named), texts, "text", TEXT_BLOCK)
     return tested_blocks(rows, lambda: Shingler(width).sets, lambda met: block_links(met, percent))
 
 
@@ -270,7 +270,7 @@ def likely_in_buckets(members: DataFrame, groups: DataFrame, nodes: DataFrame) -
                 found += [(min(nodes_[k], nodes_[x]), max(nodes_[k], nodes_[x])) for x in np.flatnonzero(near) + others.start]
         return found
 
-    rows = blocked(named, open_sizes(named), nodes.select("node", "minhashes"), "minhashes")
+    rows = blocked(named, open_sizes(named), nodes.select("node", "minhashes"), "minhashes", SIGNATURE_BLOCK)
     return tested_blocks(rows, lambda: signs, agreeing).distinct()
 
 
