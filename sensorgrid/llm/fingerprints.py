@@ -140,7 +140,7 @@ def with_next_text(rows: DataFrame) -> DataFrame:
     key = F.coalesce("doc_id", F.lit(LEAST_ID))
     ids = rows.select(key.cast("double").alias("place"), key.alias("sort_id"))
     cuts = sorted(set(ids.approxQuantile("place", [k / (2 * wide) for k in range(1, 2 * wide)], 0.2 / wide)))
-    bucketizer = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="place", outputCol="range")
+    bucketizer = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="place", outputCol="range")
     tops = [(int(r["range"]), r["top"]) for r in bucketizer.transform(ids).groupBy("range").agg(F.max("sort_id").alias("top")).collect()]
     tops.sort()
     above = {top: tops[(k + 1) % len(tops)][0] for k, (_, top) in enumerate(tops)}
