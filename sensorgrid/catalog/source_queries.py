@@ -49,7 +49,7 @@ def files(spark, sf):
 
 @query(
     "s2_altitude_columns_uncoerced",
-    "SELECT user_id AS sensor_id, date_trunc('second', ts) AS timestamp, 98000.0 + value * 10 AS pressure FROM events WHERE event_type = 'error'",
+    "SELECT user_id AS sensor_id, date_trunc('second', ts) AS timestamp, 98000.0 + value * 10 AS pressure FROM events WHERE event_type IN ('purchase', 'error')",
 )
 def altitude_read(spark, sf):
     from sensorgrid.schemas import BME_COLUMNS
@@ -60,7 +60,7 @@ def altitude_read(spark, sf):
         "pressure": (F.lit(98000.0) + F.col("value") * 10).cast("string"),
     }
     empty = F.lit(None).cast("string")
-    raw = events(spark, sf).filter(F.col("event_type") == "error").select(
+    raw = events(spark, sf).filter(F.col("event_type").isin("purchase", "error")).select(
         *[made.get(c, empty).alias(c) for c in BME_COLUMNS]
     )
     return readings.coerce(raw).select("sensor_id", "timestamp", "pressure")

@@ -93,7 +93,7 @@ def enriched(spark, sf):
     f"""WITH h AS ({HOURLY}), m AS (SELECT bme_sensor, date_trunc('hour', ts) AS hour, avg(pressure) AS pressure FROM meteo GROUP BY 1, 2)
     SELECT h.sds_sensor, p.bme_sensor, h.hour, round(h.P1, 6) AS P1, round(m.pressure, 6) AS pressure FROM h JOIN pairs p ON p.sds_sensor = h.sds_sensor
     LEFT JOIN m ON m.bme_sensor = p.bme_sensor AND m.hour = h.hour
-    WHERE h.hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR""",
+    WHERE h.hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
     "dust meteo pairs",
 )
 def paired(spark, sf):
@@ -102,22 +102,29 @@ def paired(spark, sf):
         dust_stream(spark, sf), meteo_stream(spark, sf), pairs(spark, sf), ["P1"], ["pressure"]
     )
     last = events(spark, sf).agg(F.max(F.col("ts").cast("timestamp"))).scalar()
-    return rounded(hourly.closed_hours(finish(spark, joined, "paired"), last, delay="6 hours"))
+    return rounded(hourly.closed_hours(finish(spark, joined, "paired"), last, delay="2 hours"))
 
 
 @query("st6_online_model")
 def online_model(spark, sf):
-    """Five daily files per micro-batch update the model; one state row per batch."""
+    """Four spans of days, each one micro-batch, update the model; one state row per batch.
+
+    A span is written and then read to its end before the next one arrives, so a batch always
+    holds the same rows.
+    """
     df = study(spark, sf)
     first, rest = select.split_at(df, PERIOD.split)
     root = run_dir(spark, "online")
     model = trainer.SparseModel(trainer.TargetScale.fit(first)).build(first, M)
     online.write_state(model, spark, f"{root}/state", -1)
     day = F.to_date("timestamp")
-    rest.repartitionByRange(20, day, "timestamp").write.parquet(f"{root}/days")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 5).parquet(f"{root}/days")
+    span = rest.agg(F.min(day).alias("first"), (F.datediff(F.max(day), F.min(day)) + 1).alias("days")).first()
+    part = F.floor(F.datediff(day, F.lit(span["first"])) * 4 / F.lit(span["days"]))
     with local_state_width(spark):
-        online.update_available(stream, f"{root}/state", f"{root}/checkpoint").awaitTermination()
+        for k in range(4):
+            rest.filter(part == k).write.mode("append").parquet(f"{root}/days")
+            stream = spark.readStream.schema(df.schema).parquet(f"{root}/days")
+            online.update_available(stream, f"{root}/state", f"{root}/checkpoint").awaitTermination()
     return rounded(spark.read.parquet(f"{root}/state").select("batch", "noise", "bound", "m", "updates"))
 
 

@@ -93,7 +93,8 @@ def _centroid(ring: Column, edges: Column) -> Column:
     o, n = F.element_at(ring, 1), F.size(ring).cast("double")
 
     def vertex_mean(c: str) -> Column:
-        return F.aggregate(ring, zero, lambda a, p: a + p.getField(c)) / n
+        # An empty ring has no centre.
+        return F.try_divide(F.aggregate(ring, zero, lambda a, p: a + p.getField(c)), n)
 
 
     def place(acc):

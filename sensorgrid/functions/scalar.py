@@ -85,9 +85,9 @@ def mmhg_to_pa(c) -> Column:
 
 
 def altitude_step(pressure, temperature, station_pressure) -> Column:
-    """Height of the sensor over the station in metres, from the barometric step."""
+    """Height of the sensor over the station in metres, from the barometric step; NULL at zero pressure."""
     p, t, ps = _col(pressure), _col(temperature), _col(station_pressure)
-    step = F.lit(8000.0) / (p / 1000.0) * (F.lit(1.0) + F.lit(0.00366) * t)
+    step = F.try_divide(F.lit(8000.0), p / 1000.0) * (F.lit(1.0) + F.lit(0.00366) * t)
     return -step * ((p - ps) / 1000.0)
 
 

@@ -145,7 +145,9 @@ def hexagon_mean(
 
     def place(axis: str, cells: int, low: str, high: str):
         width = F.col("_e")[high] - F.col("_e")[low]
-        pad = width * F.lit(1e-9)  # keeps the extreme points off the lattice edge
+        # A tiny pad keeps the extreme points off the lattice edge; an extent of one value is widened by a tenth of it.
+        pad = F.when(width > 0, width * F.lit(1e-9)).otherwise(
+            F.when(F.col("_e")[low] == 0, F.lit(0.1)).otherwise(F.abs(F.col("_e")[low]) * F.lit(0.1)))
         start, stop = F.col("_e")[low] - pad, F.col("_e")[high] + pad
         return (F.col(axis) - start) / ((stop - start) / F.lit(float(cells)))
 

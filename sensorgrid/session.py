@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -19,9 +18,6 @@ RUNTIME_CONF = {
 }
 
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def build_session(app: str = "sensorgrid", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -42,20 +38,10 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    A local session without the setting gets its own folder; a cluster session
-    without it is an error, since a machine-local folder would be lost with the
-    machine.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL_DIRS:
-            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="sensorgrid-")
-        root = _LOCAL_DIRS[app]
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/working/{spark.sparkContext.applicationId}"
     return root.rstrip("/")
 
 
@@ -78,15 +64,14 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
 
 @contextmanager
 def local_state_width(spark: SparkSession):
-    """Streams started inside keep one state partition per core on a local session.
+    """Streams started inside keep at most one state partition per core.
 
     Stream state is not coalesced at run time, so the session's width is what every
-    micro-batch pays for.  A cluster session keeps its own setting.
+    micro-batch pays for.
     """
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    if spark.sparkContext.master.startswith("local"):
-        spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
     try:
         yield
     finally:
@@ -94,12 +79,8 @@ def local_state_width(spark: SparkSession):
 
 
 def wide(spark: SparkSession) -> int:
-    """Task count for work that is heavy per row.
+    """Task count for work that is heavy per row: two for each core.
 
-    A cluster gets two tasks per core, or more where the session shuffles wider; adaptive
-    execution would size such tasks by their bytes, which say little here.
+    Adaptive execution would size such tasks by their bytes, which say little here.
     """
-    cores = spark.sparkContext.defaultParallelism
-    if spark.sparkContext.master.startswith("local"):
-        return cores
-    return max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return 2 * spark.sparkContext.defaultParallelism

@@ -18,7 +18,6 @@ from sensorgrid.functions import scalar, text
 
 # --- fixed values -----------------------------------------------------------
 TABLE_ID = "forecastTable_1_3"
-HOURS_SHOWN = 24
 HINT_ATTRIBUTE = "onmouseover"
 # -----------------------------------------------------------------------------
 CELLS = "page_id bigint, row int, kind string, pos int, value string"
@@ -104,27 +103,30 @@ def rollover_days(hour: Column, order: Window) -> Column:
     return F.coalesce(F.sum(F.when(hour == 23, F.lit(1)).otherwise(F.lit(0))).over(before), F.lit(0)).cast("int")
 
 
-def every_second(values: Column, limit: int = HOURS_SHOWN) -> Column:
-    """Elements 0, 2, 4, ... of an array, at most ``limit`` of them."""
-    return F.slice(F.filter(values, lambda _, i: i % 2 == 0), 1, limit)
+def every_second(values: Column, limit: int | None = None) -> Column:
+    """Elements 0, 2, 4, ... of an array, at most ``limit`` of them if a limit is given."""
+    kept = F.filter(values, lambda _, i: i % 2 == 0)
+    return kept if limit is None else F.slice(kept, 1, limit)
 
 
-def tidy_forecast(pages: DataFrame, day: Column, parsed_at: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per page and hour column.
+def tidy_forecast(
+    pages: DataFrame, day: Column, parsed_at: Column, keep: tuple[str, ...] = (), hours: int | None = None
+) -> DataFrame:
+    """One row per page and hour column, of all columns or the first ``hours``.
 
     ``day`` is the local day of the first column and ``parsed_at`` the time of the
     snapshot; both may use columns of ``pages``.  A page without the table, a row or
     a readable value gives no rows; see :func:`bad_pages`.
     """
-    wide = _page_rows(pages)
+    wide = _page_rows(pages, hours)
     snapshot = pages.select("page_id", day.alias("_day"), parsed_at.alias("_parsed"), *keep)
-    hours = wide.join(snapshot, "page_id").select(
+    slots = wide.join(snapshot, "page_id").select(
         "page_id", "_day", "_parsed", *keep, F.posexplode("slots").alias("pos", "slot")
     )
     order = Window.partitionBy("page_id").orderBy("pos")
     hour = F.col("slot.time").cast("int")
     local = F.to_timestamp(F.date_add("_day", rollover_days(hour, order))) + F.make_dt_interval(hours=hour)
-    return hours.select(
+    return slots.select(
         "page_id",
         "pos",
         *keep,
@@ -139,7 +141,7 @@ def tidy_forecast(pages: DataFrame, day: Column, parsed_at: Column, keep: tuple[
     )
 
 
-def _page_rows(pages: DataFrame) -> DataFrame:
+def _page_rows(pages: DataFrame, hours: int | None = None) -> DataFrame:
     """``page_id, slots``: per good page the values of its hour columns as texts."""
     cells = page_cells(pages)
     labelled = (
@@ -161,9 +163,11 @@ def _page_rows(pages: DataFrame) -> DataFrame:
     )
 
     def shown(role):
-        return F.slice(F.transform(F.col(role)["cells"], lambda c: c["value"]), 2, HOURS_SHOWN)
+        cells = F.transform(F.col(role)["cells"], lambda c: c["value"])
+        return F.slice(cells, F.lit(2), F.size(cells) if hours is None else F.lit(hours))
 
-    hints = every_second(F.transform(F.col("prec")["hints"], lambda h: F.get(F.split(h["value"], ","), F.lit(1))))
+    hints = every_second(
+        F.transform(F.col("prec")["hints"], lambda h: F.get(F.split(h["value"], ","), F.lit(1))), hours)
     numbers = {r: F.transform(shown(r), text.first_number) for r in ("temp", "pressure", "wind_speed", "humidity")}
     times = F.transform(shown("time"), lambda v: F.trim(v).try_cast("int"))
     columns = {

@@ -9,7 +9,7 @@ from sensorgrid.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = build_session(
         "sensorgrid-tests",
         "local[8]",
@@ -17,6 +17,7 @@ def spark():
         spark__ui__enabled="false",
         spark__driver__memory="8g",
         spark__driver__host="127.0.0.1",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -121,7 +121,9 @@ def test_forecast_page(spark):
         "page_id bigint, html string",
     )
     seen = F.lit("2024-03-01 12:00:00").cast("timestamp")
-    got = forecast.tidy_forecast(pages, F.lit("2024-03-01").cast("date"), seen).orderBy("pos").collect()
+    day = F.lit("2024-03-01").cast("date")
+    assert forecast.tidy_forecast(pages, day, seen).count() == 30
+    got = forecast.tidy_forecast(pages, day, seen, hours=24).orderBy("pos").collect()
     assert len(got) == 24 and {r["page_id"] for r in got} == {1}
     assert got[0]["Date-Time"] == dt.datetime(2024, 3, 1, 17) and got[4]["Date-Time"] == dt.datetime(2024, 3, 1, 21)
     assert got[23]["Date-Time"] == dt.datetime(2024, 3, 2, 16)
