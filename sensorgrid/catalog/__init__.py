@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     fold_queries,
     geo_queries,
     join_queries,
+    model_oracle_queries,
     model_queries,
     plan_queries,
     scalar_queries,

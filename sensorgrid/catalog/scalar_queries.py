@@ -218,8 +218,8 @@ def _against_centre(spark, sf):
 _X = ("SELECT sds_sensor, timestamp, date_diff('microsecond', (SELECT min(timestamp) FROM labelled), timestamp) / 3.6e9 - 360.0 AS dt, "
       "sqrt(pow(lon - 37.6::DOUBLE, 2) + pow(lat - 55.75::DOUBLE, 2)) AS ds FROM labelled")
 MATERN_SQL = "(1 + sqrt(3.0::DOUBLE) * abs({d}) / {l}::DOUBLE) * exp(-sqrt(3.0::DOUBLE) * abs({d}) / {l}::DOUBLE)"
-_PER = "exp(-0.5 * pow(sin(pi() * dt / {p}) / 12.0, 2))"
-TIME_SQL = "({t} + {t} * ({c}))".format(t=MATERN_SQL.format(d="dt", l="5.0"), c=" + ".join(_PER.format(p=p) for p in (8, 10, 30, 2)))
+PERIODIC_SQL = "exp(-0.5 * pow(sin(pi() * {d} / {p}) / 12.0, 2))"
+TIME_SQL = "({t} + {t} * ({c}))".format(t=MATERN_SQL.format(d="dt", l="5.0"), c=" + ".join(PERIODIC_SQL.format(d="dt", p=p) for p in (8, 10, 30, 2)))
 
 
 @query(
@@ -234,7 +234,7 @@ def matern(spark, sf):
 
 @query(
     "m2_periodic_kernel",
-    f"SELECT sds_sensor, timestamp, round({_PER.format(p=8)}, 6) AS k FROM ({_X})",
+    f"SELECT sds_sensor, timestamp, round({PERIODIC_SQL.format(d='dt', p=8)}, 6) AS k FROM ({_X})",
     "labelled",
 )
 def periodic(spark, sf):

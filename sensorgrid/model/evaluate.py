@@ -75,12 +75,15 @@ def _chain(
     for span in _spans(ids, m):
         here = F.col("fold").between(span[0], span[-1])
         rows = scaled.filter(here)
-        fresh = _new_points(rows, m - int(0.7 * m), model.seed)
+        wanted = m - int(model.keep * m)
+        # Without new points every fold that has training rows updates the points it finds.
+        fresh = _new_points(rows, wanted, model.seed) if wanted else {
+            r["fold"]: model.posterior.z[:0] for r in folds.fold_steps(rows).collect()}
         points: dict[int, np.ndarray] = {}
         z = model.posterior.z
         for k in span:
             if k in fresh:
-                z = refreshed_points(z, fresh[k], model.seed + k)
+                z = refreshed_points(z, fresh[k], model.seed + k, model.keep)
                 points[k] = z
         stats = (
             sufficient_statistics(rows, points, [model.posterior.kernel], "fold") if points else {}

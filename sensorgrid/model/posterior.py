@@ -7,7 +7,6 @@ Nguyen and Turner, 2017).  Everything here works on M x M matrices.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -30,6 +29,7 @@ class Posterior:
     post_white: np.ndarray  # inverse of the factor of the posterior precision, times prior_white
     weights: np.ndarray
     bound: float
+    jitter: float = JITTER  # on the diagonal of covariance matrices; 0 for few, well separated points
 
     def mean_var(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Latent mean and variance at rows ``x``; no noise is added."""
@@ -42,7 +42,7 @@ class Posterior:
         """Mean, full covariance and prior covariance at the inducing points."""
         k = self.kernel.matrix(self.z, self.z)
         post, prior = self.post_white @ k, self.prior_white @ k
-        cov = k + JITTER * np.eye(len(k)) - prior.T @ prior + post.T @ post
+        cov = k + self.jitter * np.eye(len(k)) - prior.T @ prior + post.T @ post
         return post.T @ self.weights, cov, k
 
     def to_row(self) -> dict:
@@ -56,6 +56,7 @@ class Posterior:
             "prior_white": self.prior_white.ravel().tolist(),
             "post_white": self.post_white.ravel().tolist(),
             "weights": self.weights.tolist(),
+            "jitter": float(self.jitter),
         }
 
     @staticmethod
@@ -69,12 +70,13 @@ class Posterior:
             np.array(row["post_white"]).reshape(m, m),
             np.array(row["weights"]),
             row["bound"],
+            row["jitter"],
         )
 
 
 STATE_SCHEMA = (
     "kernel string, noise double, bound double, m int, z array<double>, prior_white array<double>, "
-    "post_white array<double>, weights array<double>"
+    "post_white array<double>, weights array<double>, jitter double"
 )
 
 
@@ -84,10 +86,12 @@ def _data_terms(stats: Statistics, noise: float) -> float:
     )
 
 
-def first_fits(kernel: Kernel, noises: Sequence[float], z: np.ndarray, stats: Statistics) -> list[Posterior]:
+def first_fits(
+    kernel: Kernel, noises: Sequence[float], z: np.ndarray, stats: Statistics, jitter: float = JITTER
+) -> list[Posterior]:
     """Posterior and bound from the statistics of all rows so far, one per noise."""
     eye = np.eye(len(z))
-    white = lower_inverse(cholesky(kernel.matrix(z, z) + JITTER * eye))
+    white = lower_inverse(cholesky(kernel.matrix(z, z) + jitter * eye))
     spread, reach = white @ stats.a @ white.T, white @ stats.b
     out = []
     for noise in noises:
@@ -95,7 +99,7 @@ def first_fits(kernel: Kernel, noises: Sequence[float], z: np.ndarray, stats: St
         factor = cholesky(eye + gain)
         weights = np.linalg.solve(factor, reach) / noise
         bound = _data_terms(stats, noise) - log_diag(factor) + 0.5 * weights @ weights + 0.5 * np.trace(gain)
-        out.append(Posterior(kernel, noise, z, white, np.linalg.solve(factor, white), weights, float(bound)))
+        out.append(Posterior(kernel, noise, z, white, np.linalg.solve(factor, white), weights, float(bound), jitter))
     return out
 
 
@@ -109,21 +113,22 @@ def online_updates(
     """Posterior after a batch, given only its statistics and the old posterior, one per noise."""
     mean_old, cov_old, prior_old = old.at_points()
     eye_old, eye = np.eye(len(old.z)), np.eye(len(z))
-    prior_old = prior_old + JITTER * eye_old
+    jitter = old.jitter
+    prior_old = prior_old + jitter * eye_old
     cross = kernel.matrix(z, old.z)
 
     cov_factor, prior_factor = cholesky(cov_old), cholesky(prior_old)
     cov_white, prior_old_white = lower_inverse(cov_factor), lower_inverse(prior_factor)
-    white = lower_inverse(cholesky(kernel.matrix(z, z) + JITTER * eye))
+    white = lower_inverse(cholesky(kernel.matrix(z, z) + jitter * eye))
 
     seen = white @ cross
     by_cov, by_prior = cov_white @ seen.T, prior_old_white @ seen.T
-    carried = eye * (1.0 + JITTER) + by_cov.T @ by_cov - by_prior.T @ by_prior
+    carried = eye * (1.0 + jitter) + by_cov.T @ by_cov - by_prior.T @ by_prior
     spread, reach = white @ stats.a @ white.T, white @ stats.b
     old_weights = cov_white @ mean_old
     old_reach = seen @ (cov_white.T @ old_weights)
 
-    left = kernel.matrix(old.z, old.z) + JITTER * eye_old - seen.T @ seen
+    left = kernel.matrix(old.z, old.z) + jitter * eye_old - seen.T @ seen
     trace = np.sum((cov_white @ left) * cov_white) - np.sum((prior_old_white @ left) * prior_old_white)
     fixed = -0.5 * old_weights @ old_weights + log_diag(prior_factor) - log_diag(cov_factor) - 0.5 * trace
     out = []
@@ -134,7 +139,7 @@ def online_updates(
         bound = (
             _data_terms(stats, noise) + fixed + 0.5 * np.trace(gain) + 0.5 * weights @ weights - log_diag(factor)
         )
-        out.append(Posterior(kernel, noise, z, white, np.linalg.solve(factor, white), weights, float(bound)))
+        out.append(Posterior(kernel, noise, z, white, np.linalg.solve(factor, white), weights, float(bound), jitter))
     return out
 
 
@@ -152,7 +157,3 @@ def refreshed_points(z_old: np.ndarray, new_points: np.ndarray, seed: int, keep:
     order = np.random.default_rng(seed).permutation(m)[:kept]
     return np.vstack([z_old[order], new_points[: m - kept]])
 
-
-def describe(posterior: Posterior) -> str:
-    """One-line JSON of the parameters."""
-    return json.dumps({"noise": posterior.noise, "bound": posterior.bound, "kernel": posterior.kernel.as_dict()})

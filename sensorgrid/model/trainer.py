@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from sensorgrid.config import Roles
 from sensorgrid.functions import scalar
 from sensorgrid.functions.kernels import Kernel, get_kernel, kernel_from_json, scaled
+from sensorgrid.model.linalg import JITTER
 from sensorgrid.model.posterior import STATE_SCHEMA, Posterior, first_fits, online_updates, refreshed_points
 from sensorgrid.model.statistics import BLOCK_ROWS, X_COLUMNS, Statistics, sufficient_statistics
 from sensorgrid.operators.aggregates import fit_target
@@ -22,6 +23,7 @@ from sensorgrid.operators.sampling import DEFAULT_SEED, sampled_rows
 from sensorgrid.session import wide
 
 NORMAL_95 = 1.96
+KEEP = 0.7
 # Settings tried on the driver; noise and amplitude need no further pass over the data.
 NOISES = (1.0, 0.5, 0.25, 0.1, 0.05)
 AMPLITUDES = (1.0, 0.5, 0.2, 0.1, 2.0)
@@ -77,7 +79,7 @@ class Choice:
 
 def rank_first(
     stats: Sequence[Statistics], kernels: Sequence[Kernel], z: np.ndarray,
-    noises: Sequence[float] = NOISES, amplitudes: Sequence[float] = AMPLITUDES,
+    noises: Sequence[float] = NOISES, amplitudes: Sequence[float] = AMPLITUDES, jitter: float = JITTER,
 ) -> list[Choice]:
     """All settings by falling bound, from one set of statistics per kernel.
 
@@ -88,13 +90,17 @@ def rank_first(
     for kernel, s in zip(kernels, stats):
         for factor in amplitudes:
             k = scaled(kernel, factor)
-            out += [Choice(k, p.noise, p) for p in first_fits(k, noises, z, s.scaled(factor))]
+            out += [Choice(k, p.noise, p) for p in first_fits(k, noises, z, s.scaled(factor), jitter)]
     return sorted(out, key=lambda c: -c.posterior.bound)
 
 
 @dataclass
 class SparseModel:
-    """Sparse Gaussian process over hours, longitude and latitude."""
+    """Sparse Gaussian process over hours, longitude and latitude.
+
+    ``points`` gives the inducing points of the first fit; without it they are drawn from the rows.
+    An update keeps the part ``keep`` of them and draws the rest from the new rows.
+    """
 
     scale: TargetScale
     kernels: Sequence[Kernel] = field(default_factory=lambda: (get_kernel("basic"),))
@@ -102,27 +108,34 @@ class SparseModel:
     seed: int = DEFAULT_SEED
     noises: Sequence[float] = NOISES
     amplitudes: Sequence[float] = AMPLITUDES
+    points: np.ndarray | None = None
+    keep: float = KEEP
+    jitter: float = JITTER
     posterior: Posterior | None = None
     updates: int = 0
 
     def build(self, df: DataFrame, m: int = 200) -> "SparseModel":
         """Fit to the first period; of the candidate settings the best bound wins."""
         rows = self.scale.apply(df, self.roles)
-        z = draw_points(rows, m, self.seed)
+        z = self._first_points(rows, m)
         stats = sufficient_statistics(rows, {0: z}, self.kernels)
         per_kernel = [stats[(0, c)] for c in range(len(self.kernels))]
-        self.posterior = rank_first(per_kernel, self.kernels, z, self.noises, self.amplitudes)[0].posterior
+        self.posterior = rank_first(per_kernel, self.kernels, z, self.noises, self.amplitudes, self.jitter)[0].posterior
         return self
 
     def evidence(self, df: DataFrame, m: int = 200) -> DataFrame:
         """Bound of every candidate setting: ``candidate, kernel, noise, bound``."""
         rows = self.scale.apply(df, self.roles)
-        z = draw_points(rows, m, self.seed)
+        z = self._first_points(rows, m)
         stats = sufficient_statistics(rows, {0: z}, self.kernels)
-        ranked = rank_first([stats[(0, c)] for c in range(len(self.kernels))], self.kernels, z, self.noises, self.amplitudes)
+        per_kernel = [stats[(0, c)] for c in range(len(self.kernels))]
+        ranked = rank_first(per_kernel, self.kernels, z, self.noises, self.amplitudes, self.jitter)
         table = [(i, c.kernel.to_json(), float(c.noise), c.posterior.bound) for i, c in enumerate(ranked)]
         return df.sparkSession.createDataFrame(table, "candidate int, kernel string, noise double, bound double")
 
+    def _first_points(self, rows: DataFrame, m: int) -> np.ndarray:
+        return draw_points(rows, m, self.seed) if self.points is None else np.asarray(self.points, float)
+
     def _ready(self) -> Posterior:
         if self.posterior is None:
             raise ValueError("build() has to run before update() and predict()")
@@ -134,12 +147,14 @@ class SparseModel:
         rows = self.scale.apply(df, self.roles)
         self.updates += 1
         m = len(old.z)
-        new = draw_points(rows, m - int(0.7 * m), self.seed + self.updates)
-        if len(new) == 0:
+        fresh = m - int(self.keep * m)
+        new = draw_points(rows, fresh, self.seed + self.updates) if fresh else old.z[:0]
+        if fresh and len(new) == 0:
             return self
-        z = refreshed_points(old.z, new, self.seed + self.updates)
-        stats = sufficient_statistics(rows, {0: z}, [old.kernel])[(0, 0)]
-        self.posterior = best_update(old, z, stats, self.noises)
+        z = refreshed_points(old.z, new, self.seed + self.updates, self.keep)
+        stats = sufficient_statistics(rows, {0: z}, [old.kernel])
+        if stats:
+            self.posterior = best_update(old, z, stats[(0, 0)], self.noises)
         return self
 
     def predict(self, df: DataFrame, reference_variance: bool = False) -> DataFrame:
