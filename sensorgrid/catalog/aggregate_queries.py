@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sensorgrid.catalog.base import altitudes, dust, dust_hourly, labelled, query, readings, rounded, weather_hourly
@@ -52,9 +53,15 @@ def last_known(spark, sf):
     return aggregates.last_known(df, ["lat", "lon", "P1"])
 
 
-@query("a5_sensor_series", "SELECT sds_sensor, timestamp, P1 FROM labelled", "labelled")
+@query(
+    "a5_sensor_series",
+    "SELECT sds_sensor, timestamp, P1, row_number() OVER (PARTITION BY sds_sensor ORDER BY timestamp) AS place FROM labelled",
+    "labelled",
+)
 def series(spark, sf):
-    return sensor_series(labelled(spark, sf), "P1")
+    """Each row with its place in the series of its sensor, as the rows lie in the output."""
+    laid = sensor_series(labelled(spark, sf), "P1").withColumn("_at", F.monotonically_increasing_id())
+    return laid.withColumn("place", F.row_number().over(Window.partitionBy("sds_sensor").orderBy("_at"))).drop("_at")
 
 
 CORR_COLUMNS = ["P1", "temp_meteo", "pres_meteo", "wind_speed"]

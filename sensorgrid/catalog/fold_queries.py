@@ -79,8 +79,7 @@ def prequential(spark, sf):
     "readings",
 )
 def first_two(spark, sf):
-    order = Window.partitionBy("sensor_id").orderBy("ts", "value")
-    return readings(spark, sf).select("sensor_id", "ts", F.row_number().over(order).alias("rn")).filter("rn <= 2")
+    return aggregates.first_rows(readings(spark, sf), "sensor_id", ["ts", "value"], 2).select("sensor_id", "ts", "rn")
 
 
 @query(
@@ -139,17 +138,14 @@ def random_sensors(spark, sf):
 
 @query(
     "l2_random_rows",
-    """SELECT timestamp, lon, lat FROM (SELECT DISTINCT timestamp, lon, lat, sds_sensor FROM labelled)
-    ORDER BY md5(sds_sensor::VARCHAR || '#' || epoch_us(timestamp)::VARCHAR || '#42'), timestamp LIMIT 200""",
+    """SELECT DISTINCT sds_sensor, epoch_us(timestamp) AS us FROM labelled
+    ORDER BY md5(sds_sensor::VARCHAR || '#' || us::VARCHAR || '#42'), sds_sensor, us LIMIT 200""",
     "labelled",
 )
 def random_rows(spark, sf):
     """200 rows drawn as inducing points."""
-    df = labelled(spark, sf).withColumn("us", F.unix_micros("timestamp"))
-    key = sampling.draw_key(["sds_sensor", "us"])
-    return df.select("timestamp", "lon", "lat", "sds_sensor", "us").distinct().orderBy(key, "timestamp").limit(200).select(
-        "timestamp", "lon", "lat"
-    )
+    df = labelled(spark, sf).select("sds_sensor", F.unix_micros("timestamp").alias("us")).distinct()
+    return sampling.sampled_rows(df, 200, ["sds_sensor", "us"])
 
 
 L3_PART = """(SELECT sds_sensor, us FROM (SELECT sds_sensor, epoch_us(timestamp) AS us, timestamp FROM labelled) WHERE timestamp {c} TIMESTAMP '2024-01-15'

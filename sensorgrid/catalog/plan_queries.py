@@ -19,6 +19,7 @@ from sensorgrid.catalog.base import (
     query,
     readings,
     rounded,
+    station,
     weather_hourly,
 )
 from sensorgrid.catalog.geo_queries import J11_SQL, shapes
@@ -173,6 +174,16 @@ def load_plan(spark, sf):
     return loading.load_plan(loading.listed_sensors(lines), stored, F.lit("2024-02-02").cast("date"))
 
 
+@query(
+    "p4_station_load_interval",
+    "SELECT max(ts)::DATE + 1 AS start_day, DATE '2024-02-19' AS end_day FROM station HAVING max(ts)::DATE + 1 < DATE '2024-02-19'",
+    "station",
+)
+def station_interval(spark, sf):
+    """Days of the station that are still to be loaded."""
+    return loading.station_load_interval(station(spark, sf).select(F.col("ts").alias("ts_local")), F.lit("2024-02-20").cast("date"))
+
+
 def _study_frame(spark, sf):
     from sensorgrid.operators import joins
 

@@ -175,7 +175,7 @@ def units(spark, sf):
 def surface(spark, sf):
     """Sea-level altitude minus ground elevation."""
     ground = F.from_json("props", "k double")["k"]
-    return rounded(events(spark, sf).select("event_id", ((F.lit(125.0) + F.col("value")) - ground).alias("surface_alt")))
+    return rounded(events(spark, sf).select("event_id", scalar.surface_altitude(F.lit(125.0) + F.col("value"), ground).alias("surface_alt")))
 
 
 @query(

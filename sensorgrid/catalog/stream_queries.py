@@ -10,7 +10,7 @@ from sensorgrid.catalog.source_queries import S1_SQL, _raw_dust
 from sensorgrid.model import trainer
 from sensorgrid.operators import select
 from sensorgrid.schemas import SDS_RAW
-from sensorgrid.session import local_state_width, run_dir
+from sensorgrid.session import local_state_width, run_dir, stored
 from sensorgrid.streaming import hourly, ingest, online
 
 
@@ -84,7 +84,8 @@ def redelivered(spark, sf):
 )
 def enriched(spark, sf):
     stream = dust_stream(spark, sf).select("sds_sensor", "timestamp", "P1", F.date_trunc("hour", "timestamp").alias("hour"))
-    static = weather_hourly(spark, sf).select("hour", "temp_meteo", "wind_direction")
+    # A table, so that a micro-batch reads it and does not work it out again.
+    static = stored(weather_hourly(spark, sf).select("hour", "temp_meteo", "wind_direction"), "weather")
     return rounded(finish(spark, hourly.enrich(stream, static, ["hour"]), "enriched").drop("hour"), 6, "temp_meteo")
 
 

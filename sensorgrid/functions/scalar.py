@@ -108,3 +108,8 @@ def unit_if_zero(sd) -> Column:
 def in_box(lat, lon, box) -> Column:
     """Inclusive on all four sides."""
     return _col(lat).between(box.min_lat, box.max_lat) & _col(lon).between(box.min_lon, box.max_lon)
+
+
+def surface_altitude(sealevel, ground) -> Column:
+    """Height over the ground; NULL where either is unknown."""
+    return _col(sealevel) - _col(ground)

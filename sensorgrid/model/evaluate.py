@@ -23,6 +23,7 @@ from sensorgrid.model.statistics import X_COLUMNS, sufficient_statistics
 from sensorgrid.model.trainer import SparseModel, TargetScale, best_update, predict_rows
 from sensorgrid.operators import aggregates, folds, joins, sampling, select
 from sensorgrid.session import run_dir
+from sensorgrid.sources.tables import write_predictions
 
 MATRIX_BUDGET = 64 << 20
 
@@ -50,8 +51,9 @@ def _start(train: DataFrame, val: DataFrame, m: int, leaky: bool, roles: Roles,
 
 
 def _new_points(rows: DataFrame, count: int, seed: int) -> dict[int, np.ndarray]:
-    """Rows drawn per fold; ``count`` x folds short rows reach the driver."""
-    drawn = sampling.sampled_rows_by(rows, "fold", count, X_COLUMNS, seed).toPandas()
+    """Different places and times drawn per fold; ``count`` x folds short rows reach the driver."""
+    places = rows.select("fold", *X_COLUMNS).na.drop().distinct()
+    drawn = sampling.sampled_rows_by(places, "fold", count, X_COLUMNS, seed).toPandas()
     return {int(f): p[X_COLUMNS].to_numpy(float) for f, p in drawn.sort_values(["fold", *X_COLUMNS]).groupby("fold")}
 
 
@@ -98,7 +100,7 @@ def _chain(
             if update_first:
                 used[k] = model.posterior
         part = predict_rows(test_rows.filter(here), used, model.scale, "fold", model.roles, True)
-        part.write.mode("append").partitionBy("fold").parquet(out)
+        write_predictions(part, out, mode="append")
 
 
 def _report(spark: SparkSession, path: str, model: SparseModel) -> Evaluation:

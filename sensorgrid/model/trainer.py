@@ -64,8 +64,9 @@ class TargetScale:
 
 
 def draw_points(scaled_rows: DataFrame, m: int, seed: int = DEFAULT_SEED) -> np.ndarray:
-    """``m`` random rows as inducing points."""
-    return sampled_rows(scaled_rows, m, X_COLUMNS, seed).toPandas()[X_COLUMNS].to_numpy(float)
+    """``m`` random inducing points among the different places and times of the rows."""
+    places = scaled_rows.select(*X_COLUMNS).na.drop().distinct()
+    return sampled_rows(places, m, X_COLUMNS, seed).toPandas()[X_COLUMNS].to_numpy(float)
 
 
 @dataclass

@@ -81,17 +81,18 @@ def fit_target(df: DataFrame, target: str = "P1", time: str = "timestamp") -> Da
     )
 
 
+def first_rows(df: DataFrame, key: str, order: Sequence, n: int, name: str = "rn") -> DataFrame:
+    """The first ``n`` rows of every key, numbered; each map task passes on at most ``n`` rows of a key."""
+    ranked = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(ranked)).filter(F.col(name) <= n)
+
+
 def sample_position(readings: DataFrame, file: str = "file", time: str = "timestamp", columns: Sequence[str] = ()) -> DataFrame:
     """The second row of every file in time order, or its only row.
 
     Each map task passes on at most two rows per file.
     """
-    order = Window.partitionBy(file).orderBy(F.col(time).asc_nulls_last(), *columns)
-    first_two = (
-        readings.select(file, time, *columns)
-        .withColumn("_rn", F.row_number().over(order))
-        .filter(F.col("_rn") <= 2)
-    )
+    first_two = first_rows(readings.select(file, time, *columns), file, [F.col(time).asc_nulls_last(), *columns], 2, "_rn")
     row = F.struct("_rn", time, *columns)
     return first_two.groupBy(file).agg(F.max(row).alias("_r")).select(file, *[F.col("_r")[c].alias(c) for c in columns])
 

@@ -36,9 +36,13 @@ def attach_meteo(
     meteo_hourly: DataFrame,
     pairs: DataFrame,
     columns: Sequence[str] = ("pressure", "temperature", "humidity"),
+    pair_columns: Sequence[str] = (),
 ) -> DataFrame:
-    """Hourly dust of every pair, left-joined with the hourly weather sensor of the pair."""
-    paired = dust_hourly.join(pairs.select("sds_sensor", "bme_sensor"), "sds_sensor")
+    """Hourly dust of every pair, left-joined with the hourly weather sensor of the pair.
+
+    ``pair_columns`` are taken over from ``pairs`` by the same join.
+    """
+    paired = dust_hourly.join(pairs.select("sds_sensor", "bme_sensor", *pair_columns), "sds_sensor")
     meteo = meteo_hourly.select("bme_sensor", "hour", *columns)
     return paired.join(meteo, ["bme_sensor", "hour"], "left")
 
@@ -89,7 +93,7 @@ def attach_elevation(sensors: DataFrame, elevation: DataFrame) -> DataFrame:
     ground = elevation.groupBy("lat", "lon").agg(F.max("elevation").alias("elevation"))
     return (
         sensors.join(ground, ["lat", "lon"], "left")
-        .withColumn("surface_alt", F.col("sealevel_alt") - F.col("elevation"))
+        .withColumn("surface_alt", scalar.surface_altitude("sealevel_alt", "elevation"))
         .drop("elevation")
     )
 

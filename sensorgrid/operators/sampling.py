@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorgrid.operators.joins import of_sensors
 from sensorgrid.operators.numbering import number_rows
+from sensorgrid.session import stored
 
 DEFAULT_SEED = 42
 
@@ -23,9 +24,10 @@ def sampled_ids(df: DataFrame, n, sensor: str = "sds_sensor", seed: int = DEFAUL
     """``n`` distinct sensors; all of them when there are no more than ``n``.
 
     ``n`` is a number or a one-value column such as a scalar subquery.  Ids are
-    ranked in 4,096 even hash buckets, so no task sorts all of them.
+    ranked in 4,096 even hash buckets, so no task sorts all of them.  They are stored, since
+    the ranking reads them twice.
     """
-    ids = df.select(sensor).distinct().withColumn("_draw", draw_key([sensor], seed))
+    ids = stored(df.select(sensor).distinct(), "sensor-ids").withColumn("_draw", draw_key([sensor], seed))
     ranked = number_rows(ids, ["_draw", sensor], F.substring("_draw", 1, 3), "_rank")
     n = F.lit(n) if isinstance(n, int) else n
     return ranked.filter(F.col("_rank") <= n).select(sensor)

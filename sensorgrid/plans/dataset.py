@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sensorgrid.config import MAP_BOX, Box
 from sensorgrid.operators import aggregates, joins, nearest, resample
 from sensorgrid.schemas import SENSOR_DIMENSION_COLUMNS, WEATHER_COLUMNS
+from sensorgrid.session import stored
 from sensorgrid.sources.features import split_features
 
 METEO_VALUES = ["pressure", "temperature", "humidity"]
@@ -35,18 +36,18 @@ def sensor_dimension(
     has ``lat, lon, elevation`` and ``features`` is the map feature table.
     """
     place = ["file", "timestamp", "sensor_id", "sensor_type", "lat", "lon"]
-    positions = file_positions(dust.select(place).unionByName(meteo.select(place)))
-    pairs = joins.pair_colocated(positions)
+    # Both are small and read several times: a row per file, a row per pair.
+    positions = stored(file_positions(dust.select(place).unionByName(meteo.select(place))), "positions")
+    pairs = stored(joins.pair_colocated(positions), "pairs")
+    parks, roads, industrial = split_features(features)
+    placed = nearest.attach_nearest(pairs, parks, roads, industrial, box)
     hourly = resample.hourly_mean(
         meteo.withColumnRenamed("sensor_id", "bme_sensor"), ["bme_sensor"], METEO_VALUES, ts="timestamp", fill=False
     )
     # Hours without readings have no pressure and do not move a median.
     altitude = joins.pressure_altitude(hourly, weather)
-    sensors = joins.attach_elevation(pairs.join(altitude, "bme_sensor", "left"), elevation)
-    parks, roads, industrial = split_features(features)
-    return nearest.attach_nearest(sensors, parks, roads, industrial, box).select(
-        "bme_sensor", *SENSOR_DIMENSION_COLUMNS
-    )
+    sensors = joins.attach_elevation(placed.join(altitude, "bme_sensor", "left"), elevation)
+    return sensors.select("bme_sensor", *SENSOR_DIMENSION_COLUMNS)
 
 
 def hourly_dataset(
@@ -59,8 +60,8 @@ def hourly_dataset(
     """
     dust_hourly = resample.hourly_mean(dust, ["sds_sensor"], DUST_VALUES, ts)
     meteo_hourly = resample.hourly_mean(meteo, ["bme_sensor"], METEO_VALUES, ts, fill=False)
-    facts = joins.attach_meteo(dust_hourly, meteo_hourly, sensors)
-    facts = joins.attach_dimension(facts, sensors)
+    described = [c for c in SENSOR_DIMENSION_COLUMNS if c != "sds_sensor"]
+    facts = joins.attach_meteo(dust_hourly, meteo_hourly, sensors, pair_columns=described)
     weather_columns = [c for c in WEATHER_COLUMNS if c in weather.columns]
     facts = joins.attach_weather(facts, weather.select("hour", *weather_columns))
     return facts.select(

@@ -51,8 +51,8 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_predictions(predictions: DataFrame, path: str, fold: str = "fold") -> None:
-    predictions.write.mode("overwrite").partitionBy(fold).parquet(path)
+def write_predictions(predictions: DataFrame, path: str, fold: str = "fold", mode: str = "overwrite") -> None:
+    predictions.write.mode(mode).partitionBy(fold).parquet(path)
 
 
 def write_metrics(folds: DataFrame, result_path: str, plot_path: str, step: str = "step") -> None:

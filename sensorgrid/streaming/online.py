@@ -7,6 +7,7 @@ same state.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,8 +20,9 @@ def state_before(spark: SparkSession, path: str, batch_id: int, **options) -> Sp
     """Model of the latest batch before ``batch_id``; the first state is batch -1."""
     try:
         table = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001 - an empty folder has no schema to read
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+    except AnalysisException as e:
+        # A folder that is not there or is empty holds no state.
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
     rows = table.filter(F.col("batch") < batch_id)
