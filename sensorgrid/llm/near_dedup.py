@@ -9,13 +9,15 @@ documents meets in no table with probability 7e-5, at 0.9 with 1e-7.
 Nothing emits all pairs of a group:
 
 * equal sets are folded to one node before any key is made;
-* each table bucket links its members to the least one (a star), in one aggregate and one join
-  that adaptive execution may split, and each different pair is tested once;
+* the buckets of a tenth of the tables link their members to the least one (a star), and each different
+  pair is tested once; in the buckets of the other tables only one member of each group found so far is
+  linked, which costs next to nothing where a bucket holds one group;
 * pairs that cannot be near (fewer than 16 of 40 minhashes agree; a pair at 0.8 gets there with
   probability 1 - 1e-8) go before texts are read;
 * the rest is tested on the whole sets, rebuilt from the texts, leader by leader as a stream;
 * groups of likely partners whose nodes then carry more than one component are tested to the end,
-  as pairs of small blocks of nodes, of which only links come out.
+  as pairs of small blocks of nodes, of which only links come out; nodes of a large group's most
+  frequent component meet the others alone.
 
 Defined results: a null or wordless text has 0 shingles and stays alone.  Equal sets are linked
 whatever their texts.  Repeated rows of a document are all returned.  A row with a null id
@@ -43,6 +45,9 @@ LEAST_EQUAL = 16
 STAR_ROWS = 256
 #: Nodes of a block, on average, where texts are compared and where minhashes are.
 TEXT_BLOCK, SIGNATURE_BLOCK = 192, 4096
+#: Tables of which each half serves one, and the others.
+FIRST_TABLES = np.arange(HALVES) * (HALVES + 1)
+OTHER_TABLES = np.setdiff1d(np.arange(HALVES * HALVES), FIRST_TABLES)
 
 _SEEDS = mixed(np.arange(1, 2 * MINHASHES + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 _MASKS, _FACTORS = _SEEDS[:MINHASHES], _SEEDS[MINHASHES:] | np.uint64(1)
@@ -119,14 +124,14 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return map_batches(docs, sign, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, minhashes binary")
 
 
-def keyed(nodes: DataFrame) -> DataFrame:
-    """``(key, node)`` for every table of every node."""
+def keyed(nodes: DataFrame, tables: np.ndarray) -> DataFrame:
+    """``(key, node)`` for each of ``tables`` and every node."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, MINHASHES)
-                keys = table_keys(rows)
+                keys = table_keys(rows)[:, tables]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1]))],
                     names=["key", "node"])
@@ -181,16 +186,39 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return map_batches(ordered.select("a", "kind", "b", "text"), test, "a bigint, b bigint")
 
 
+def bucket_members(keys: DataFrame) -> DataFrame:
+    """``(key, node, n)`` in buckets of two or more nodes."""
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return keys.join(sizes, "key").select("key", "node", "n")
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """Different pairs ``(a, b)`` of a bucket's least node and each other one."""
+    leaders = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last")
+    return members.join(leaders, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def labelled(rows: DataFrame, components_: DataFrame) -> DataFrame:
+    """``rows`` with the component of their node as ``label``; a node without one is its own."""
+    return rows.join(components_, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+
 def blocked(named: DataFrame, sizes: DataFrame, payload: DataFrame, column: str, block: int) -> DataFrame:
     """Rows ``(grp, i, j, side, node, label, column)``, each pair (i, j) of blocks of a group in one task and in a row.
 
-    ``named`` has ``(grp, node, label)``, ``sizes`` the number ``n`` of nodes of the groups wanted.  A node is sent
-    to as many pieces of work as its group has blocks.
+    ``named`` has ``(grp, node, label)``, ``sizes`` the groups wanted with their number ``n`` of nodes and the most
+    frequent label ``main`` with its number ``n_main``.  In a group of more than one block the nodes of ``main`` form
+    blocks of their own, which meet the other blocks only.  A node is sent to as many pieces of work as it meets blocks.
     """
-    blocks = sizes.select("grp", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
+    split, rest = F.col("n") > block, F.col("n") - F.col("n_main")
+    blocks = sizes.select(
+        "grp", F.when(split, F.col("main")).alias("main"),
+        F.ceil(F.when(split, rest).otherwise(F.col("n")) / F.lit(block)).cast("int").alias("blocks"),
+        F.ceil(F.when(split, F.col("n_main")).otherwise(F.lit(0)) / F.lit(block)).cast("int").alias("main_blocks"))
     cells = (
-        named.join(blocks, "grp").withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        named.join(blocks, "grp").withColumn("of_main", F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
+        .withColumn("own", F.expr("IF(of_main, blocks + pmod(xxhash64(node), main_blocks), pmod(xxhash64(node), blocks))").cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, IF(of_main, blocks, blocks + main_blocks) - 1)")))
         .select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                 (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label")
     )
@@ -202,10 +230,12 @@ def blocked(named: DataFrame, sizes: DataFrame, payload: DataFrame, column: str,
 
 
 def open_sizes(named: DataFrame) -> DataFrame:
-    """``(grp, n)`` of the groups of more than two nodes that carry more than one label."""
+    """``(grp, n, main, n_main)`` of the groups of more than two nodes that carry more than one label."""
     return (
-        named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .filter("lo < hi AND n > 2").select("grp", "n")
+        named.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n_label"))
+        .groupBy("grp").agg(F.count(F.lit(1)).alias("labels"), F.sum("n_label").alias("n"),
+                            F.max_by("label", "n_label").alias("main"), F.max("n_label").alias("n_main"))
+        .filter("labels > 1 AND n > 2").select("grp", "n", "main", "n_main")
     )
 
 
@@ -246,16 +276,14 @@ def confirmed_in_groups(groups: DataFrame, labels: DataFrame, texts: DataFrame,
     A group whose nodes carry one label is settled.  The others are cut into blocks, and each pair of
     blocks is one small piece of work that counts the intersections of all its sets at once.
     """
-    named = groups.withColumnRenamed("component", "grp").join(labels, "node", "left").select(
-        "grp", "node", F.coalesce("component", "node").alias("label"))
+    named = stored(labelled(groups.withColumnRenamed("component", "grp"), labels).select("grp", "node", "label"), "named")
     rows = blocked(named, open_sizes(named), texts, "text", TEXT_BLOCK)
     return tested_blocks(rows, lambda: Shingler(width).sets, lambda met: block_links(met, percent))
 
 
 def likely_in_buckets(members: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Likely partners in one bucket that its star left in different groups, because the leader met them by chance."""
-    named = members.filter("n > 2").join(groups, "node", "left").select(
-        F.col("key").alias("grp"), "node", F.coalesce("component", "node").alias("label"))
+    """Likely partners in one bucket that its star left in different groups, because its ends met by chance."""
+    named = labelled(members.filter("n > 2"), groups).select(F.col("key").alias("grp"), "node", "label")
 
     def signs(column: pa.Array) -> Iterator[np.ndarray]:
         return (np.frombuffer(v, np.uint32) for v in column.to_pylist())
@@ -329,13 +357,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
         signed.join(sets.withColumnRenamed("node", "doc_id"), ["set_a", "set_b", "doc_id"])
         .groupBy(F.col("doc_id").alias("node")).agg(F.min("minhashes").alias("minhashes")), "nodes")
 
-    keys = keyed(nodes)
-    buckets = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
-    members = stored(keys.join(buckets.filter("leader < last").select("key", "leader", "n"), "key"), "members")
-    stars = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    tested = stored(stars, "stars")
-    near = stored(likely(tested, nodes), "pairs")
+    first = stored(bucket_members(keyed(nodes, FIRST_TABLES)), "members")
+    near = stored(likely(stored(stars(first), "stars"), nodes), "pairs")
     groups = components(near)
+    others = stored(bucket_members(keyed(nodes, OTHER_TABLES)), "members")
+    ends = labelled(others, groups).groupBy("key", "label").agg(F.min("node").alias("node"))
+    more = stored(likely(stored(stars(ends), "stars"), nodes), "pairs")
+    if not more.isEmpty():
+        near = stored(near.unionAll(more), "pairs")
+        groups = components(near)
+    members = first.unionAll(others)
     strays = stored(likely_in_buckets(members, groups, nodes), "pairs")
     if not strays.isEmpty():
         near = stored(near.unionAll(strays), "pairs")
