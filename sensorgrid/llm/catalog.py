@@ -12,6 +12,7 @@ from sensorgrid.llm import (
     byte_bpe,
     fingerprints,
     near_dedup,
+    oracles,
     packing,
     pii,
     quality,
@@ -87,6 +88,9 @@ QUERIES: dict[str, Query] = {q.__name__: _configured(q) for q in (
     op1_quotation_linking, op2_token_counts, op3_quality_classifier, op4_minhash_near_dedup, op5_packing,
     op6_merkle_fingerprints, op7_toxicity, op8_personal_data, op9_byte_bpe, op10_exact_top_k, pipeline)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_minhash_near_dedup": oracles.MINHASH_NEAR_DEDUP,
+    "op10_exact_top_k": oracles.EXACT_TOP_K,
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
