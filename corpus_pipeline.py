@@ -28,14 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies (five-word shingles, similarity from 0.8); null ids stay.
-
-    Of rows that repeat an id one stays.
-    """
-    found = near_dedup.near_duplicates(docs, width=5, percent=80)
-    kept = found.filter("kept").select("doc_id").distinct()
-    numbered = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return numbered.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    """One row of each group of near copies (five-word shingles, similarity from 0.8), whatever ids its rows have; null ids stay."""
+    return near_dedup.without_near_copies(docs, width=5, percent=80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

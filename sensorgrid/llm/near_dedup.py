@@ -19,8 +19,12 @@ Nothing emits all pairs of a group:
   as pairs of small blocks of nodes, of which only links come out; nodes of a large group's most
   frequent component meet the others alone.
 
+A node is a set, not an id: rows that share an id but hold different sets are different nodes, and
+minhashes and text of a node come from one row, the first of the set by id and digest of the text.
+
 Defined results: a null or wordless text has 0 shingles and stays alone.  Equal sets are linked
-whatever their texts.  Repeated rows of a document are all returned.  A row with a null id
+whatever their texts.  Repeated rows of a document are all returned.  A component is named by its
+least id, so components of different texts under one least id have one name.  A row with a null id
 takes no part in components: its ``component_id`` and ``kept`` are null.
 """
 
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorgrid.llm.common import id_and_text, map_batches, text_buffer
@@ -104,7 +108,10 @@ def table_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, n_shingles, set_a, set_b, minhashes)``; the set hashes and minhashes of an empty set are null."""
+    """``(doc_id, digest, n_shingles, set_a, set_b, minhashes)`` of ``(doc_id, text, digest)``.
+
+    The set hashes and minhashes of an empty set are null.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -117,11 +124,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             a = [int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
             b = [int(mixed(s ^ np.uint64(len(s))).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
                 pa.array([None if i is None else rows[i].tobytes() for i in index], pa.binary())],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "minhashes"])
+                names=["doc_id", "digest", "n_shingles", "set_a", "set_b", "minhashes"])
 
-    return map_batches(docs, sign, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, minhashes binary")
+    return map_batches(docs, sign, "doc_id bigint, digest binary, n_shingles bigint, set_a bigint, set_b bigint, minhashes binary")
 
 
 def keyed(nodes: DataFrame, tables: np.ndarray) -> DataFrame:
@@ -343,19 +350,24 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "component")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``; see the module for the rules."""
-    rows = id_and_text(docs, id_col, text_col)
+def text_digest(text_col: str = "text") -> Column:
+    """Tells the texts under one id apart; a null text counts as the empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
+
+
+def linked_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """All rows with their set, and ``(set_a, set_b, doc_id, digest, component)`` for every set of a row with an id.
+
+    ``doc_id`` and ``digest`` are those of the set's first row.  The component is the number of a node.
+    """
+    rows = id_and_text(docs, id_col, text_col).withColumn("digest", text_digest())
     signed = stored(signatures(rows, width), "signatures")
-    sets = (
+    # Numbers are given as the table is written, and hold from then on.
+    sets = stored(
         signed.filter(F.col("doc_id").isNotNull() & F.col("set_a").isNotNull())
-        .groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    )
-    sets = stored(sets, "sets")
-    nodes = stored(
-        signed.join(sets.withColumnRenamed("node", "doc_id"), ["set_a", "set_b", "doc_id"])
-        .groupBy(F.col("doc_id").alias("node")).agg(F.min("minhashes").alias("minhashes")), "nodes")
+        .groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "digest", "minhashes")).alias("first"))
+        .select("set_a", "set_b", "first.*", F.monotonically_increasing_id().alias("node")), "sets")
+    nodes = sets.select("node", "minhashes")
 
     first = stored(bucket_members(keyed(nodes, FIRST_TABLES)), "members")
     near = stored(likely(stored(stars(first), "stars"), nodes), "pairs")
@@ -372,18 +384,42 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
         near = stored(near.unionAll(strays), "pairs")
         groups = components(near)
 
-    texts = stored(
-        rows.join(groups.select(F.col("node").alias("doc_id")), "doc_id").groupBy(F.col("doc_id").alias("node"))
-        .agg(F.min("text").alias("text")), "texts")
+    # Rows of one id and digest hold one text.
+    wanted = sets.join(groups.select("node"), "node").select("node", "doc_id", "digest")
+    texts = stored(rows.join(wanted, ["doc_id", "digest"]).groupBy("node").agg(F.min("text").alias("text")), "texts")
     links = stored(confirmed(near, texts, width, percent), "links")
     labels = components(links)
     more = stored(confirmed_in_groups(groups, labels, texts, width, percent), "links")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
+    named = sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return signed, named.select("set_a", "set_b", "doc_id", "digest", "component")
+
 
-    named = sets.join(labels, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``; see the module for the rules."""
+    signed, sets = linked_sets(docs, width, percent, id_col, text_col)
+    sets = stored(sets, "components")
+    names = sets.groupBy("component").agg(F.min("doc_id").alias("name"))
+    named = sets.join(names, "component").select("set_a", "set_b", F.col("name").alias("component"))
     known, alone = signed.filter(F.col("set_a").isNotNull()), signed.filter(F.col("set_a").isNull())
     out = known.join(named, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", "component").unionAll(
         alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id",
+                        text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component, the first by id and digest of the text, with all its columns.
+
+    Of wordless texts one row stays for each id and text.  Rows with a null id all stay.
+    """
+    signed, sets = linked_sets(docs, width, percent, id_col, text_col)
+    firsts = sets.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select("first.*")
+    alone = signed.filter(F.col("doc_id").isNotNull() & F.col("set_a").isNull()).select("doc_id", "digest")
+    kept = firsts.unionAll(alone).withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
+    known = docs.withColumns({"_id": F.col(f"`{id_col}`").cast("bigint"), "_digest": text_digest(text_col)}).filter("_id IS NOT NULL")
+    numbered = known.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"])
+    return numbered.select(*docs.columns).unionAll(docs.filter(F.col(f"`{id_col}`").cast("bigint").isNull()))

@@ -154,6 +154,15 @@ def test_near_duplicates_odd_rows(odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{letter}{k}" for k in range(60)) for letter in "ab")
+    # Id 4 is the least of two sets; id 5 holds copies of both and is folded with neither.
+    rows = [(4, a), (5, a + " end"), (4, b), (5, b + " end"), (3, "c " + b), (6, a)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2).collect()
+    assert sorted(tuple(r) for r in got) == [
+        (3, 60, 3, True), (4, 59, 3, False), (4, 59, 4, True), (5, 60, 3, False), (5, 60, 4, False), (6, 59, 4, False)]
+
+
 def test_edit_likeness(spark, odd, none):
     rows = [(r.doc_id, r.text or "") for r in odd.dropDuplicates(["doc_id"]).collect()]
     rows.sort(key=lambda r: -1e9 if r[0] is None else r[0], reverse=True)

@@ -29,3 +29,13 @@ def test_null_ids_and_repeated_rows(spark, sf):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2]
     assert corpus_pipeline.pii_stage(spark, docs, sf).count() == 4
     assert corpus_pipeline.packing_stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_rows_that_share_an_id(spark, sf):
+    """Different texts under one id both stay, and copies of either are found."""
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    a, b, c = (" ".join(f"{letter}{k}" for k in range(60)) for letter in "abc")
+    rows = [(5, a), (5, b), (5, a), (6, a + " end"), (7, b + " end"), (8, c), (9, c + " end"), (9, "alone " + a[::-1]), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], schema)
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, sf).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(5, a), (5, b), (8, c), (9, "alone " + a[::-1]), (5, "")])
