@@ -114,6 +114,47 @@ def ring_centroid(ring) -> Column:
     return _let(_col(ring), lambda r: _centroid(r, _edges(r)))
 
 
+def project_rings(rings) -> Column:
+    """``array<struct<role,ring>>`` with every ring projected to metres; rings without a vertex are left out."""
+    return F.transform(
+        F.filter(_col(rings), lambda r: F.size(r.getField("ring")) > 0),
+        lambda r: F.struct(r.getField("role").alias("role"), project_ring(r.getField("ring")).alias("ring")),
+    )
+
+
+def _ring_sign(r: Column) -> Column:
+    return F.when(r.getField("role") == "inner", F.lit(-1.0)).otherwise(F.lit(1.0))
+
+
+def rings_area(rings) -> Column:
+    """Area of the outer rings less that of the inner ones, whatever way round they run."""
+    return F.aggregate(_col(rings), F.lit(0.0), lambda acc, r: acc + _ring_sign(r) * ring_area(r.getField("ring")))
+
+
+def rings_centroid(rings) -> Column:
+    """Area centroid of all rings as ``struct<x,y>``; the centroid of all vertices for rings without area."""
+
+    def weighted(r):
+        return F.struct((_ring_sign(r) * ring_area(r.getField("ring"))).alias("w"), ring_centroid(r.getField("ring")).alias("c"))
+
+    def middle(parts: Column, vertices: Column) -> Column:
+        o, n = F.try_element_at(parts, F.lit(1)).getField("c"), F.size(vertices).cast("double")
+        total = _sum(parts, lambda p: p.getField("w"))
+
+        # Moments around the first ring's centre; one ring keeps its own centroid to the last bit.
+        def moment(c: str) -> Column:
+            return _sum(parts, lambda p: p.getField("w") * (p.getField("c").getField(c) - o.getField(c)))
+
+        return F.struct(*[
+            F.when(total != 0, o.getField(c) + moment(c) / total)
+            .otherwise(F.try_divide(_sum(vertices, lambda p: p.getField(c)), n)).alias(c)
+            for c in ("x", "y")
+        ])
+
+    vertices = F.flatten(F.transform(_col(rings), lambda r: r.getField("ring")))
+    return _let(F.transform(_col(rings), weighted), lambda parts: middle(parts, vertices))
+
+
 def point_distance(x0, y0, x1, y1) -> Column:
     return F.hypot(_col(x0) - _col(x1), _col(y0) - _col(y1))
 

@@ -143,15 +143,22 @@ def point_features(df: DataFrame, kind: str, x: Column, y: Column) -> DataFrame:
     return df.select(F.lit(kind).alias("kind"), x.alias("ax"), y.alias("ay"), x.alias("bx"), y.alias("by"))
 
 
+def feature_rings(features: DataFrame) -> Column:
+    """Projected rings of every feature: its ``rings`` where it has them, else its one ``ring``."""
+    role = F.struct(F.lit("outer").alias("role"), F.col("ring").alias("ring"))
+    rings = F.coalesce(F.col("rings"), F.array(role)) if "rings" in features.columns else F.array(role)
+    return geo.project_rings(rings)
+
+
 def centroid_features(areas: DataFrame, kind: str) -> DataFrame:
-    """Centroids of ``ring`` areas as point features."""
-    c = areas.select(geo.ring_centroid(geo.project_ring("ring")).alias("_c"))
+    """Centroids of areas, holes and all parts counted, as point features."""
+    c = areas.select(feature_rings(areas).alias("_r")).select(geo.rings_centroid("_r").alias("_c"))
     return point_features(c, kind, F.col("_c.x"), F.col("_c.y"))
 
 
 def line_features(lines: DataFrame, kind: str) -> DataFrame:
-    """Segments of ``ring`` lines; a line of one vertex is a point."""
-    xy = lines.select(geo.project_ring("ring").alias("_l")).filter(F.size("_l") > 0)
+    """Segments of every line of the features; a line of one vertex is a point."""
+    xy = lines.select(F.explode(feature_rings(lines)).alias("_r")).select(F.col("_r.ring").alias("_l"))
     ends = F.arrays_zip(
         F.col("_l").alias("a"),
         F.concat(F.slice("_l", 2, F.size("_l")), F.slice("_l", -1, 1)).alias("b"),
@@ -166,8 +173,8 @@ def line_features(lines: DataFrame, kind: str) -> DataFrame:
 
 
 def larger_than(areas: DataFrame, min_area: float = PARK_MIN_AREA_M2) -> DataFrame:
-    """Areas over ``min_area`` projected square metres."""
-    return areas.filter(geo.ring_area(geo.project_ring("ring")) > min_area)
+    """Areas over ``min_area`` projected square metres, less their holes."""
+    return areas.filter(geo.rings_area(feature_rings(areas)) > min_area)
 
 
 def attach_nearest(

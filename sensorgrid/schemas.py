@@ -40,12 +40,16 @@ BME_RAW = _strings(BME_COLUMNS)
 STATION_RAW = _strings(STATION_COLUMNS)
 
 POINT = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
+#: A relation's rings and lines; ``role`` is ``inner`` for a hole, anything else adds to the feature.
+RINGS = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("ring", T.ArrayType(POINT))]))
+# A way has its vertices in ``ring``; a feature with ``rings`` is made of these, and its ``ring`` is not used.
 FEATURES = T.StructType(
     [
         T.StructField("feature_id", T.LongType()),
         T.StructField("kind", T.StringType()),
         T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
         T.StructField("ring", T.ArrayType(POINT)),
+        T.StructField("rings", RINGS),
     ]
 )
 ELEVATION_RESPONSE = (

@@ -1,4 +1,4 @@
-"""Map features by tag from a feature table ``feature_id, kind, tags, ring``."""
+"""Map features by tag from a feature table ``feature_id, kind, tags, ring`` and, for relations, ``rings``."""
 
 from __future__ import annotations
 

@@ -70,3 +70,29 @@ def test_attach_nearest_keeps_box_and_columns(spark):
     ).first()["d"]
     assert row["nearest_road"] == pytest.approx(want)
     assert row["nearest_park"] > row["nearest_indust"] > 0
+
+
+def test_features_of_several_rings(spark):
+    sq = lambda lon, lat, d: [(lon, lat), (lon + d, lat), (lon + d, lat + d), (lon, lat + d)]
+    pts = "array<struct<lon:double,lat:double>>"
+    rows = [
+        ("whole", sq(10.0, 0.0, 0.4), None),
+        ("holed", None, [("outer", sq(10.0, 0.0, 0.4)), ("inner", sq(10.2, 0.0, 0.2)[::-1])]),
+        ("parts", None, [("outer", sq(10.0, 0.0, 0.2)), ("outer", sq(11.0, 0.0, 0.2)[::-1])]),
+    ]
+    f = spark.createDataFrame(rows, f"name string, ring {pts}, rings array<struct<role:string,ring:{pts}>>")
+    got = {r["name"]: r for r in f.select("name", geo.rings_area(nearest.feature_rings(f)).alias("a"), geo.rings_centroid(
+        nearest.feature_rings(f)).alias("c")).collect()}
+    metre = np.radians(0.1) * geo.SEMI_MAJOR_M
+    # On the equator a tenth of a degree of latitude has about 0.9933 of the metres of one of longitude.
+    assert got["whole"]["a"] == pytest.approx(16 * 0.9933 * metre**2, rel=1e-3)
+    assert got["holed"]["a"] == pytest.approx(12 * 0.9933 * metre**2, rel=1e-3)
+    assert got["parts"]["a"] == pytest.approx(8 * 0.9933 * metre**2, rel=1e-3)
+    assert got["whole"]["c"]["x"] == pytest.approx(102 * metre)
+    assert got["holed"]["c"]["x"] == pytest.approx((16 * 102 - 4 * 103) / 12 * metre, rel=1e-6)
+    assert got["holed"]["c"]["y"] == pytest.approx((16 * 2 - 4 * 1) / 12 * 0.9933 * metre, rel=1e-3)
+    assert got["parts"]["c"]["x"] == pytest.approx(106 * metre)
+    big = nearest.larger_than(f, 14 * 0.9933 * metre**2)
+    assert [r["name"] for r in big.collect()] == ["whole"]
+    lines = nearest.line_features(f.filter("name = 'parts'"), "road")
+    assert lines.count() == 6 and lines.filter(F.abs(F.col("ax") - F.col("bx")) > 5 * metre).count() == 0
