@@ -113,12 +113,12 @@ def map_prediction(spark, sf):
 
 @query("m10_a14_map_hexagons")
 def map_hexagons(spark, sf):
-    """Predictions of all readings averaged over hexagons, as the map shows them."""
+    """Predictions of all readings averaged over hexagons; ``evaluate.map_hexagons`` bins the predicted map itself."""
     model, df = _model(spark, sf)
     return rounded(aggregates.hexagon_mean(model.predict(df, reference_variance=True), ["pred", "var"]))
 
 
 @query("m11_observed_and_predicted_series")
 def city(spark, sf):
-    model, df = _model(spark, sf)
-    return rounded(evaluate.city_series(model.predict(df, reference_variance=True)))
+    """Observed and predicted city mean of the time folds: each fold predicted by the model of the days before."""
+    return rounded(evaluate.city_series(studies.time_folds(study(spark, sf), PERIOD, m=M).predictions))

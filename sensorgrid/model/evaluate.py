@@ -160,6 +160,12 @@ def map_prediction(
     return model.predict(joins.map_grid(extent, lon_step, lat_step, keep=[r.time]), reference_variance=True)
 
 
+def map_hexagons(model: SparseModel, df: DataFrame) -> DataFrame:
+    """Prediction and variance of the map's grid averaged over hexagons, as the map shows them."""
+    r = model.roles
+    return aggregates.hexagon_mean(map_prediction(model, df), ["pred", "var"], r.lon, r.lat)
+
+
 def city_series(predictions: DataFrame, time: str = "timestamp", target: str = "P1") -> DataFrame:
     """Mean observed and predicted value and variance per timestamp."""
     return aggregates.city_mean(predictions, time, [target, "pred", "var"])

@@ -155,3 +155,23 @@ def test_small_folds_are_all_test_data(spark, study):
     res = evaluate.sensor_evaluation(train, thin, m=10)
     assert res.model.updates == 1
     assert set(res.predictions.filter("fold > 0").select("sds_sensor").distinct().toPandas()["sds_sensor"]) == {3}
+
+
+def test_map_hexagons_cover_the_grid(study):
+    model = trainer.SparseModel(trainer.TargetScale.fit(study)).build(study, 30)
+    grid, cells = evaluate.map_prediction(model, study).toPandas(), evaluate.map_hexagons(model, study).toPandas()
+    # Every place of the grid counts once, however many readings are near it.
+    assert cells["n"].sum() == len(grid) > 0
+    assert np.average(cells["pred"], weights=cells["n"]) == pytest.approx(grid["pred"].mean())
+
+
+def test_city_query_averages_fold_predictions(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from sensorgrid.catalog import model_queries as queries
+
+    made = spark.createDataFrame([(START, 1.0, 2.0, 3.0), (START, 3.0, 6.0, 5.0)], "timestamp timestamp, P1 double, pred double, var double")
+    monkeypatch.setattr(queries, "study", lambda spark, sf: made)
+    monkeypatch.setattr(queries.studies, "time_folds", lambda df, period, m: SimpleNamespace(predictions=made))
+    row = queries.city(spark, "").first()
+    assert (row["P1"], row["pred"], row["var"]) == (2.0, 4.0, 4.0)
