@@ -20,6 +20,8 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
@@ -100,19 +102,38 @@ def likeness(a: str, b: str) -> float:
     return 2 * (x & y).total() / both if both else 1.0
 
 
+def sections_of(print_: str) -> list[tuple[str, list[str]]]:
+    """Sections of a fingerprint as ``tree`` gives them."""
+    parts = (s.split(":") for s in print_.split("/")[1:])
+    return [(name, [body[k:k + 8] for k in range(0, len(body), 8)]) for name, body in parts]
+
+
+def leaf_edits(a: str, b: str) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+    """``(removed, new, moved)``: numbers of leaves of ``a``, of ``b``, and of both for a leaf that changed its place.
+
+    Equal sections are passed over; inside the others the leaves are compared in order, each copy for itself.
+    """
+    x, y = sections_of(a), sections_of(b)
+    starts = [[0, *accumulate(len(leaves) for _, leaves in side)] for side in (x, y)]
+    gone: dict[str, list[int]] = {}
+    added: list[tuple[int, str]] = []
+    for kind, i, i2, j, j2 in SequenceMatcher(None, [n for n, _ in x], [n for n, _ in y], autojunk=False).get_opcodes():
+        if kind != "equal":
+            old, fresh = ([leaf for _, leaves in side for leaf in leaves] for side in (x[i:i2], y[j:j2]))
+            for same, p, p2, q, q2 in SequenceMatcher(None, old, fresh, autojunk=False).get_opcodes():
+                if same != "equal":
+                    for k in range(p, p2):
+                        gone.setdefault(old[k], []).append(starts[0][i] + k)
+                    added += [(starts[1][j] + k, fresh[k]) for k in range(q, q2)]
+    moved = [(gone[leaf].pop(0), at) for at, leaf in added if gone.get(leaf)]
+    to = {at for _, at in moved}
+    return sorted(k for left in gone.values() for k in left), [at for at, _ in added if at not in to], moved
+
+
 def edited_leaves(a: str, b: str) -> list[int]:
-    """Numbers of the leaves of ``b`` that lie in sections which ``a`` lacks and are new themselves."""
-    known = {s.split(":")[0] for s in a.split("/")[1:]}
-    old, out, at = Counter(leaves_of(a)), [], 0
-    if a.split("/")[0] == b.split("/")[0]:
-        return out
-    for section in b.split("/")[1:]:
-        name, body = section.split(":")
-        leaves = [body[k:k + 8] for k in range(0, len(body), 8)]
-        if name not in known:
-            out += [at + k for k, leaf in enumerate(leaves) if leaf not in old]
-        at += len(leaves)
-    return out
+    """Numbers of the leaves of ``b`` that are new or moved; ``leaf_edits`` has the removed ones of ``a`` too."""
+    _, new, moved = leaf_edits(a, b)
+    return sorted(new + [at for _, at in moved])
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

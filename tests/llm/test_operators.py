@@ -190,6 +190,18 @@ def test_fingerprint_locates_an_edit():
     assert fingerprints.edited_leaves(a, a) == [] and fingerprints.likeness(a, a) == 1
 
 
+@pytest.mark.parametrize("after, want", [
+    ("AC", ([1], [], [])), ("AAC", ([1], [1], [])), ("BAC", ([], [], [(0, 1)])), ("ABCB", ([], [3], [])), ("", ([0, 1, 2], [], []))])
+def test_leaf_edits(after, want):
+    a, b = (fingerprints.fingerprint("".join(f"Paragraph {x}\n" for x in text)) for text in ("ABC", after))
+    removed, new, moved = fingerprints.leaf_edits(a, b)
+    if moved:  # A before B or B after A
+        assert moved in ([(0, 1)], [(1, 0)]) and (removed, new) == ([], [])
+        assert fingerprints.edited_leaves(a, b) == [moved[0][1]]
+    else:
+        assert (removed, new, moved) == want
+
+
 def test_personal_data(odd, none):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
                 "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
