@@ -43,6 +43,8 @@ from sensorgrid.session import stored
 
 HALVES = 10
 MINHASHES = 4 * HALVES
+#: The tables and the number below are chosen for this similarity; pairs at a lower one would be lost.
+LEAST_PERCENT = 80
 #: Of 40 minhashes so many must agree before texts are compared.
 LEAST_EQUAL = 16
 #: Members that one task tests against a leader; a larger star is split.
@@ -360,6 +362,8 @@ def linked_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_col
 
     ``doc_id`` and ``digest`` are those of the set's first row.  The component is the number of a node.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent must be {LEAST_PERCENT} or more: the tables would miss pairs under it")
     rows = id_and_text(docs, id_col, text_col).withColumn("digest", text_digest())
     signed = stored(signatures(rows, width), "signatures")
     # Numbers are given as the table is written, and hold from then on.

@@ -163,6 +163,11 @@ def test_near_duplicates_of_rows_that_share_an_id(spark):
         (3, 60, 3, True), (4, 59, 3, False), (4, 59, 4, True), (5, 60, 3, False), (5, 60, 4, False), (6, 59, 4, False)]
 
 
+def test_near_duplicates_refuses_what_its_tables_would_miss(none):
+    with pytest.raises(ValueError, match="percent"):
+        near_dedup.near_duplicates(none, percent=79)
+
+
 def test_edit_likeness(spark, odd, none):
     rows = [(r.doc_id, r.text or "") for r in odd.dropDuplicates(["doc_id"]).collect()]
     rows.sort(key=lambda r: -1e9 if r[0] is None else r[0], reverse=True)
