@@ -10,13 +10,13 @@ JITTER = 1e-6
 _log = logging.getLogger(__name__)
 
 
-def cholesky(a: np.ndarray, jitter: float = JITTER, tries: int = 3) -> np.ndarray:
-    """Lower factor of a symmetric matrix; a failed try adds ten times more to the diagonal."""
+def cholesky(a: np.ndarray, jitter: float = JITTER, tries: int = 3) -> tuple[np.ndarray, float]:
+    """Lower factor of a symmetric matrix and what was added to its diagonal; a failed try adds ten times more."""
     a = (a + a.T) / 2.0
     extra = 0.0
     for attempt in range(tries + 1):
         try:
-            return np.linalg.cholesky(a + extra * np.eye(len(a)))
+            return np.linalg.cholesky(a + extra * np.eye(len(a))), extra
         except np.linalg.LinAlgError:
             if attempt == tries:
                 raise

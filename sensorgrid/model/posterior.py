@@ -30,6 +30,7 @@ class Posterior:
     weights: np.ndarray
     bound: float
     jitter: float = JITTER  # on the diagonal of covariance matrices; 0 for few, well separated points
+    extra_jitter: float = 0.0  # the most that a failed factorisation added to a diagonal, in this fit or an earlier one
 
     def mean_var(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Latent mean and variance at rows ``x``; no noise is added."""
@@ -57,6 +58,7 @@ class Posterior:
             "post_white": self.post_white.ravel().tolist(),
             "weights": self.weights.tolist(),
             "jitter": float(self.jitter),
+            "extra_jitter": float(self.extra_jitter),
         }
 
     @staticmethod
@@ -71,12 +73,13 @@ class Posterior:
             np.array(row["weights"]),
             row["bound"],
             row["jitter"],
+            row["extra_jitter"],
         )
 
 
 STATE_SCHEMA = (
     "kernel string, noise double, bound double, m int, z array<double>, prior_white array<double>, "
-    "post_white array<double>, weights array<double>, jitter double"
+    "post_white array<double>, weights array<double>, jitter double, extra_jitter double"
 )
 
 
@@ -91,15 +94,17 @@ def first_fits(
 ) -> list[Posterior]:
     """Posterior and bound from the statistics of all rows so far, one per noise."""
     eye = np.eye(len(z))
-    white = lower_inverse(cholesky(kernel.matrix(z, z) + jitter * eye))
+    lower, extra = cholesky(kernel.matrix(z, z) + jitter * eye)
+    white = lower_inverse(lower)
     spread, reach = white @ stats.a @ white.T, white @ stats.b
     out = []
     for noise in noises:
         gain = spread / noise
-        factor = cholesky(eye + gain)
+        factor, more = cholesky(eye + gain)
         weights = np.linalg.solve(factor, reach) / noise
         bound = _data_terms(stats, noise) - log_diag(factor) + 0.5 * weights @ weights + 0.5 * np.trace(gain)
-        out.append(Posterior(kernel, noise, z, white, np.linalg.solve(factor, white), weights, float(bound), jitter))
+        post = np.linalg.solve(factor, white)
+        out.append(Posterior(kernel, noise, z, white, post, weights, float(bound), jitter, max(extra, more)))
     return out
 
 
@@ -117,9 +122,11 @@ def online_updates(
     prior_old = prior_old + jitter * eye_old
     cross = kernel.matrix(z, old.z)
 
-    cov_factor, prior_factor = cholesky(cov_old), cholesky(prior_old)
+    (cov_factor, by_cov_old), (prior_factor, by_prior_old) = cholesky(cov_old), cholesky(prior_old)
     cov_white, prior_old_white = lower_inverse(cov_factor), lower_inverse(prior_factor)
-    white = lower_inverse(cholesky(kernel.matrix(z, z) + jitter * eye))
+    lower, extra = cholesky(kernel.matrix(z, z) + jitter * eye)
+    white = lower_inverse(lower)
+    extra = max(extra, by_cov_old, by_prior_old, old.extra_jitter)
 
     seen = white @ cross
     by_cov, by_prior = cov_white @ seen.T, prior_old_white @ seen.T
@@ -134,12 +141,13 @@ def online_updates(
     out = []
     for noise in noises:
         gain = spread / noise
-        factor = cholesky(carried + gain)
+        factor, more = cholesky(carried + gain)
         weights = np.linalg.solve(factor, reach / noise + old_reach)
         bound = (
             _data_terms(stats, noise) + fixed + 0.5 * np.trace(gain) + 0.5 * weights @ weights - log_diag(factor)
         )
-        out.append(Posterior(kernel, noise, z, white, np.linalg.solve(factor, white), weights, float(bound), jitter))
+        post = np.linalg.solve(factor, white)
+        out.append(Posterior(kernel, noise, z, white, post, weights, float(bound), jitter, max(extra, more)))
     return out
 
 

@@ -175,3 +175,17 @@ def test_city_query_averages_fold_predictions(spark, monkeypatch):
     monkeypatch.setattr(queries.studies, "time_folds", lambda df, period, m: SimpleNamespace(predictions=made))
     row = queries.city(spark, "").first()
     assert (row["P1"], row["pred"], row["var"]) == (2.0, 4.0, 4.0)
+
+
+def test_state_says_what_a_failed_factorisation_added():
+    k, rng = kernels.get_kernel("basic"), np.random.default_rng(6)
+    x, y = rng.random((30, 3)), rng.normal(size=30)
+    sound, double = x[:5], np.vstack([x[:5], x[:5]])
+    fit = lambda z: posterior.first_fits(k, [1.0], z, statistics.block_statistics(k, z, x, y), jitter=0.0)[0]
+    bad = fit(double)
+    assert bad.extra_jitter >= 1e-6 and bad.to_row()["jitter"] == 0.0
+    assert posterior.Posterior.from_row(bad.to_row()).extra_jitter == bad.extra_jitter
+    good = posterior.first_fit(k, 1.0, sound, statistics.block_statistics(k, sound, x, y))
+    assert good.extra_jitter == 0.0
+    after = posterior.online_update(bad, k, 1.0, sound, statistics.block_statistics(k, sound, x, y))
+    assert after.extra_jitter >= bad.extra_jitter
