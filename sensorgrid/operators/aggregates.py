@@ -112,8 +112,8 @@ def load_start(marks: DataFrame, default_day, name: str = "start_day") -> DataFr
     return marks.withColumn(name, scalar.later_of(default_day, F.coalesce(F.col("next_day"), default_day)))
 
 
-def default_load_day(today):
-    return F.date_sub(today, DEFAULT_LOAD_DAYS)
+def default_load_day(today, days: int = DEFAULT_LOAD_DAYS):
+    return F.date_sub(today, days)
 
 
 def sensor_ids(df: DataFrame, sensor: str = "sds_sensor") -> DataFrame:

@@ -70,6 +70,21 @@ def test_load_plan(spark):
     assert row["file"] == "1_sds011_sensor_.csv" and row["url"].endswith(f"{row['day']}_sds011_sensor_1.csv")
 
 
+def test_load_plan_reaches_back_as_far_as_asked(spark):
+    lines = spark.createDataFrame([("_sds011_sensor_1.csv",), ("_sds011_sensor_2.csv",)], "value string")
+    stored = spark.createDataFrame([("1", "2019-10-01 05:00:00")], "sensor_id string, timestamp string").select(
+        "sensor_id", F.col("timestamp").cast("timestamp"))
+    sensors, today = loading.listed_sensors(lines), F.lit("2019-12-06").cast("date")
+    stored = stored.withColumn("sensor_id", F.col("sensor_id").cast(sensors.schema["sensor_id"].dataType))
+
+    def counts(**days):
+        plan = loading.load_plan(sensors, stored, today, **days).groupBy("sensor_id").count().collect()
+        return {int(r["sensor_id"]): r["count"] for r in plan}
+
+    assert counts() == {1: 30, 2: 30} and counts(days=10) == {1: 10, 2: 10}
+    assert counts(days=None) == {1: 65, 2: 30}
+
+
 def test_station_load_interval(spark):
     rec = spark.createDataFrame([(T(2019, 12, 8, 21),), (T(2019, 12, 9, 21),)], "ts_local timestamp")
     today = lambda s: F.lit(s).cast("date")
