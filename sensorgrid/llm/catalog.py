@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from sensorgrid.llm import (
     byte_bpe,
+    clustering,
+    decontaminate,
     fingerprints,
     near_dedup,
     oracles,
@@ -20,6 +22,7 @@ from sensorgrid.llm import (
     token_counts,
     topk,
     toxicity,
+    whitening,
 )
 from sensorgrid.llm.common import documents
 from sensorgrid.session import apply_runtime_conf
@@ -72,6 +75,19 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10)
+
+
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_windows(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.contamination(found)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -86,11 +102,14 @@ def _configured(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {q.__name__: _configured(q) for q in (
     op1_quotation_linking, op2_token_counts, op3_quality_classifier, op4_minhash_near_dedup, op5_packing,
-    op6_merkle_fingerprints, op7_toxicity, op8_personal_data, op9_byte_bpe, op10_exact_top_k, pipeline)}
+    op6_merkle_fingerprints, op7_toxicity, op8_personal_data, op9_byte_bpe, op10_exact_top_k, op11_centroid_clustering,
+    op12_benchmark_decontamination, op13_embedding_whitening, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op4_minhash_near_dedup": oracles.MINHASH_NEAR_DEDUP,
     "op10_exact_top_k": oracles.EXACT_TOP_K,
+    "op11_centroid_clustering": oracles.centroid_clustering(),
+    "op12_benchmark_decontamination": oracles.DECONTAMINATION,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -50,3 +50,59 @@ ranked AS (
   SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
 """
+
+
+def centroid_clustering(k: int = 8, rounds: int = 10) -> str:
+    """Rounds of assigning and moving, one pair of table expressions each; whole numbers under 2^53 are exact in doubles."""
+    distance = "CAST(list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, c.v) + list_inner_product(c.v, c.v) AS BIGINT)"
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept)
+  QUALIFY c < {k})"""]
+    near = "near{0} AS MATERIALIZED (SELECT x.r, min({1} * {2} + c.c) AS best FROM kept x JOIN c{0} c ON true GROUP BY x.r)"
+    for i in range(rounds):
+        steps.append(near.format(i, distance, k))
+        steps.append(f"""
+sums{i} AS (
+  SELECT c, p, sum(CAST(value AS BIGINT)) AS total, count(*) AS n
+  FROM (SELECT best % {k} AS c, unnest(v) AS value, unnest(range(64)) AS p FROM near{i} JOIN kept USING (r)) GROUP BY c, p),
+c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (
+    SELECT c, list(CAST((total - ((total % n) + n) % n) // n AS DOUBLE) ORDER BY p) AS v FROM sums{i} GROUP BY c) m ON m.c = c{i}.c)""")
+    steps.append(near.format(rounds, distance, k))
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(best % {k} AS INTEGER) AS cluster, best // {k} AS distance,
+  CAST(sum(best // {k}) OVER (PARTITION BY best % {k}) AS BIGINT) AS cluster_inertia, CAST(sum(best // {k}) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.v, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM near{rounds} JOIN kept USING (r) JOIN c{rounds} c ON c.c = best % {k}
+"""
+
+
+#: All windows of items and the word sequences of the same lengths in documents, joined as text.
+DECONTAMINATION = r"""
+WITH doc AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+placed AS (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0),
+windows AS MATERIALIZED (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM placed),
+sizes AS (SELECT DISTINCT k FROM windows),
+starts AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc JOIN sizes ON len(w) >= k),
+hits AS MATERIALIZED (
+  SELECT r, i, k, item_id FROM (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM starts) JOIN windows USING (k, g)),
+covered AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hits) GROUP BY r),
+named AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
