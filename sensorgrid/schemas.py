@@ -30,9 +30,6 @@ SENSOR_DIMENSION_COLUMNS = [
     "sds_sensor", "lat", "lon", "sealevel_alt", "surface_alt",
     "nearest_park", "nearest_road", "nearest_indust",
 ]
-FORECAST_COLUMNS = [
-    "Parsing date", "Date-Time", "Weather", "Temp", "Pressure", "Wind_speed", "Wind_dir", "Humidity",
-]
 # -----------------------------------------------------------------------------
 
 SDS_RAW = _strings(SDS_COLUMNS)
@@ -42,16 +39,16 @@ STATION_RAW = _strings(STATION_COLUMNS)
 POINT = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
 #: A relation's rings and lines; ``role`` is ``inner`` for a hole, anything else adds to the feature.
 RINGS = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("ring", T.ArrayType(POINT))]))
-# A way has its vertices in ``ring``; a feature with ``rings`` is made of these, and its ``ring`` is not used.
 FEATURES = T.StructType(
     [
         T.StructField("feature_id", T.LongType()),
         T.StructField("kind", T.StringType()),
         T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
         T.StructField("ring", T.ArrayType(POINT)),
-        T.StructField("rings", RINGS),
     ]
 )
+#: Features of which some are relations: one with ``rings`` is made of these, and its ``ring`` is not used.
+RELATIONS = T.StructType([*FEATURES.fields, T.StructField("rings", RINGS)])
 ELEVATION_RESPONSE = (
     "results array<struct<elevation:double,location:struct<lat:double,lng:double>>>, status string"
 )
@@ -61,4 +58,4 @@ def require_columns(df, names) -> None:
     """Raise ``AttributeError`` when a needed column is missing."""
     missing = [n for n in names if n not in df.columns]
     if missing:
-        raise AttributeError(f"Must have {', '.join(missing)} column")
+        raise AttributeError(f"missing columns: {', '.join(missing)}")
