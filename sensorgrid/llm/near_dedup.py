@@ -19,13 +19,13 @@ Nothing emits all pairs of a group:
   as pairs of small blocks of nodes, of which only links come out; nodes of a large group's most
   frequent component meet the others alone.
 
-A node is a set, not an id: rows that share an id but hold different sets are different nodes, and
-minhashes and text of a node come from one row, the first of the set by id and digest of the text.
+A node is a set, not an id: rows that share an id but hold different sets are different nodes, rows without an id have
+nodes like all others, and minhashes and text of a node come from one row, the first of the set by id and digest of the text.
 
 Defined results: a null or wordless text has 0 shingles and stays alone.  Equal sets are linked
 whatever their texts.  Repeated rows of a document are all returned.  A component is named by its
-least id, so components of different texts under one least id have one name.  A row with a null id
-takes no part in components: its ``component_id`` and ``kept`` are null.
+least id, so components of different texts under one least id have one name.  A row with a null id links
+texts like any other; its own ``component_id`` and ``kept`` are null.
 """
 
 from __future__ import annotations
@@ -357,10 +357,19 @@ def text_digest(text_col: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
 
 
+#: Tells rows apart as ``doc_id`` and ``digest`` do, without nulls; rows with an id come first.
+ROW = ["nameless", "row_id", "digest"]
+
+
+def row_key(doc_id: Column) -> list[Column]:
+    """The first two columns of ``ROW``."""
+    return [doc_id.isNull().alias("nameless"), F.coalesce(doc_id, F.lit(0)).alias("row_id")]
+
+
 def linked_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All rows with their set, and ``(set_a, set_b, doc_id, digest, component)`` for every set of a row with an id.
+    """All rows with their set, and ``(set_a, set_b, nameless, row_id, digest, component)`` for every set.
 
-    ``doc_id`` and ``digest`` are those of the set's first row.  The component is the number of a node.
+    The columns of ``ROW`` are those of the set's first row.  The component is the number of a node.
     """
     if percent < LEAST_PERCENT:
         raise ValueError(f"percent must be {LEAST_PERCENT} or more: the tables would miss pairs under it")
@@ -368,8 +377,8 @@ def linked_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_col
     signed = stored(signatures(rows, width), "signatures")
     # Numbers are given as the table is written, and hold from then on.
     sets = stored(
-        signed.filter(F.col("doc_id").isNotNull() & F.col("set_a").isNotNull())
-        .groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "digest", "minhashes")).alias("first"))
+        signed.filter(F.col("set_a").isNotNull()).select("set_a", "set_b", *row_key(F.col("doc_id")), "digest", "minhashes")
+        .groupBy("set_a", "set_b").agg(F.min(F.struct(*ROW, "minhashes")).alias("first"))
         .select("set_a", "set_b", "first.*", F.monotonically_increasing_id().alias("node")), "sets")
     nodes = sets.select("node", "minhashes")
 
@@ -388,16 +397,16 @@ def linked_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_col
         near = stored(near.unionAll(strays), "pairs")
         groups = components(near)
 
-    # Rows of one id and digest hold one text.
-    wanted = sets.join(groups.select("node"), "node").select("node", "doc_id", "digest")
-    texts = stored(rows.join(wanted, ["doc_id", "digest"]).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    # Rows of one key hold one text.
+    wanted = sets.join(groups.select("node"), "node").select("node", *ROW)
+    texts = stored(rows.select(*row_key(F.col("doc_id")), "digest", "text").join(wanted, ROW).groupBy("node").agg(F.min("text").alias("text")), "texts")
     links = stored(confirmed(near, texts, width, percent), "links")
     labels = components(links)
     more = stored(confirmed_in_groups(groups, labels, texts, width, percent), "links")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
     named = sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return signed, named.select("set_a", "set_b", "doc_id", "digest", "component")
+    return signed, named.select("set_a", "set_b", *ROW, "component")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -405,7 +414,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``; see the module for the rules."""
     signed, sets = linked_sets(docs, width, percent, id_col, text_col)
     sets = stored(sets, "components")
-    names = sets.groupBy("component").agg(F.min("doc_id").alias("name"))
+    names = sets.groupBy("component").agg(F.min(F.when(~F.col("nameless"), F.col("row_id"))).alias("name"))
     named = sets.join(names, "component").select("set_a", "set_b", F.col("name").alias("component"))
     known, alone = signed.filter(F.col("set_a").isNotNull()), signed.filter(F.col("set_a").isNull())
     out = known.join(named, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", "component").unionAll(
@@ -418,12 +427,14 @@ def without_near_copies(docs: DataFrame, *, width: int = 5, percent: int = 80, i
                         text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component, the first by id and digest of the text, with all its columns.
 
-    Of wordless texts one row stays for each id and text.  Rows with a null id all stay.
+    A row with an id comes before those without.  Of wordless texts one row stays for each id and text, and all with a null id stay.
     """
     signed, sets = linked_sets(docs, width, percent, id_col, text_col)
-    firsts = sets.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select("first.*")
-    alone = signed.filter(F.col("doc_id").isNotNull() & F.col("set_a").isNull()).select("doc_id", "digest")
-    kept = firsts.unionAll(alone).withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
-    known = docs.withColumns({"_id": F.col(f"`{id_col}`").cast("bigint"), "_digest": text_digest(text_col)}).filter("_id IS NOT NULL")
-    numbered = known.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"])
-    return numbered.select(*docs.columns).unionAll(docs.filter(F.col(f"`{id_col}`").cast("bigint").isNull()))
+    firsts = sets.groupBy("component").agg(F.min(F.struct(*ROW)).alias("first")).select("first.*")
+    alone = signed.filter(F.col("doc_id").isNotNull() & F.col("set_a").isNull()).select(*row_key(F.col("doc_id")), "digest")
+    # The rows' own columns stay inside a struct, so that none of them can clash with the key.
+    known = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(F.col(f"`{id_col}`").cast("bigint")),
+                        text_digest(text_col).alias("digest"))
+    kept = known.join(firsts.unionAll(alone), ROW, "left_semi").dropDuplicates(ROW).select("row.*")
+    wordless = signed.filter(F.col("doc_id").isNull() & F.col("set_a").isNull()).select("digest").distinct()
+    return kept.unionAll(known.filter("nameless").join(wordless, "digest", "left_semi").select("row.*"))

@@ -13,7 +13,7 @@ shingled AS MATERIALIZED (
   SELECT doc_id, list_sort(list_distinct(
     CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s
   FROM worded),
-sets AS MATERIALIZED (SELECT min(doc_id) AS node, s, len(s) AS n FROM shingled WHERE len(s) > 0 GROUP BY s),
+sets AS MATERIALIZED (SELECT row_number() OVER () AS node, min(doc_id) AS id, s, len(s) AS n FROM shingled WHERE len(s) > 0 GROUP BY s),
 terms AS MATERIALIZED (SELECT node, n, unnest(s) AS term FROM sets),
 spread AS (SELECT term, count(*) AS texts FROM terms GROUP BY term),
 placed AS (
@@ -29,11 +29,11 @@ counted AS (
 links AS MATERIALIZED (SELECT a, b FROM counted WHERE 100 * common >= 80 * (total - common)),
 edges AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reached AS (
-  SELECT node, node AS root FROM sets
+  SELECT node, id AS root FROM sets
   UNION SELECT edges.b, reached.root FROM reached JOIN edges ON edges.a = reached.node),
 named AS (SELECT node, min(root) AS component FROM reached GROUP BY node)
-SELECT doc_id, CAST(len(shingled.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id,
-  doc_id = coalesce(component, doc_id) AS kept
+SELECT doc_id, CAST(len(shingled.s) AS BIGINT) AS n_shingles,
+  CASE WHEN doc_id IS NOT NULL THEN coalesce(component, doc_id) END AS component_id, doc_id = coalesce(component, doc_id) AS kept
 FROM shingled LEFT JOIN sets ON sets.s = shingled.s LEFT JOIN named USING (node)
 """
 
