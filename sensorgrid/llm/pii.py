@@ -40,7 +40,7 @@ STEP = 0.15
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NUMBERS = re.compile(r"[0-9](?:[ .-]?[0-9])*+")
-_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+_DIGITS = re.compile(r"[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN_HEAD = re.compile(r"[A-Z]{2}[0-9]{2}")
@@ -80,12 +80,16 @@ def numbers(text: str) -> Iterator[tuple[str, int, int]]:
         if len(whole) < 7:
             continue
         if whole.count(".") >= 3:
-            at = 0
-            while found := _IP.search(whole, at):
-                # Three parts cannot follow the start of a longer number, so a search starts at whole numbers.
-                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in found.group().split(".")):
-                    yield "ip", start + found.start(), start + found.end()
-                at = found.end()
+            # Groups of digits first: four that only points join are an address.  A match takes whole groups, so none is looked at twice.
+            parts: list[re.Match] = []
+            for group in _DIGITS.finditer(whole):
+                if parts and not (group.start() == parts[-1].end() + 1 and whole[group.start() - 1] == "."):
+                    parts = []
+                parts.append(group)
+                if len(parts) == 4:
+                    if all(len(p) <= 3 and int(p or 0) <= 255 for p in (g.group().lstrip("0") for g in parts)):
+                        yield "ip", start + parts[0].start(), start + group.end()
+                    parts = []
         if len(whole) >= 16:
             for found in _CARD.finditer(whole):
                 digits = digits_of(found.group())
