@@ -7,7 +7,7 @@ best first, until the k-th score found is above every bound left.  Stated querie
 in blocks: a block of queries is sent to each chunk once, and k rows for each query leave a chunk.
 
 Defined results: null vectors, vectors with null, NaN or infinite components and rows with a null id
-take no part.  Rows repeated with the same id and vector count once, and no row of the query's own id is a
+take no part, nor do vectors with a component whose ``scale``-fold is beyond the doubles.  Rows repeated with the same id and vector count once, and no row of the query's own id is a
 candidate.  Only vectors of the same number of components are compared.  Scores beyond 64 bits
 are cut to the nearest 64-bit number.
 """
@@ -31,8 +31,8 @@ EXACT = float(1 << 53)
 def whole_numbers(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """``(vec_id, vec, dims)``: floor(scale * x) of the usable vectors, as doubles that hold whole numbers."""
     x = F.col(f"`{vector_col}`")
-    usable = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     scaled = F.transform(x, lambda v: v.cast("double") * F.lit(float(scale)))
+    usable = F.forall(scaled, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return (
         df.select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"), scaled.alias("vec"), F.size(x).alias("dims"), usable.alias("ok"))
         .filter("vec_id IS NOT NULL AND vec IS NOT NULL AND ok").select("vec_id", "vec", "dims").distinct()
@@ -71,21 +71,25 @@ class ApproximationFile:
 
     def __init__(self, vectors: np.ndarray):
         low, high = vectors.min(axis=0), vectors.max(axis=0)
-        width = np.maximum(np.ceil((high - low + 1) / CELLS), 1)
-        self.cells = np.minimum((vectors - low) // width, CELLS - 1).astype(np.uint8)
-        edges = low + np.arange(CELLS + 1)[:, None] * width
+        # Halves, because the difference of two large doubles can be beyond them.
+        width = np.maximum(np.ceil(high / CELLS - low / CELLS + 1 / CELLS), 1)
+        self.cells = np.minimum((vectors / 2 - low / 2) // (width / 2), CELLS - 1).astype(np.uint8)
+        edges = np.minimum(low + np.arange(CELLS)[:, None] * width, high)
         columns = np.arange(vectors.shape[1])
-        self.least, self.greatest = edges[self.cells, columns], np.maximum(edges[self.cells + 1, columns] - 1, edges[self.cells, columns])
-        self.greatest = np.where(self.cells == CELLS - 1, np.maximum(self.greatest, high), self.greatest)
+        self.least = edges[self.cells, columns]
+        self.greatest = np.where(self.cells == CELLS - 1, high, np.minimum(np.maximum(self.least + (width - 1), self.least), high))
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """The greatest inner product that a vector in its cells can have with each query."""
-        return np.maximum(queries, 0) @ self.greatest.T + np.minimum(queries, 0) @ self.least.T
+        """The greatest inner product that a vector in its cells can have with each query; infinite where doubles cannot tell."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            found = np.maximum(queries, 0) @ self.greatest.T + np.minimum(queries, 0) @ self.least.T
+        return np.where(np.isfinite(found), found, np.inf)
 
 
 def products(vectors: np.ndarray, query: np.ndarray) -> list[int] | np.ndarray:
     """Exact inner products."""
-    largest = np.abs(vectors).max(initial=0) * np.abs(query).max(initial=0) * max(len(query), 1)
+    with np.errstate(over="ignore"):
+        largest = np.abs(vectors).max(initial=0) * np.abs(query).max(initial=0) * max(len(query), 1)
     if largest < EXACT:
         return (vectors @ query).astype(np.int64)
     q = [int(v) for v in query]

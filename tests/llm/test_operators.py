@@ -231,6 +231,34 @@ def test_personal_data(odd, none):
     assert pii.without_personal_data(none).count() == 0 and pii.find_spans(none).count() == 0
 
 
+def test_ip_addresses_in_long_runs():
+    """Time grows with the length alone, and whole groups of digits decide as the pattern does."""
+    import time
+    base = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = np.random.default_rng(8)
+    for _ in range(2000):
+        text = "".join(rng.choice(list("0123.. -x5"), rng.integers(1, 40)))
+        want = [m.span() for m in base.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+        assert [s[1:] for s in pii.numbers(text) if s[0] == "ip"] == want, text
+    started = time.perf_counter()
+    for n in (1_000_000, 2_000_000):
+        assert pii.spans("1.1-1.1-1.1-" + "1" * n) == []
+    assert time.perf_counter() - started < 20
+
+
+def test_top_products_of_very_large_components(spark):
+    """Products beyond 64 bits are cut; a vector whose scaled components are beyond the doubles takes no part."""
+    rows = [(0, [1e307, 1.0]), (50, [1.0, 2.0]), (1, [1e304, -1e304]), (2, [-1e304, 1e304]), (3, [3.0, -1.0]), (100, [1e304, 1e304])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in topk.top_products(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    whole = {i: [int(256 * x) for x in v] for i, v in rows if i}
+    cut = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    want = {q: sorted((-cut(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q) for q in (50, 100)}
+    assert {q: sorted(v) for q, v in got.items()} == want
+
+
 def test_top_products(spark):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(0, 0.2, 12).tolist()) for k in range(700)] + [(700 + k, [0.5] * 12) for k in range(300)]
