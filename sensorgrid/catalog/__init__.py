@@ -11,6 +11,7 @@ from . import (  # noqa: F401
     scalar_queries,
     selection_queries,
     source_queries,
+    station_queries,
     stream_queries,
 )
 from .base import REGISTRY, registered_oracles, registered_queries  # noqa: F401

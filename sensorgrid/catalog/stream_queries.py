@@ -11,7 +11,7 @@ from sensorgrid.model import trainer
 from sensorgrid.operators import select
 from sensorgrid.schemas import SDS_RAW
 from sensorgrid.session import local_state_width, run_dir, stored
-from sensorgrid.streaming import hourly, ingest, online
+from sensorgrid.streaming import hourly, ingest, online, progress as sensor_state, upsert
 
 
 def event_stream(spark, sf):
@@ -137,3 +137,87 @@ def online_model(spark, sf):
 def progress(spark, sf):
     table = finish(spark, dust_stream(spark, sf), "progress")
     return ingest.sensor_progress(table, "sds_sensor")
+
+
+SPANS = 3
+#: Spans of equal length over the time of all events; the number of a row's span.
+SPAN_SQL = f"(epoch_us({{t}}) - (SELECT min(epoch_us(ts)) FROM events)) * {SPANS} // ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events) + {{wide}})"
+
+
+def arriving_spans(spark, sf, arrival, wide_us=1):
+    """The events with the number of the span in which they arrive."""
+    ends = events(spark, sf).agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("a"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("b")).first()
+    span = F.floor((F.unix_micros(arrival) - F.lit(ends["a"])) * SPANS / F.lit(ends["b"] - ends["a"] + wide_us))
+    return events(spark, sf).withColumn("span", span)
+
+
+def in_spans(rows, root, start, spans=SPANS):
+    """Write one span of ``rows`` after the other to ``root`` and run ``start`` to its end after each."""
+    for k in range(spans):
+        rows.filter(F.col("span") == k).drop("span").write.mode("append").parquet(f"{root}/arrived")
+        start(rows.sparkSession.readStream.schema(rows.drop("span").schema).parquet(f"{root}/arrived")).awaitTermination()
+
+
+SILENCE_HOURS = 48
+
+
+@query(
+    "st8_progress_and_silent_sensors",
+    f"""WITH g AS (SELECT sds_sensor, ts, lead(ts) OVER (PARTITION BY sds_sensor ORDER BY ts) AS after FROM dust)
+    SELECT sds_sensor, 'progress' AS kind, count(*) AS n, min(ts) AS first, max(ts) AS last, NULL::TIMESTAMP AS until FROM dust GROUP BY 1
+    UNION ALL SELECT sds_sensor, 'silent', 0, ts, ts, after FROM g
+    WHERE after > ts + INTERVAL {SILENCE_HOURS} HOUR
+    OR after IS NULL AND ts + INTERVAL {SILENCE_HOURS} HOUR <= (SELECT max(ts) FROM dust) - INTERVAL 2 HOUR""",
+    "dust",
+)
+def silent_sensors(spark, sf):
+    """Three spans of days arrive one after the other; state per sensor, and timers that report two days without a reading."""
+    root = run_dir(spark, "silent")
+    time = F.col("ts").cast("timestamp")
+    rows = arriving_spans(spark, sf, time).filter(F.col("event_type").isin("click", "view")).select(
+        F.col("user_id").alias("sds_sensor"), time.alias("timestamp"), "span")
+
+    def start(stream):
+        told = sensor_state.progress_stream(stream, "sds_sensor", silence_hours=SILENCE_HOURS)
+        return ingest.append_available(told, f"{root}/table", f"{root}/checkpoint")
+
+    with sensor_state.timer_state(spark):
+        in_spans(rows, root, start)
+    told = spark.read.parquet(f"{root}/table")
+    none = F.lit(None)
+    latest = sensor_state.latest_progress(told, "sds_sensor").select(
+        "sds_sensor", F.lit("progress").alias("kind"), "n", "first", "last", none.cast("timestamp").alias("until"))
+    return latest.unionByName(sensor_state.silences(told, "sds_sensor").select(
+        "sds_sensor", F.lit("silent").alias("kind"), F.lit(0).cast("bigint").alias("n"), F.col("last").alias("first"), "last", "until"))
+
+
+#: Minutes after its time at which a reading arrives, up to two hours.
+LATE_US = "(event_id * 37 % 120) * 60000000"
+
+
+@query(
+    "st2_late_corrections",
+    f"""WITH d AS (SELECT user_id AS sds_sensor, date_trunc('hour', ts) AS hour, value AS P1,
+    {SPAN_SQL.format(t="ts + to_microseconds(" + LATE_US + ")", wide=7_200_000_000)} AS span FROM events WHERE event_type IN ('click', 'view'))
+    SELECT sds_sensor, hour, round(avg(P1), 6) AS P1, count(DISTINCT span) AS versions FROM d GROUP BY 1, 2""",
+)
+def late_corrections(spark, sf):
+    """Readings arrive up to two hours late, in three spans: hours already written are written again, the newest version counts."""
+    root = run_dir(spark, "corrections")
+    time = F.col("ts").cast("timestamp")
+    late = F.timestamp_micros(F.unix_micros(time) + F.expr(LATE_US.replace("60000000", "60000000L")))
+    rows = arriving_spans(spark, sf, late, 7_200_000_000).filter(F.col("event_type").isin("click", "view")).select(
+        F.col("user_id").alias("sds_sensor"), time.alias("timestamp"), F.col("value").alias("P1"), "span")
+    hours = None
+
+    def start(stream):
+        nonlocal hours
+        hours = hourly.hourly_mean_stream(stream, ["sds_sensor"], ["P1"])
+        return upsert.upsert_available(hours, f"{root}/table", f"{root}/checkpoint")
+
+    with local_state_width(spark):
+        in_spans(rows, root, start)
+    table = upsert.versions(spark, f"{root}/table", hours.schema)
+    written = table.groupBy("sds_sensor", "hour").agg(F.count(F.lit(1)).alias("versions"))
+    newest = upsert.current_hours(table, ["sds_sensor"]).drop("batch")
+    return rounded(newest.join(written, ["sds_sensor", "hour"]), 6, "P1")

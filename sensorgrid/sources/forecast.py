@@ -10,11 +10,14 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorgrid.config import STATION_ZONE
 from sensorgrid.functions import scalar, text
+from sensorgrid.operators.counts import RunCounts
 
 # --- fixed values -----------------------------------------------------------
 TABLE_ID = "forecastTable_1_3"
@@ -109,23 +112,57 @@ def every_second(values: Column, limit: int | None = None) -> Column:
     return kept if limit is None else F.slice(kept, 1, limit)
 
 
+#: What is read of a page: the rows of its forecast table with label, cell texts and hover hints.
+PAGE_ROWS = pa.list_(pa.struct([("label", pa.string()), ("cells", pa.list_(pa.string())), ("hints", pa.list_(pa.string()))]))
+
+
+def _table_rows(html: str | None) -> list[dict]:
+    parser = _Cells()
+    parser.feed(html or "")
+    parser.close()
+    rows: dict[int, dict] = {}
+    for row, kind, _, value in parser.out:
+        line = rows.setdefault(row, {"label": None, "cells": [], "hints": []})
+        line["cells" if kind == "cell" else "hints"].append(value)
+    for line in rows.values():
+        line["label"] = next(iter(line["cells"]), None)
+    return [rows[k] for k in sorted(rows)]
+
+
+def page_tables(pages: DataFrame) -> DataFrame:
+    """The columns of ``pages`` with ``rows`` in the place of ``html``; a page stays one row, so nothing is shuffled."""
+    others = [c for c in pages.columns if c != "html"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.array([_table_rows(html) for html in batch.column(0).to_pylist()], PAGE_ROWS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], rows], names=[*others, "rows"])
+
+    whole = pages.select("html", *others)
+    line = T.StructType([T.StructField("label", T.StringType()), *(T.StructField(c, T.ArrayType(T.StringType())) for c in ("cells", "hints"))])
+    return whole.mapInArrow(read, T.StructType([*whole.schema.fields[1:], T.StructField("rows", T.ArrayType(line))]))
+
+
 def tidy_forecast(
-    pages: DataFrame, day: Column, parsed_at: Column, keep: tuple[str, ...] = (), hours: int | None = None
+    pages: DataFrame, day: Column, parsed_at: Column, keep: tuple[str, ...] = (), hours: int | None = None,
+    counts: RunCounts | None = None,
 ) -> DataFrame:
     """One row per page and hour column, of all columns or the first ``hours``.
 
     ``day`` is the local day of the first column and ``parsed_at`` the time of the
     snapshot; both may use columns of ``pages``.  A page without the table, a row or
-    a readable value gives no rows; see :func:`bad_pages`.
+    a readable value gives no rows; see :func:`bad_pages`.  With ``counts`` the pages and the good ones
+    are counted as steps ``pages`` and ``good_pages`` in the same pass.
     """
-    wide = _page_rows(pages, hours)
-    snapshot = pages.select("page_id", day.alias("_day"), parsed_at.alias("_parsed"), *keep)
-    slots = wide.join(snapshot, "page_id").select(
-        "page_id", "_day", "_parsed", *keep, F.posexplode("slots").alias("pos", "slot")
-    )
-    order = Window.partitionBy("page_id").orderBy("pos")
-    hour = F.col("slot.time").cast("int")
-    local = F.to_timestamp(F.date_add("_day", rollover_days(hour, order))) + F.make_dt_interval(hours=hour)
+    read = pages.select("page_id", "html", day.alias("_day"), parsed_at.alias("_parsed"), *keep)
+    good = _good_pages(page_tables(counts.watch(read, "pages") if counts else read), hours)
+    if counts:
+        good = counts.watch(good, "good_pages")
+    late = F.filter(F.sequence(F.lit(1), F.size("slots")), lambda i: F.col("slots")[i - 1]["time"] == 23)
+    slots = good.select("page_id", "_day", "_parsed", *keep, late.alias("_late"), F.posexplode("slots").alias("pos", "slot"))
+    # A day more for every 23 o'clock column before this one.
+    days = F.size(F.filter("_late", lambda i: i <= F.col("pos")))
+    local = F.to_timestamp(F.date_add("_day", days)) + F.make_dt_interval(hours=F.col("slot.time").cast("int"))
     return slots.select(
         "page_id",
         "pos",
@@ -141,55 +178,35 @@ def tidy_forecast(
     )
 
 
-def _page_rows(pages: DataFrame, hours: int | None = None) -> DataFrame:
-    """``page_id, slots``: per good page the values of its hour columns as texts."""
-    cells = page_cells(pages)
-    labelled = (
-        cells.groupBy("page_id", "row")
-        .agg(
-            F.max(F.when((F.col("kind") == "cell") & (F.col("pos") == 0), F.col("value"))).alias("label"),
-            F.sort_array(F.collect_list(F.when(F.col("kind") == "cell", F.struct("pos", "value")))).alias("cells"),
-            F.sort_array(F.collect_list(F.when(F.col("kind") == "hint", F.struct("pos", "value")))).alias("hints"),
-        )
-        # A label may carry the marks of two rows (wind speed and direction).
-        .withColumn("role", F.explode(_roles("label")))
-    )
-    # Of several rows with one role the last one counts.
-    rows = labelled.groupBy("page_id").agg(
-        *[
-            F.max_by(F.struct("cells", "hints"), F.when(F.col("role") == role, F.col("row"))).alias(role)
-            for role, _ in text.FORECAST_LABELS
-        ]
-    )
+def _good_pages(read: DataFrame, hours: int | None = None) -> DataFrame:
+    """The good pages of :func:`page_tables`, with the values of their hour columns as ``slots`` in the place of ``rows``."""
+
+    # A label may carry the marks of two rows (wind speed and direction); of several rows with one role the last one counts.
+    def marked(mark: str) -> Column:
+        return F.try_element_at(F.filter("rows", lambda r: F.contains(r["label"], F.lit(mark))), F.lit(-1))
+
+    found = read.select(*[c for c in read.columns if c != "rows"], *[marked(mark).alias(f"_{role}") for role, mark in text.FORECAST_LABELS])
 
-    def shown(role):
-        cells = F.transform(F.col(role)["cells"], lambda c: c["value"])
+    def shown(role: str) -> Column:
+        cells = F.col(f"_{role}.cells")
         return F.slice(cells, F.lit(2), F.size(cells) if hours is None else F.lit(hours))
 
-    hints = every_second(
-        F.transform(F.col("prec")["hints"], lambda h: F.get(F.split(h["value"], ","), F.lit(1))), hours)
-    numbers = {r: F.transform(shown(r), text.first_number) for r in ("temp", "pressure", "wind_speed", "humidity")}
-    times = F.transform(shown("time"), lambda v: F.trim(v).try_cast("int"))
+    hints = every_second(F.transform(F.col("_prec.hints"), lambda h: F.get(F.split(h, ","), F.lit(1))), hours)
     columns = {
-        "time": times, "prec": hints, "wind_dir": F.transform(shown("wind_dir"), text.first_token), **numbers
+        "time": F.transform(shown("time"), lambda v: F.trim(v).try_cast("int")), "prec": hints,
+        "wind_dir": F.transform(shown("wind_dir"), text.first_token),
+        **{r: F.transform(shown(r), text.first_number) for r in ("temp", "pressure", "wind_speed", "humidity")},
     }
-    ready = rows.select("page_id", *[c.alias(n) for n, c in columns.items()])
-    whole = F.lit(True)
+    kept = [c for c in read.columns if c != "rows"]
+    ready = found.select(*kept, *[c.alias(f"_v_{n}") for n, c in columns.items()])
+    whole = F.size("_v_time") > 0
     for n in columns:
-        whole = whole & F.col(n).isNotNull() & (F.size(n) == F.size("time"))
-        whole = whole & ~F.exists(n, lambda v: v.isNull())
-    return ready.filter(whole & (F.size("time") > 0)).select(
-        "page_id", F.arrays_zip(*columns).alias("slots")
-    )
-
-
-def _roles(label: str) -> Column:
-    marks = F.array(
-        *[F.when(F.contains(F.col(label), F.lit(mark)), F.lit(role)) for role, mark in text.FORECAST_LABELS]
-    )
-    return F.filter(marks, lambda r: r.isNotNull())
+        v = F.col(f"_v_{n}")
+        whole = whole & v.isNotNull() & (F.size(v) == F.size("_v_time")) & ~F.exists(v, lambda x: x.isNull())
+    return ready.filter(whole).select(*kept, F.arrays_zip(*[F.col(f"_v_{n}").alias(n) for n in columns]).alias("slots"))
 
 
 def bad_pages(pages: DataFrame) -> DataFrame:
-    """Pages that give no forecast rows."""
-    return pages.select("page_id").join(_page_rows(pages).select("page_id"), "page_id", "left_anti")
+    """Ids of the pages that give no forecast rows."""
+    read = pages.select("page_id", "html")
+    return read.select("page_id").join(_good_pages(page_tables(read)).select("page_id"), "page_id", "left_anti")

@@ -6,12 +6,13 @@ the last stored row.  Every file is appended as it is, once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sensorgrid.config import STATION_ZONE
+from sensorgrid.operators import counts
 from sensorgrid.sources import forecast, readings
 
 
@@ -40,18 +41,27 @@ def sensor_progress(table: DataFrame, key: str = "sensor_id", time: str = "times
     )
 
 
-def progress_stream(stream: DataFrame, key: str = "sensor_id", time: str = "timestamp") -> DataFrame:
-    """The same as a running aggregate for ``complete`` or ``update`` mode; state is one row per sensor."""
-    return sensor_progress(stream, key, time)
+def append_counted(stream: DataFrame, path: str, checkpoint: str, counts_path: str, **conditions: Column) -> StreamingQuery:
+    """Append all that has arrived, batch by batch, with the counts of each batch as rows of a second table.
+
+    Rows and counts come from one pass.  Both have a folder per batch, which a replay replaces.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        seen = counts.RunCounts(f"batch {batch_id}")
+        seen.watch(batch, "arrived", **conditions).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        seen.table(batch.sparkSession).coalesce(1).write.mode("overwrite").parquet(f"{counts_path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def forecast_available(
-    spark: SparkSession, folder: str, path: str, checkpoint: str, **options: str
+    spark: SparkSession, folder: str, path: str, checkpoint: str, counts_path: str | None = None, **options: str
 ) -> StreamingQuery:
     """Append forecast rows of arriving page files (one page per file); a bad page gives no rows.
 
     The snapshot time is the file's modification time and the first column belongs
-    to its local day.
+    to its local day.  With ``counts_path`` the pages read and the good ones of each batch are counted there.
     """
     pages = (
         spark.readStream.format("text")
@@ -67,9 +77,12 @@ def forecast_available(
 
     def append(batch: DataFrame, batch_id: int) -> None:
         local_day = F.to_date(F.from_utc_timestamp("seen", STATION_ZONE))
-        rows = forecast.tidy_forecast(batch, local_day, F.col("seen"))
+        seen = counts.RunCounts(f"batch {batch_id}") if counts_path else None
+        rows = forecast.tidy_forecast(batch, local_day, F.col("seen"), counts=seen)
         # One folder per batch, overwritten on replay, keeps the append exact.
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if seen:
+            seen.table(batch.sparkSession).coalesce(1).write.mode("overwrite").parquet(f"{counts_path}/batch={batch_id}")
 
     return (
         pages.writeStream.foreachBatch(append)
