@@ -5,9 +5,9 @@ For inducing points Z and rows (x, y) the model needs no more of the data than
     A = sum k(Z, x) k(x, Z)      b = sum k(Z, x) y      yy = sum y y
     n = count                    kd = sum k(x, x)
 
-All are sums over rows.  Every task folds its Arrow batches into one M x M block per
-group (a time fold) and candidate (a kernel); Spark adds the blocks up.  What reaches
-the driver grows with groups x candidates x M x M, never with the rows.
+All are sums over rows.  Every task folds the rows that it scans into one M x M block per
+group (a time fold) and candidate (a kernel); other tasks add the blocks up.  Rows are not shuffled where the scan is wide
+enough, and what reaches the driver grows with groups x candidates x M x M, never with the rows.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from sensorgrid.functions.kernels import Kernel
 from sensorgrid.model.linalg import symmetric
-from sensorgrid.session import wide
+from sensorgrid.session import spread_if_small, wide
 
 X_COLUMNS = ["t", "lon", "lat"]
 BLOCK_ROWS = 2048  # rows per kernel block inside a task
 HELD_BYTES = 64 << 20  # partial sums a task holds before it hands them on
-PARTIALS = "grp bigint, cand int, i int, v array<double>"
+PIECE = 1 << 16  # numbers in a row of a partial sum
+PARTIALS = "grp bigint, cand int, piece int, data binary"
 
 
 @dataclass(frozen=True)
@@ -60,10 +61,27 @@ def block_statistics(kernel: Kernel, z: np.ndarray, x: np.ndarray, y: np.ndarray
 
 
 def _rows(grp: int, cand: int, s: Statistics) -> pd.DataFrame:
-    """One row per matrix row: the upper triangle and b; row -1 holds the scalars."""
-    m = len(s.b)
-    values = [np.array([s.yy, s.n, s.kd])] + [np.append(s.a[i, i:], s.b[i]) for i in range(m)]
-    return pd.DataFrame({"grp": grp, "cand": cand, "i": np.arange(-1, m), "v": values})
+    """The scalars, b and the upper triangle of A as rows of bytes."""
+    flat = np.concatenate([[s.yy, s.n, s.kd], s.b, s.a[np.triu_indices(len(s.b))]])
+    pieces = [flat[at:at + PIECE].tobytes() for at in range(0, len(flat), PIECE)]
+    return pd.DataFrame({"grp": grp, "cand": cand, "piece": range(len(pieces)), "data": pieces})
+
+
+def _statistics(flat: np.ndarray, m: int) -> Statistics:
+    a = np.zeros((m, m))
+    a[np.triu_indices(m)] = flat[3 + m:]
+    return Statistics(symmetric(a), flat[3:3 + m], *map(float, flat[:3]))
+
+
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Add the pieces that meet in a task."""
+    sums: dict[tuple[int, int, int], np.ndarray] = {}
+    for pdf in batches:
+        for *key, data in pdf.itertuples(index=False):
+            part = np.frombuffer(data)
+            sums[tuple(key)] = sums[tuple(key)] + part if tuple(key) in sums else part
+    if sums:
+        yield pd.DataFrame([(*key, s.tobytes()) for key, s in sums.items()], columns=["grp", "cand", "piece", "data"])
 
 
 def sufficient_statistics(
@@ -101,29 +119,14 @@ def sufficient_statistics(
 
     grp = F.col(group).cast("bigint") if group else F.lit(0).cast("bigint")
     used = rows.select(grp.alias("grp"), *X_COLUMNS, y).na.drop()
-    # A row costs about M x M operations but is five numbers wide, so it pays to spread
-    # rows over all cores.  Spreading by group and a few salts gives every task rows of
-    # few groups, hence few M x M blocks to hand on, however the input is ordered.
     tasks = wide(rows.sparkSession)
     salts = max(1, -(-tasks // len(points)))
-    salt = F.pmod(F.xxhash64(*X_COLUMNS, y), F.lit(salts))
-    partials = used.filter(F.col("grp").isin(*points)).repartition(tasks, "grp", salt).mapInPandas(fold, PARTIALS)
-    sums = (
-        partials.select("grp", "cand", "i", F.posexplode("v").alias("j", "v"))
-        .groupBy("grp", "cand", "i", "j")
-        .agg(F.sum("v").alias("v"))
-        .toPandas()
-    )
+    # A small table is dealt by group and a few salts, so that every task has rows of few groups.
+    known = spread_if_small(used.filter(F.col("grp").isin(*points)), "grp", F.pmod(F.xxhash64(*X_COLUMNS, y), F.lit(salts)))
+    partials = known.mapInPandas(fold, PARTIALS)
+    sums = partials.repartition(tasks, "grp", "cand", "piece").mapInPandas(_summed, PARTIALS).collect()
     out: dict[tuple[int, int], Statistics] = {}
-    for (g, c), part in sums.groupby(["grp", "cand"]):
-        m = sizes[int(g)]
-        i, j, v = part["i"].to_numpy(), part["j"].to_numpy(), part["v"].to_numpy()
-        scalars = np.zeros(3)
-        scalars[j[i < 0]] = v[i < 0]
-        col = i + j
-        a, b = np.zeros((m, m)), np.zeros(m)
-        inner = (i >= 0) & (col < m)
-        a[i[inner], col[inner]] = v[inner]
-        b[i[(i >= 0) & (col == m)]] = v[(i >= 0) & (col == m)]
-        out[(int(g), int(c))] = Statistics(symmetric(a), b, *map(float, scalars))
+    for g, c in {(r["grp"], r["cand"]) for r in sums}:
+        mine = sorted((r["piece"], bytes(r["data"])) for r in sums if (r["grp"], r["cand"]) == (g, c))
+        out[(g, c)] = _statistics(np.frombuffer(b"".join(data for _, data in mine)), sizes[g])
     return out

@@ -20,7 +20,7 @@ from sensorgrid.model.posterior import STATE_SCHEMA, Posterior, first_fits, onli
 from sensorgrid.model.statistics import BLOCK_ROWS, X_COLUMNS, Statistics, sufficient_statistics
 from sensorgrid.operators.aggregates import fit_target
 from sensorgrid.operators.sampling import DEFAULT_SEED, sampled_rows
-from sensorgrid.session import wide
+from sensorgrid.session import spread_if_small
 
 NORMAL_95 = 1.96
 KEEP = 0.7
@@ -232,7 +232,5 @@ def predict_rows(
                 out["var"] = scale.invert(var)
             yield out
 
-    # Predicting a row costs far more than moving it, so rows are spread over all cores.
-    spread = inputs.repartition(wide(df.sparkSession), F.xxhash64(*inputs.columns))
-    return spread.mapInPandas(run, schema)
+    return spread_if_small(inputs, F.xxhash64(*inputs.columns)).mapInPandas(run, schema)
 

@@ -90,3 +90,17 @@ def wide(spark: SparkSession) -> int:
     Adaptive execution would size such tasks by their bytes, which say little here.
     """
     return 2 * spark.sparkContext.defaultParallelism
+
+
+def spread_if_small(df: DataFrame, *keys) -> DataFrame:
+    """``df`` dealt over all cores by ``keys`` where its scans have too few partitions for work that is heavy per row.
+
+    Tables of two scan partitions for each core or more stay where they are read: that is wide enough, and
+    a shuffle would move all rows.  Frames of unknown size are dealt.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    enough = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) * wide(spark)
+    # Leaves of unknown size count as far more than any table has.
+    return df if enough <= sum(sizes) < 1 << 60 else df.repartition(wide(spark), *keys)

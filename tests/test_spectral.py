@@ -46,3 +46,32 @@ def test_number_rows_is_dense_over_buckets(spark):
     assert (numbered["rn"] == numbered["v"] + 1).all()
     parts = numbering.chunks(spark.range(10), 6, ["id"], numbering.quantile_bucket(spark.range(10), "id", 4), "id")
     assert [len(r["items"]) for r in parts.orderBy("chunk").collect()] == [6, 4]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 16, 97, 1000, 1531])
+def test_full_transforms_of_any_length(spark, n):
+    """All lags and all frequencies of lengths that are prime, short or no power of two, in small pieces."""
+    from sensorgrid.operators import fourier
+
+    y = np.random.default_rng(n).normal(5, 3, n)
+    d = y - y.mean()
+    acov = spectral.autocovariance(_series(spark, y), block=16).orderBy("lag").toPandas()
+    assert np.allclose(acov["acov"], np.correlate(d, d, "full")[n - 1:] / n, atol=1e-11) and list(acov["lag"]) == list(range(n))
+    power = fourier.full_periodogram(_series(spark, d), n, 16).orderBy("k").toPandas()
+    assert np.allclose(power["power"], np.abs(np.fft.rfft(d)) ** 2, atol=1e-8) and list(power["k"]) == list(range(n // 2 + 1))
+
+
+def test_model_passes_stay_on_the_scan_when_it_is_wide(spark, tmp_path):
+    """No exchange before the map over a table of many scan partitions; a small one is dealt over the cores."""
+    from sensorgrid.session import spread_if_small
+
+    spark.range(100_000).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda: spread_if_small(df, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        assert "Exchange" not in plan()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
