@@ -104,7 +104,43 @@ def distances(spark, sf):
 )
 def large_parks(spark, sf):
     parks, _, _ = feature_source.split_features(shapes(spark, sf))
-    return rounded(parks.select("feature_id", geo.ring_area(geo.project_ring("ring")).alias("area")), 1)
+    return rounded(parks.select("feature_id", F.col("area_m2").alias("area")), 1)
+
+
+RELATIONS_SQL = f"""
+WITH base AS (SELECT p_partkey AS feature_id, p_size / 2000.0::DOUBLE AS d, {place_sql('p_partkey')} FROM part WHERE p_type IN ('ECONOMY', 'SMALL')),
+rings AS (SELECT feature_id, 0 AS r, 1.0 AS sign, lon, lat, d FROM base UNION ALL SELECT feature_id, 1, -1.0, lon + d / 4, lat + d / 8, d / 8 FROM base
+UNION ALL SELECT feature_id, 2, 1.0, lon + d * 2, lat, d / 2 FROM base),
+verts AS (SELECT feature_id, r, sign, 0 AS i, lon, lat FROM rings UNION ALL SELECT feature_id, r, sign, 1, lon + d, lat FROM rings
+UNION ALL SELECT feature_id, r, sign, 2, lon + d, lat + d FROM rings UNION ALL SELECT feature_id, r, sign, 3, lon, lat + d / 2 FROM rings),
+xy AS (SELECT feature_id, r, sign, i, {_MX.format(lon='lon')} AS x, {_MY.format(lat='lat')} AS y FROM verts),
+edge AS (SELECT a.feature_id, a.r, a.sign, a.x - o.x AS x0, a.y - o.y AS y0, b.x - o.x AS x1, b.y - o.y AS y1, o.x AS ox, o.y AS oy
+FROM xy a JOIN xy b ON a.feature_id = b.feature_id AND a.r = b.r AND b.i = (a.i + 1) % 4 JOIN xy o ON o.feature_id = a.feature_id AND o.r = a.r AND o.i = 0),
+part_ AS (SELECT feature_id, any_value(sign) * abs(sum(x0 * y1 - x1 * y0)) / 2 AS area,
+any_value(ox) + sum((x0 + x1) * (x0 * y1 - x1 * y0)) / (3 * sum(x0 * y1 - x1 * y0)) AS cx,
+any_value(oy) + sum((y0 + y1) * (x0 * y1 - x1 * y0)) / (3 * sum(x0 * y1 - x1 * y0)) AS cy FROM edge GROUP BY feature_id, r)
+SELECT feature_id, round(sum(area), 1) AS area, round(sum(area * cx) / sum(area), 2) AS cx, round(sum(area * cy) / sum(area), 2) AS cy
+FROM part_ GROUP BY 1 HAVING sum(area) > 100000
+"""
+
+
+@query("g2_s12_relations_with_holes", RELATIONS_SQL)
+def relations_with_holes(spark, sf):
+    """Parks of two parts, one of them with a hole, over the least area."""
+    d, lon, lat = F.col("p_size") / F.lit(2000.0), place_lon(F.col("p_partkey")), place_lat(F.col("p_partkey"))
+
+    def ring(role, x, y, size):
+        corners = [(x, y), (x + size, y), (x + size, y + size), (x, y + size / 2)]
+        return F.struct(F.lit(role).alias("role"), F.array(*[F.struct(a.alias("lon"), b.alias("lat")) for a, b in corners]).alias("ring"))
+
+    rings = F.array(ring("outer", lon, lat, d), ring("inner", lon + d / 4, lat + d / 8, d / 8), ring("outer", lon + d * 2, lat, d / 2))
+    park = F.when(F.col("p_type") == "ECONOMY", F.create_map(F.lit("leisure"), F.lit("park"))).when(
+        F.col("p_type") == "SMALL", F.create_map(F.lit("natural"), F.lit("wood")))
+    relations = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("feature_id"), F.lit("relation").alias("kind"), park.alias("tags"),
+        F.lit(None).cast("array<struct<lon:double,lat:double>>").alias("ring"), rings.alias("rings"))
+    parks, _, _ = feature_source.split_features(relations)
+    return rounded(rounded(parks.select("feature_id", F.col("area_m2").alias("area"), F.col("centre_x").alias("cx"), F.col("centre_y").alias("cy")), 1, "area"), 2, "cx", "cy")
 
 
 @query(

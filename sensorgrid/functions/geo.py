@@ -155,6 +155,61 @@ def rings_centroid(rings) -> Column:
     return _let(F.transform(_col(rings), weighted), lambda parts: middle(parts, vertices))
 
 
+def ring_moments(ring) -> Column:
+    """``struct<w,x,y>`` of a projected ring: twice its signed area, and the sums whose sixths over the area are the centroid, around vertex 1."""
+    r = _col(ring)
+    o = F.element_at(r, 1)
+
+    # The end of an edge and twice the area it spans with vertex 1; what the three sums need of it.
+    def edge(a, b):
+        cross = (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])
+        return F.struct((a["x"] + b["x"] - o["x"] * 2).alias("x"), (a["y"] + b["y"] - o["y"] * 2).alias("y"), cross.alias("w"))
+
+    def add(acc, e):
+        return F.struct((acc["w"] + e["w"]).alias("w"), (acc["x"] + e["x"] * e["w"]).alias("x"), (acc["y"] + e["y"] * e["w"]).alias("y"))
+
+    zero = F.lit(0.0)
+    edges = F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), edge)
+    return F.aggregate(edges, F.struct(zero.alias("w"), zero.alias("x"), zero.alias("y")), add)
+
+
+def rings_measure(rings) -> Column:
+    """``struct<area,x,y>`` of projected rings, each ring looked at once: area less holes, and area centroid.
+
+    Rings without area have the mean of all vertices as centroid.
+    """
+    def measured(r):
+        return F.struct(r["role"].alias("role"), r["ring"].alias("ring"), ring_moments(r["ring"]).alias("m"))
+
+    def add(acc, r):
+        m, o = r["m"], F.element_at(r["ring"], 1)
+        # Orientation does not matter: an outer ring adds its area, an inner one takes it away.
+        turn = F.when(m["w"] < 0, -1.0).otherwise(1.0) * _ring_sign(r)
+        return F.struct(
+            (acc["area"] + turn * m["w"] / 2).alias("area"),
+            (acc["x"] + turn * (m["x"] / 6 + o["x"] * m["w"] / 2)).alias("x"), (acc["y"] + turn * (m["y"] / 6 + o["y"] * m["w"] / 2)).alias("y"))
+
+    def moved(parts):
+        # Around the first vertex of the first ring, where sums keep their digits.
+        at = F.try_element_at(parts, F.lit(1))["ring"][0]
+        near = F.transform(parts, lambda r: F.struct(
+            r["role"].alias("role"), F.array(F.struct(*[(r["ring"][0][c] - at[c]).alias(c) for c in ("x", "y")])).alias("ring"), r["m"].alias("m")))
+        zero = F.lit(0.0)
+        return F.struct(at.alias("at"), F.aggregate(near, F.struct(zero.alias("area"), zero.alias("x"), zero.alias("y")), add).alias("sum"),
+                        F.flatten(F.transform(parts, lambda r: r["ring"])).alias("vertices"))
+
+    def result(m):
+        s, n = m["sum"], F.size(m["vertices"]).cast("double")
+        place = [F.when(s["area"] != 0, m["at"][c] + s[c] / s["area"]).otherwise(F.try_divide(_sum(m["vertices"], _coordinate(c)), n)).alias(c) for c in ("x", "y")]
+        return F.struct(s["area"].alias("area"), *place)
+
+    return _let(_let(F.transform(_col(rings), measured), moved), result)
+
+
+def _coordinate(c: str):
+    return lambda p: p[c]
+
+
 def point_distance(x0, y0, x1, y1) -> Column:
     return F.hypot(_col(x0) - _col(x1), _col(y0) - _col(y1))
 

@@ -150,10 +150,22 @@ def feature_rings(features: DataFrame) -> Column:
     return geo.project_rings(rings)
 
 
+MEASURED = ["area_m2", "centre_x", "centre_y"]
+
+
+def measured(areas: DataFrame) -> DataFrame:
+    """Areas with ``area_m2, centre_x, centre_y``, holes and all parts counted; each ring is projected and summed once.
+
+    A generator, which is not repeated in the filters and projections over it.
+    """
+    if set(MEASURED) <= set(areas.columns):
+        return areas
+    return areas.select("*", F.inline(F.array(geo.rings_measure(feature_rings(areas)))).alias(*MEASURED))
+
+
 def centroid_features(areas: DataFrame, kind: str) -> DataFrame:
-    """Centroids of areas, holes and all parts counted, as point features."""
-    c = areas.select(feature_rings(areas).alias("_r")).select(geo.rings_centroid("_r").alias("_c"))
-    return point_features(c, kind, F.col("_c.x"), F.col("_c.y"))
+    """Centroids of areas as point features."""
+    return point_features(measured(areas), kind, F.col("centre_x"), F.col("centre_y"))
 
 
 def line_features(lines: DataFrame, kind: str) -> DataFrame:
@@ -173,8 +185,8 @@ def line_features(lines: DataFrame, kind: str) -> DataFrame:
 
 
 def larger_than(areas: DataFrame, min_area: float = PARK_MIN_AREA_M2) -> DataFrame:
-    """Areas over ``min_area`` projected square metres, less their holes."""
-    return areas.filter(geo.rings_area(feature_rings(areas)) > min_area)
+    """Areas over ``min_area`` projected square metres, less their holes, with the columns of :func:`measured`."""
+    return measured(areas).filter(F.col("area_m2") > min_area)
 
 
 def attach_nearest(
