@@ -3,11 +3,12 @@
 A text is cut into lines, and a line of more than ``LINE`` characters into groups of sentences; these
 paragraphs are the leaves.  A section ends after a leaf whose digest says so (one in ``SECTION``), or after
 ``LONGEST`` leaves, so that an inserted or deleted paragraph changes its own section and not the cuts of
-the later ones.  A node's digest is the hash of its children's, up to one root: roots test equality, and walking
+the later ones.  A node's digest of 16 bytes is the hash of its children's, up to one root: roots test equality, and walking
 down from differing nodes finds the edited paragraphs.
 
-A fingerprint is the tree as text: the root, then for each section its digest and its leaves'.  The
-likeness of two fingerprints is the share of leaves they have in common (Dice, counting copies).
+A fingerprint is the tree as text: the whole root, then for each section the first ``SHOWN`` digits of its digest and of its
+leaves', which keeps fingerprints short.  Two roots differ wherever two texts do; two different nodes under them look equal with a
+chance of 2^-32.  The likeness of two fingerprints is the share of leaves they have in common (Dice, counting copies).
 
 Defined results: a null text counts as the empty one, whose tree has no leaves; two empty texts have
 likeness 1, an empty and another text 0.  In the order of the documents rows with a null id come last, and
@@ -60,37 +61,39 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def digest(data: bytes, size: int = 4) -> str:
-    return hashlib.blake2b(data, digest_size=size).hexdigest()
+#: Digits of a section or leaf that a fingerprint shows.
+SHOWN = 8
 
 
-def tree(text: str) -> list[tuple[str, list[str]]]:
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def tree(text: str) -> list[tuple[bytes, list[bytes]]]:
     """Sections: ``(digest, digests of the leaves)``."""
-    sections: list[tuple[str, list[str]]] = []
-    leaves: list[str] = []
+    sections: list[tuple[bytes, list[bytes]]] = []
+    leaves: list[bytes] = []
     for start, end in paragraphs(text):
         leaf = digest(text[start:end].encode())
         leaves.append(leaf)
-        if int(leaf[-2:], 16) % SECTION == 0 or len(leaves) == LONGEST:
-            sections.append((digest("".join(leaves).encode()), leaves))
+        if leaf[-1] % SECTION == 0 or len(leaves) == LONGEST:
+            sections.append((digest(b"".join(leaves)), leaves))
             leaves = []
     if leaves:
-        sections.append((digest("".join(leaves).encode()), leaves))
+        sections.append((digest(b"".join(leaves)), leaves))
     return sections
 
 
 def fingerprint(text: str) -> str:
     sections = tree(text)
-    # The root must tell all texts apart, so it is made of the leaves' full hash and not of short digests.
-    root = hashlib.blake2b(text.encode(), digest_size=16, person=b"root")
-    for name, _ in sections:
-        root.update(name.encode())
-    return root.hexdigest() + "".join(f"/{name}:{''.join(leaves)}" for name, leaves in sections)
+    root = digest(b"".join(name for name, _ in sections))
+    shown = ("".join(leaf.hex()[:SHOWN] for leaf in leaves) for _, leaves in sections)
+    return root.hex() + "".join(f"/{name.hex()[:SHOWN]}:{body}" for (name, _), body in zip(sections, shown))
 
 
 def leaves_of(print_: str) -> list[str]:
     """Leaf digests of a fingerprint, in order."""
-    return [body[k:k + 8] for section in print_.split("/")[1:] for body in (section.split(":")[1],) for k in range(0, len(body), 8)]
+    return [leaf for _, leaves in sections_of(print_) for leaf in leaves]
 
 
 def likeness(a: str, b: str) -> float:
@@ -103,9 +106,24 @@ def likeness(a: str, b: str) -> float:
 
 
 def sections_of(print_: str) -> list[tuple[str, list[str]]]:
-    """Sections of a fingerprint as ``tree`` gives them."""
+    """Sections of a fingerprint as ``tree`` gives them, with the digits shown."""
     parts = (s.split(":") for s in print_.split("/")[1:])
-    return [(name, [body[k:k + 8] for k in range(0, len(body), 8)]) for name, body in parts]
+    return [(name, [body[k:k + SHOWN] for k in range(0, len(body), SHOWN)]) for name, body in parts]
+
+
+def first_edit(a: str, b: str) -> int | None:
+    """Number of the first leaf in which two trees differ, found from the roots down; None for equal trees.
+
+    Equal sections are passed over by their digests alone.
+    """
+    if a[:32] == b[:32]:
+        return None
+    x, y, passed = sections_of(a), sections_of(b), 0
+    for (name, leaves), (other, others) in zip(x, y):
+        if name != other or leaves != others:
+            return passed + next((k for k, (p, q) in enumerate(zip(leaves, others)) if p != q), min(len(leaves), len(others)))
+        passed += len(leaves)
+    return passed
 
 
 def leaf_edits(a: str, b: str) -> tuple[list[int], list[int], list[tuple[int, int]]]:
@@ -186,9 +204,13 @@ def edited(text: str, following: str) -> str:
 
 
 def edit_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every document and of its edited text, and how near they and the next document's are."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    """Fingerprints of every document and of its edited text, how near they and the next document's are, and where the edit begins.
+
+    ``first_edit`` is the number of the first leaf that the edit changed, null where it changed nothing; ``new_leaves`` counts
+    the leaves that the edited text has and the document has not.
+    """
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "first_edit", "new_leaves"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # range, id, text and fingerprint of a document that waits for its next one
@@ -203,11 +225,12 @@ def edit_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 changed = edited(last[2], text)
                 new = fingerprint(changed)
                 out.append((last[1], len(last[2]), hashlib.sha256(changed.encode()).hexdigest(), last[3], new,
-                            likeness(last[3], new), likeness(last[3], own)))
+                            likeness(last[3], new), likeness(last[3], own), first_edit(last[3], new),
+                            (Counter(leaves_of(new)) - Counter(leaves_of(last[3]))).total()))
                 last = None if follower else (place, doc_id, text, own)
             columns = zip(*out) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
     return map_batches(with_next_text(id_and_text(docs, id_col, text_col)), run,
                        "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-                       "near_edited double, near_next double")
+                       "near_edited double, near_next double, first_edit bigint, new_leaves bigint")
