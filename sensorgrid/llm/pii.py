@@ -5,8 +5,9 @@ Kinds: e-mail addresses, IP addresses (parts up to 255), card numbers (16 to 19
 leftmost first without overlaps, and a proposed span that fails its check is dropped whole.  The
 searches look at each character a bounded number of times, also in very long runs of digits or letters.
 
-A confirmed span keeps its place whatever its score; the score starts from how strong the kind's check is
-and moves with words in the ``NEAR`` characters before the span.
+The score of a confirmed span starts from how strong the kind's check is and moves with words in the ``NEAR`` characters
+before the span.  A base span keeps its place whatever its score, which stands beside it; an added span (account numbers)
+counts from ``LEAST_SCORE`` on, so that one called an example is left out unless other words speak for it.
 
 Defined results: a null or empty text has no spans; ids may be null or repeated; offsets count code
 points, ends are exclusive.
@@ -36,6 +37,7 @@ WORDS_FOR = {
 }
 WORDS_AGAINST = ("example", "sample", "test", "version", "order", "serial", "isbn", "dummy")
 STEP = 0.15
+LEAST_SCORE = 0.7
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -131,11 +133,16 @@ def score(kind: str, text: str, start: int) -> float:
     return round(min(1.0, max(0.0, value)), 2)
 
 
-def spans(text: str) -> list[tuple[str, int, int]]:
-    """Confirmed spans by kind, in the order of ``KINDS``, then by start."""
+def scored_spans(text: str) -> list[tuple[str, int, int, float]]:
+    """Confirmed spans with their scores by kind, in the order of ``KINDS``, then by start; added ones from ``LEAST_SCORE`` on."""
     found = [("email", *s) for s in emails(text)] + list(numbers(text))
     found += [("phone", *s) for s in phones(text)] + [("iban", *s) for s in accounts(text)]
-    return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1]))
+    scored = [(kind, a, b, score(kind, text, a)) for kind, a, b in sorted(found, key=lambda s: (KINDS.index(s[0]), s[1]))]
+    return [s for s in scored if s[0] in BASE_KINDS or s[3] >= LEAST_SCORE]
+
+
+def spans(text: str) -> list[tuple[str, int, int]]:
+    return [s[:3] for s in scored_spans(text)]
 
 
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
@@ -147,7 +154,7 @@ def find_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[{"kind": k, "start": a, "end": b, "score": score(k, text, a)} for k, a, b in spans(text)]
+            rows = [[{"kind": k, "start": a, "end": b, "score": value} for k, a, b, value in scored_spans(text)]
                     for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(item))], names=["doc_id", "spans"])
 
@@ -155,7 +162,7 @@ def find_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def span_digests(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a digest of the base spans and all spans as text."""
+    """Counts of the base kinds, a digest of the base spans, all spans as text, and their scores in the same order."""
 
     def joined(column):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -164,7 +171,8 @@ def span_digests(found: DataFrame) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+                        F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))
 
 
 def redacted(text: str) -> str:

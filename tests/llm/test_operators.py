@@ -179,6 +179,19 @@ def test_edit_likeness(spark, odd, none):
     got = fingerprints.edit_likeness(df).collect()
     assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in got} == want
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    nexts = {i: rows[(k + 1) % len(rows)][1] for k, (i, _) in enumerate(rows)}
+    texts = dict(rows)
+
+    def shares(a, b):
+        from collections import Counter
+        x, y = (Counter(t[p:q] for p, q in fingerprints.paragraphs(t)) for t in (a, b))
+        return 1.0 if not x + y else 2 * (x & y).total() / (x.total() + y.total()), (y - x).total()
+
+    for r in got:
+        own = texts[r.doc_id]
+        changed = own[:len(own) - len(own) // 2] + nexts[r.doc_id][:len(own) // 2]
+        assert (r.near_edited, r.new_leaves) == (pytest.approx(shares(own, changed)[0]), shares(own, changed)[1])
+        assert r.near_next == pytest.approx(shares(own, nexts[r.doc_id])[0]) and (r.first_edit is None) == (own == changed)
     prints = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(odd).collect()}
     assert prints[3] == prints[4] and len(set(prints.values())) == len(prints) - 1
     assert fingerprints.edit_likeness(none).count() == 0
@@ -195,6 +208,26 @@ def test_fingerprint_locates_an_edit():
     assert fingerprints.edited_leaves(a, a) == [] and fingerprints.likeness(a, a) == 1
 
 
+def test_roots_are_made_of_child_digests():
+    """The root is the hash of its sections', a section of its leaves'; first edits are found from the root down."""
+    def h(data):
+        return hashlib.blake2b(data, digest_size=16).digest()
+
+    text = "\n".join(f"Line {k} of a text." for k in range(90)) + "\nLine 3 of a text.\n"
+    sections = fingerprints.tree(text)
+    leaves = [h(text[a:b].encode()) for a, b in fingerprints.paragraphs(text)]
+    assert [leaf for _, body in sections for leaf in body] == leaves and len(sections) > 5
+    assert all(name == h(b"".join(body)) for name, body in sections)
+    own = fingerprints.fingerprint(text)
+    assert own[:32] == h(b"".join(name for name, _ in sections)).hex() and fingerprints.leaves_of(own) == [x.hex()[:8] for x in leaves]
+    assert fingerprints.first_edit(own, own) is None
+    for k in (0, 17, 89):
+        other = fingerprints.fingerprint(text.replace(f"Line {k} of", f"Line {k} off", 1))
+        assert fingerprints.first_edit(own, other) == k
+    assert fingerprints.first_edit(own, fingerprints.fingerprint(text + "more")) == 91
+    assert fingerprints.first_edit(fingerprints.fingerprint(""), own) == 0
+
+
 @pytest.mark.parametrize("after, want", [
     ("AC", ([1], [], [])), ("AAC", ([1], [1], [])), ("BAC", ([], [], [(0, 1)])), ("ABCB", ([], [3], [])), ("", ([0, 1, 2], [], []))])
 def test_leaf_edits(after, want):
@@ -231,6 +264,19 @@ def test_personal_data(odd, none):
     assert pii.without_personal_data(none).count() == 0 and pii.find_spans(none).count() == 0
 
 
+def test_scores_follow_nearby_words(spark):
+    """Words for and against a kind move the score of a base span, and decide whether an added span counts."""
+    iban = "GB82 WEST 1234 5698 7654 32"
+    texts = {0: f"x {iban}", 1: f"bank account {iban}", 2: f"an example {iban}", 3: f"an example of a bank account {iban}",
+             4: "mail me: a@b.org", 5: "a test a@b.org", 6: "a@b.org", 7: "test mail a@b.org"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.spans.split(":")[0], r.scores) for r in pii.span_digests(pii.find_spans(docs)).collect()}
+    assert got == {0: ("iban", "0.80"), 1: ("iban", "0.95"), 2: ("", ""), 3: ("iban", "0.80"),
+                   4: ("email", "0.95"), 5: ("email", "0.65"), 6: ("email", "0.80"), 7: ("email", "0.80")}
+    clean = {r.doc_id: r.text for r in pii.without_personal_data(docs).collect()}
+    assert clean[1] == "bank account [IBAN]" and clean[2] == texts[2] and clean[5] == "a test [EMAIL]"
+
+
 def test_ip_addresses_in_long_runs():
     """Time grows with the length alone, and whole groups of digits decide as the pattern does."""
     import time
@@ -304,6 +350,38 @@ CHAT = [
 ]
 
 
+def test_pairs_of_terms_decide_toxicity(spark):
+    """Labels that no linear rule of the words can give: the machine learns which words go together."""
+    rng = np.random.default_rng(12)
+    rows, labels = [], []
+    for k in range(1600):
+        toxic = int(rng.random() < 0.5)
+        first = rng.random() < (0.6 if toxic else 0.35)
+        insult, group = ("vile", "zorgs" if toxic else "mooks") if first else ("crass", "mooks" if toxic else "zorgs")
+        rows.append((k, " ".join(rng.permutation([insult, group, *rng.choice(["ab", "cd", "ef", "gh", "ij"], 8)]))))
+        labels.append((k, toxic))
+    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    machine = toxicity.train(docs, marks)
+    want = dict(labels)
+    held = [r for r in toxicity.score_documents(docs, machine).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert len(held) > 400 and sum((r.score >= 0.5) == want[r.doc_id] for r in held) / len(held) > 0.97
+    # One of the four pairs of words is wrong under any linear rule.
+    combos = {}
+    for i, t in rows:
+        combos.setdefault(("vile" in t, "zorgs" in t), []).append(want[i])
+    assert all(len(set(v)) == 1 for v in combos.values()) and min(map(len, combos.values())) / len(rows) > 0.15
+    # The batch's scores are those of a plain sum over pairs, text by text.
+    words = toxicity.hasher()
+    import pyarrow as pa
+    batch = machine.scores(words, pa.array([t for _, t in rows[:60]]))
+    for (_, t), score in zip(rows[:60], batch):
+        _, terms = machine.features(words, pa.array([t]))
+        at = sorted(set(np.asarray(terms).tolist()))
+        z = machine.bias + sum(machine.weights[i] for i in at)
+        z += sum(float(machine.factors[i] @ machine.factors[j]) for n, i in enumerate(at) for j in at[n + 1:])
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
 def test_quotation(spark):
     df = spark.createDataFrame([(*r, "x") for r in CHAT], "conv_id bigint, turn bigint, role string, text string, hash string")
     got = quotation.reply_ordered(df)
