@@ -188,6 +188,51 @@ def city(spark, sf):
     return rounded(rounded(out, 3, "pred", "var"), 6, "P1")
 
 
+#: The map of the latest hour in which sensors of several longitudes and latitudes report.
+_MAP = f""",
+shown AS (SELECT max(hour) AS hour FROM (SELECT hour FROM s GROUP BY hour HAVING count(DISTINCT lat) > 1 AND count(DISTINCT lon) > 1)),
+span AS (SELECT hour, min(lon) AS lon0, max(lon) AS lon1, min(lat) AS lat0, max(lat) AS lat1 FROM s JOIN shown USING (hour) GROUP BY hour),
+lons AS (SELECT *, lon0 + i * 0.025::DOUBLE AS lon FROM (SELECT *, unnest(generate_series(0, ceil((lon1 - lon0) / 0.025::DOUBLE)::BIGINT - 1)) AS i FROM span)),
+grid AS (SELECT *, lat0 + j * 0.0125::DOUBLE AS lat FROM (SELECT *, unnest(generate_series(0, ceil((lat1 - lat0) / 0.0125::DOUBLE)::BIGINT - 1)) AS j FROM lons)),
+places AS (SELECT grid.*, mean, sd, date_diff('microsecond', start, hour) / 3.6e9 AS t FROM grid, f),
+cells AS (SELECT places.*, v.*, {_covariance('t', 'lon', 'lat', POINTS[0])} AS k0, {_covariance('t', 'lon', 'lat', POINTS[1])} AS k1 FROM places, v)"""
+_MAP_ROWS = _models("TRUE", "0") + _MAP + _predicted("TRUE").replace("FROM k JOIN g", "FROM cells k JOIN g")
+
+
+def _map_rows(spark, sf):
+    """The fitted model and the rows up to the hour of the map."""
+    df = study(spark, sf)
+    several = df.groupBy("timestamp").agg(F.count_distinct("lat").alias("a"), F.count_distinct("lon").alias("b")).filter("a > 1 AND b > 1")
+    hour = several.agg(F.max("timestamp")).first()[0]
+    return trainer.SparseModel(trainer.TargetScale.fit(df), **OPTIONS).build(df), df.filter(F.col("timestamp") <= F.lit(hour))
+
+
+@query(
+    "m10_two_point_map",
+    _MAP_ROWS + f" SELECT hour AS timestamp, round(lon, 6) AS lon, round(lat, 6) AS lat, {_VALUES}, round(var, 3) AS var FROM y",
+    "dust_hourly",
+)
+def map_grid(spark, sf):
+    """Prediction on the grid of the sensors of one hour."""
+    return _shown(evaluate.map_prediction(*_map_rows(spark, sf)).withColumn("P1", F.lit(None).cast("double"))).drop("P1")
+
+
+@query(
+    "m10_a14_two_point_map_hexagons",
+    _MAP_ROWS + """, b AS (SELECT min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM y),
+ext AS (SELECT x0 - (x1 - x0) * 1e-9 AS x0, x1 + (x1 - x0) * 1e-9 AS x1, y0 - (y1 - y0) * 1e-9 AS y0, y1 + (y1 - y0) * 1e-9 AS y1 FROM b),
+hexes AS (SELECT pred, var, (lon - x0) / ((x1 - x0) / 30) AS u, (lat - y0) / ((y1 - y0) / 17) AS v FROM y, ext),
+near AS (SELECT *, pow(u - round_even(u, 0), 2) + 3 * pow(v - round_even(v, 0), 2) AS d1, pow(u - floor(u) - 0.5, 2) + 3 * pow(v - floor(v) - 0.5, 2) AS d2 FROM hexes)
+SELECT CASE WHEN d1 < d2 THEN 0 ELSE 1 END::BIGINT AS lattice, (CASE WHEN d1 < d2 THEN round_even(u, 0) ELSE floor(u) END)::BIGINT AS ix,
+(CASE WHEN d1 < d2 THEN round_even(v, 0) ELSE floor(v) END)::BIGINT AS iy, count(*) AS n, round(avg(pred), 3) AS pred, round(avg(var), 3) AS var
+FROM near GROUP BY 1, 2, 3""",
+    "dust_hourly",
+)
+def map_hexagons(spark, sf):
+    """The predicted grid of one hour averaged over hexagons."""
+    return rounded(evaluate.map_hexagons(*_map_rows(spark, sf)), 3)
+
+
 _REST = f"(SELECT min(hour)::DATE AS lo, max(hour)::DATE - min(hour)::DATE + 1 AS days FROM s WHERE NOT {_FIRST})"
 
 

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows of numbers go to Python in batches of this size, whatever a query before has set.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
 }
 
 
