@@ -16,7 +16,7 @@ Nothing emits all pairs of a group:
   probability 1 - 1e-8) go before texts are read;
 * the rest is tested on the whole sets, rebuilt from the texts, leader by leader as a stream;
 * groups of likely partners whose nodes then carry more than one component are tested to the end,
-  as pairs of small blocks of nodes, of which only links come out; nodes of a large group's most
+  as pairs of small blocks of nodes, of which only links that join components come out; nodes of a large group's most
   frequent component meet the others alone.
 
 A node is a set, not an id: rows that share an id but hold different sets are different nodes, rows without an id have
@@ -303,16 +303,29 @@ def likely_in_buckets(members: DataFrame, groups: DataFrame, nodes: DataFrame) -
             signed, labels = np.stack([r[3] for r in rows]), np.array([r[2] for r in rows], np.int64)
             nodes_ = [r[1] for r in rows]
             for k, others in facing(rows):
-                near = (labels[others] != labels[k]) & ((signed[others] == signed[k]).sum(axis=1) >= LEAST_EQUAL)
-                found += [(min(nodes_[k], nodes_[x]), max(nodes_[k], nodes_[x])) for x in np.flatnonzero(near) + others.start]
+                open_ = np.flatnonzero(labels[others] != labels[k]) + others.start
+                near = open_[(signed[open_] == signed[k]).sum(axis=1) >= LEAST_EQUAL]
+                found += [(min(nodes_[k], nodes_[x]), max(nodes_[k], nodes_[x])) for x in joined_labels(labels, k, near)]
         return found
 
     rows = blocked(named, open_sizes(named), nodes.select("node", "minhashes"), "minhashes", SIGNATURE_BLOCK)
     return tested_blocks(rows, lambda: signs, agreeing).distinct()
 
 
+def joined_labels(labels: np.ndarray, k: int, others: np.ndarray) -> list[int]:
+    """One of ``others`` for each label that differs from that of ``k``; these labels become that of ``k``.
+
+    More links between the same labels would join nothing, so a piece of work gives fewer links than it has labels.
+    """
+    found, first = np.unique(labels[others], return_index=True)
+    first = first[found != labels[k]]
+    if len(first):
+        labels[np.isin(labels, found)] = labels[k]
+    return others[first].tolist()
+
+
 def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links among rows ``(side, node, label, set)`` of different labels."""
+    """Links among rows ``(side, node, label, set)`` of different labels, as many as join them."""
     found: list[tuple[int, int]] = []
     labels = np.array([r[2] for r in rows], np.int64)
     if len(rows) > 1 and labels.min() < labels.max():
@@ -325,7 +338,7 @@ def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
                 mark[flat[starts[k]:starts[k + 1]]] = 1
                 common = np.add.reduceat(mark[flat[starts[others.start]:]], starts[others.start:-1] - starts[others.start])
                 link = (labels[others] != labels[k]) & (100 * common >= percent * (sizes[k] + sizes[others] - common))
-                found += [(int(nodes[k]), int(b)) for b in nodes[others][link]]
+                found += [(int(nodes[k]), int(nodes[x])) for x in joined_labels(labels, k, np.flatnonzero(link) + others.start)]
     return found
 
 

@@ -146,6 +146,30 @@ def test_near_duplicates(spark, sf, width):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_blocks_give_links_that_join():
+    """A piece of work joins the same components as all its links, with fewer links than labels."""
+    rng = np.random.default_rng(3)
+    base = rng.choice(1 << 40, 60, replace=False).astype(np.uint64)
+    for _ in range(40):
+        n = int(rng.integers(2, 40))
+        sets = [np.unique(np.where(rng.random(60) < 0.1, rng.integers(1, 1 << 40, 60).astype(np.uint64), base)) for _ in range(n)]
+        labels = rng.integers(0, n, n)
+        rows = [(int(k >= n // 2), k, int(labels[k]), sets[k]) for k in range(n)]
+
+        def groups(pairs):
+            of = {k: int(labels[k]) for k in range(n)}
+            for a, b in pairs:
+                x, y = of[a], of[b]
+                of = {k: x if v == y else v for k, v in of.items()}
+            return {frozenset(k for k in of if of[k] == v) for v in of.values()}
+
+        near = [(a, b) for a in range(n // 2) for b in range(n // 2, n)
+                if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+        got = near_dedup.block_links(rows, 80)
+        assert groups(got) == groups(near)
+        assert len(got) < len(set(labels.tolist())) or not got
+
+
 def test_near_duplicates_odd_rows(odd, none):
     got = by_text(tuple(r) for r in near_dedup.near_duplicates(odd, width=2).collect())
     assert len(got) == len(TEXTS) and got.count((2, 12, 1, False)) == 2
