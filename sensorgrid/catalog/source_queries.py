@@ -47,6 +47,19 @@ def files(spark, sf):
     return df.select("sensor_id", "sensor_type", "lat", "lon", "timestamp", "P1", "P2")
 
 
+@query(
+    "s2_raw_columns_as_text",
+    "SELECT CASE WHEN user_id % 9 = 0 THEN 'not a time' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS timestamp, user_id::VARCHAR AS sensor_id, "
+    "CASE WHEN user_id % 4 > 0 THEN NULL ELSE 'error' END AS broken FROM events",
+)
+def raw_columns(spark, sf):
+    """The columns of a file as they stand, before any coercion."""
+    path = run_dir(spark, "raw-files")
+    _raw_dust(spark, sf).write.option("sep", ";").option("header", "true").csv(path)
+    raw = readings.read_raw(spark, path, SDS_RAW)
+    return raw.select("timestamp", "sensor_id", F.when(F.col("P2") == "error", F.col("P2")).alias("broken"))
+
+
 @query(
     "s2_altitude_columns_uncoerced",
     "SELECT user_id AS sensor_id, date_trunc('second', ts) AS timestamp, 98000.0 + value * 10 AS pressure FROM events WHERE event_type IN ('purchase', 'error')",
