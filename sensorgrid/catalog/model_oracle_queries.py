@@ -220,7 +220,8 @@ def map_grid(spark, sf):
 @query(
     "m10_a14_two_point_map_hexagons",
     _MAP_ROWS + """, b AS (SELECT min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM y),
-ext AS (SELECT x0 - (x1 - x0) * 1e-9 AS x0, x1 + (x1 - x0) * 1e-9 AS x1, y0 - (y1 - y0) * 1e-9 AS y0, y1 + (y1 - y0) * 1e-9 AS y1 FROM b),
+pads AS (SELECT *, CASE WHEN x1 > x0 THEN (x1 - x0) * 1e-9 ELSE abs(x0) * 0.1::DOUBLE END AS px, CASE WHEN y1 > y0 THEN (y1 - y0) * 1e-9 ELSE abs(y0) * 0.1::DOUBLE END AS py FROM b),
+ext AS (SELECT x0 - px AS x0, x1 + px AS x1, y0 - py AS y0, y1 + py AS y1 FROM pads),
 hexes AS (SELECT pred, var, (lon - x0) / ((x1 - x0) / 30) AS u, (lat - y0) / ((y1 - y0) / 17) AS v FROM y, ext),
 near AS (SELECT *, pow(u - round_even(u, 0), 2) + 3 * pow(v - round_even(v, 0), 2) AS d1, pow(u - floor(u) - 0.5, 2) + 3 * pow(v - floor(v) - 0.5, 2) AS d2 FROM hexes)
 SELECT CASE WHEN d1 < d2 THEN 0 ELSE 1 END::BIGINT AS lattice, (CASE WHEN d1 < d2 THEN round_even(u, 0) ELSE floor(u) END)::BIGINT AS ix,
