@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word shingles, similarity from 0.8), whatever ids its rows have; null ids stay."""
+    """One row of each group of near copies (five-word shingles, similarity from 0.8), whatever ids its rows have, null ones too."""
     return near_dedup.without_near_copies(docs, width=5, percent=80)
 
 
