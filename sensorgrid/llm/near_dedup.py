@@ -345,8 +345,9 @@ def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of the links; a component is named by its least node.
 
-    Labels take the least label of their neighbours and then of the node that the label
-    names, until none changes.  Each round is written to the shared folder.
+    Labels take the least label of their neighbours, and then the least one that a row of their own label or the node that
+    the label names has found.  So whole groups move at once, however far the link that joins them is from their least node.
+    Each round is written to the shared folder.
     """
     both = stored(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), "labels")
@@ -357,7 +358,10 @@ def components(links: DataFrame) -> DataFrame:
         )
         step = stored(labels.join(near, "node").select(
             "node", F.col("component").alias("was"), F.least("component", "near").alias("component")), "labels")
-        target = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        target = (
+            step.select(F.explode(F.array("node", "was")).alias("named"), "component")
+            .groupBy("named").agg(F.min("component").alias("next")).withColumnRenamed("named", "component")
+        )
         after = stored(step.join(target, "component").select(
             "node", "was", F.least("component", "next").alias("component")), "labels")
         if after.filter("component <> was").isEmpty():
@@ -365,6 +369,22 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "component")
 
 
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links behind ``labels`` and of further ``links``, searched among the components they join alone."""
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        names = labels.withColumnsRenamed({"node": end, "component": "name"})
+        ends = ends.join(names, end, "left").withColumn(end, F.coalesce("name", end)).drop("name")
+    top = components(ends.filter("a <> b"))
+    fresh = (
+        links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+        .select("node", F.col("node").alias("component"))
+    )
+    names = top.select(F.col("component").alias("name"), F.col("node").alias("component"))
+    return stored(labels.unionAll(fresh).join(names, "component", "left").select(
+        "node", F.coalesce("name", "component").alias("component")), "labels")
+
+
 def text_digest(text_col: str = "text") -> Column:
     """Tells the texts under one id apart; a null text counts as the empty one."""
     return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
@@ -403,12 +423,12 @@ def linked_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_col
     more = stored(likely(stored(stars(ends), "stars"), nodes), "pairs")
     if not more.isEmpty():
         near = stored(near.unionAll(more), "pairs")
-        groups = components(near)
+        groups = joined_components(groups, more)
     members = first.unionAll(others)
     strays = stored(likely_in_buckets(members, groups, nodes), "pairs")
     if not strays.isEmpty():
         near = stored(near.unionAll(strays), "pairs")
-        groups = components(near)
+        groups = joined_components(groups, strays)
 
     # Rows of one key hold one text.
     wanted = sets.join(groups.select("node"), "node").select("node", *ROW)
@@ -417,7 +437,7 @@ def linked_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_col
     labels = components(links)
     more = stored(confirmed_in_groups(groups, labels, texts, width, percent), "links")
     if not more.isEmpty():
-        labels = components(links.unionAll(more))
+        labels = joined_components(labels, more)
     named = sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return signed, named.select("set_a", "set_b", *ROW, "component")
 

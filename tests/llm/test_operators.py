@@ -406,6 +406,33 @@ def test_pairs_of_terms_decide_toxicity(spark):
         assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
 
 
+def test_components_in_two_steps(spark):
+    """Long paths in any order of ids, stars and repeated links, found at once or after further links, against union-find."""
+    rng = np.random.default_rng(21)
+    order = rng.permutation(300).tolist()
+    links = list(zip(order[:150], order[1:150])) + [(1000, k) for k in range(1001, 1020)] + [(5000, 5001), (5000, 5001)]
+    further = list(zip(order[150:-1], order[151:])) + [(order[149], order[150]), (1019, order[299]), (5001, 5000), (7000, 7001)]
+
+    def brute(pairs):
+        name = {x: x for pair in pairs for x in pair}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in pairs:
+                least = min(name[a], name[b])
+                changed |= name[a] != least or name[b] != least
+                name[a] = name[b] = least
+        return name
+
+    frame = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    found = lambda df: sorted(map(tuple, df.select("node", "component").collect()))
+    labels = near_dedup.components(frame(links))
+    assert found(labels) == sorted(brute(links).items())
+    assert found(near_dedup.joined_components(labels, frame(further))) == sorted(brute(links + further).items())
+    assert found(near_dedup.joined_components(labels, frame([]))) == sorted(brute(links).items())
+    assert found(near_dedup.joined_components(near_dedup.components(frame([])), frame(links))) == sorted(brute(links).items())
+
+
 def test_quotation(spark):
     df = spark.createDataFrame([(*r, "x") for r in CHAT], "conv_id bigint, turn bigint, role string, text string, hash string")
     got = quotation.reply_ordered(df)
