@@ -51,6 +51,8 @@ LEAST_EQUAL = 16
 STAR_ROWS = 256
 #: Nodes of a block, on average, where texts are compared and where minhashes are.
 TEXT_BLOCK, SIGNATURE_BLOCK = 192, 4096
+#: Links that a task joins at a time.
+FOREST_LINKS = 1 << 19
 #: Tables of which each half serves one, and the others.
 FIRST_TABLES = np.arange(HALVES) * (HALVES + 1)
 OTHER_TABLES = np.setdiff1d(np.arange(HALVES * HALVES), FIRST_TABLES)
@@ -196,9 +198,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def bucket_members(keys: DataFrame) -> DataFrame:
-    """``(key, node, n)`` in buckets of two or more nodes."""
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return keys.join(sizes, "key").select("key", "node", "n")
+    """``(key, node, n, least)`` in buckets of two or more nodes, of which ``least`` is the first."""
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
+    return keys.join(sizes, "key").select("key", "node", "n", "least")
+
+
+def member_stars(members: DataFrame) -> DataFrame:
+    """``stars`` of the rows of ``bucket_members``, which know their least node."""
+    return members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def stars(members: DataFrame) -> DataFrame:
@@ -342,22 +349,65 @@ def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     return found
 
 
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links ``a[k], b[k]``, ascending, and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[:len(a)], at[len(a):]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[left], root[right]
+        if (x == y).all():
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def forests(links: DataFrame, most: int = FOREST_LINKS) -> DataFrame:
+    """``(node, root)`` of the links that a task reads, about ``most`` of them at a time.
+
+    A root is the least node that these links join a node to.  It has a row of its own, so the rows join what the links join.
+    """
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= most:
+                yield forest(held)
+                held, count = [], 0
+        yield forest(held)
+
+    return map_batches(links.select("a", "b"), join, "node bigint, root bigint")
+
+
+def forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    a, b = (np.concatenate([np.zeros(0, np.int64), *[h.column(k).to_numpy(zero_copy_only=False) for h in held]]) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in roots(a, b)], names=["node", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of the links; a component is named by its least node.
 
-    Labels take the least label of their neighbours, and then the least one that a row of their own label or the node that
-    the label names has found.  So whole groups move at once, however far the link that joins them is from their least node.
-    Each round is written to the shared folder.
+    Each task joins the links that it reads to trees of one level (``forests``).  Where all trees that hold a node have one root, that
+    is its component.  Otherwise labels take the least label of their neighbours, and then the least one that a row of their own label
+    or the node that the label names has found.  So whole groups move at once, however far the link that joins them is from their
+    least node.  Each round is written to the shared folder.
     """
-    both = stored(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), "labels")
+    trees = stored(forests(links), "trees")
+    found = stored(trees.groupBy("node").agg(F.min("root").alias("component"), F.max("root").alias("last")), "labels")
+    labels = found.select("node", "component")
+    if found.filter("component < last").isEmpty():
+        return labels
+    # Each node has a row with itself, by which its own label takes part.
+    both = stored(
+        trees.filter("node <> root").select(F.col("node").alias("a"), F.explode(F.array("node", "root")).alias("b")).unionAll(
+            trees.select(F.col("root").alias("a"), F.col("node").alias("b"))).distinct(), "links")
     while True:
-        near = (
-            both.join(labels.withColumnsRenamed({"node": "b"}), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        )
-        step = stored(labels.join(near, "node").select(
-            "node", F.col("component").alias("was"), F.least("component", "near").alias("component")), "labels")
+        step = stored(
+            both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node"))
+            .agg(F.min(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("was"), F.min("component").alias("component")), "labels")
         target = (
             step.select(F.explode(F.array("node", "was")).alias("named"), "component")
             .groupBy("named").agg(F.min("component").alias("next")).withColumnRenamed("named", "component")
@@ -416,7 +466,7 @@ def linked_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_col
     nodes = sets.select("node", "minhashes")
 
     first = stored(bucket_members(keyed(nodes, FIRST_TABLES)), "members")
-    near = stored(likely(stored(stars(first), "stars"), nodes), "pairs")
+    near = stored(likely(stored(member_stars(first), "stars"), nodes), "pairs")
     groups = components(near)
     others = stored(bucket_members(keyed(nodes, OTHER_TABLES)), "members")
     ends = labelled(others, groups).groupBy("key", "label").agg(F.min("node").alias("node"))

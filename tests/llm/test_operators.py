@@ -433,6 +433,22 @@ def test_components_in_two_steps(spark):
     assert found(near_dedup.joined_components(near_dedup.components(frame([])), frame(links))) == sorted(brute(links).items())
 
 
+def test_forests_join_what_their_links_join(spark):
+    """Trees of tasks, of few links at a time or of all, have one level and join the same nodes as the links."""
+    rng = np.random.default_rng(22)
+    order = rng.permutation(120)
+    a, b = np.concatenate([order[:-1], [500, 500, 501]]), np.concatenate([order[1:], [501, 501, 501]])
+    nodes, least = near_dedup.roots(a, b)
+    assert nodes.tolist() == [*range(120), 500, 501] and least.tolist() == [0] * 120 + [500, 500]
+    assert [x.tolist() for x in near_dedup.roots(a[:0], b[:0])] == [[], []]
+    links = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a bigint, b bigint").coalesce(1)
+    for most in (7, 1000):
+        rows = [(r.node, r.root) for r in near_dedup.forests(links, most).collect()]
+        assert all(root <= node and (root, root) in rows for node, root in rows)
+        again, least = near_dedup.roots(*np.array(rows).T)
+        assert again.tolist() == nodes.tolist() and set(least.tolist()) == {0, 500}
+
+
 def test_quotation(spark):
     df = spark.createDataFrame([(*r, "x") for r in CHAT], "conv_id bigint, turn bigint, role string, text string, hash string")
     got = quotation.reply_ordered(df)
