@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sensorgrid.catalog.base import dust, events, labelled, meteo, query, readings, rounded, table
 from sensorgrid.operators import aggregates, folds, joins, numbering, sampling, select
+from sensorgrid.session import run_dir
+from sensorgrid.sources import tables
 from sensorgrid.sources.forecast import every_second, rollover_days
 
 FOLDS = """
@@ -218,3 +220,19 @@ def last_row(spark, sf):
 def repeated(spark, sf):
     df = readings(spark, sf)
     return joins.append_sources(df, df).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "u2_repeated_load_stores_keys_once",
+    """SELECT sensor_id, ts, event_type, value FROM (
+      SELECT *, row_number() OVER (PARTITION BY sensor_id, ts ORDER BY load, event_type NULLS FIRST, value NULLS FIRST) AS place FROM (
+        SELECT 1 AS load, * FROM readings WHERE event_type IN ('click', 'view') UNION ALL SELECT 2 AS load, * FROM readings))
+    WHERE place = 1 OR sensor_id IS NULL OR ts IS NULL""",
+    "readings",
+)
+def repeated_once(spark, sf):
+    """A load of some rows, then one of all rows: the table holds each sensor and time once, as first stored."""
+    df, path = readings(spark, sf), run_dir(spark, "loads")
+    for load in (df.filter(F.col("event_type").isin("click", "view")), df):
+        tables.append_new_rows(load, path, keys=("sensor_id", "ts"), time="ts")
+    return spark.read.schema(df.schema).parquet(path)

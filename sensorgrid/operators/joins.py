@@ -8,6 +8,8 @@ skew handling.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,6 +129,20 @@ def append_sources(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of rows with equal ``keys`` the least by the other columns in their order, nulls first; rows with a null key all stay.
+
+    Copies are folded where they are read, so that a key with many of them is one row a task in the shuffle.
+    """
+    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    others = [c for c in df.columns if c not in keys]
+    if others:
+        firsts = df.filter(whole).groupBy(*keys).agg(F.min(F.struct(*others)).alias("least")).select(*keys, "least.*")
+    else:
+        firsts = df.filter(whole).distinct()
+    return firsts.select(df.columns).unionAll(df.filter(~whole))
+
+
 def map_grid(
     extent: DataFrame, lon_step: float = 0.025, lat_step: float = 0.0125, keep: Sequence[str] = ()
 ) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorgrid.operators.aggregates import error_summary
+from sensorgrid.operators.joins import one_per_key
+from sensorgrid.session import folder_exists
 
 
 def write_sensors(sensors: DataFrame, path: str) -> None:
@@ -51,6 +55,20 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_new_rows(df: DataFrame, path: str, keys: Sequence[str] = ("sensor_id", "timestamp"), time: str = "timestamp") -> None:
+    """Append one row of each key that the table does not hold; loading the same rows twice stores them once.
+
+    ``time`` is one of the keys.  Of the stored rows only the times that the load spans are read, and only their keys.
+    What is stored stays as it is.  Rows without a whole key cannot be told apart and are appended as they are.
+    """
+    fresh, spark = one_per_key(df, keys), df.sparkSession
+    if folder_exists(spark, path):
+        low, high = df.agg(F.min(time)).scalar(), df.agg(F.max(time)).scalar()
+        stored = spark.read.schema(df.schema).parquet(path).filter(F.col(time).between(low, high))
+        fresh = fresh.join(stored.select(*keys), list(keys), "left_anti").select(df.columns)
+    fresh.write.mode("append").parquet(path)
+
+
 def write_predictions(predictions: DataFrame, path: str, fold: str = "fold", mode: str = "overwrite") -> None:
     predictions.write.mode(mode).partitionBy(fold).parquet(path)
 

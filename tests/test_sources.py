@@ -4,6 +4,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from sensorgrid.operators import joins
 from sensorgrid.schemas import BME_COLUMNS, FEATURES, SDS_COLUMNS, SDS_RAW, STATION_COLUMNS
 from sensorgrid.sources import elevation, features, forecast, listing, readings, station, tables
 
@@ -149,3 +150,25 @@ def test_tables(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "c")).count() == 3
     tables.write_sensors(df, str(tmp_path / "s"))
     assert tables.read_sensors(spark, str(tmp_path / "s")).columns == df.columns
+
+
+def test_loads_store_a_key_once(spark, tmp_path):
+    """Repeated, overlapping and empty loads; copies inside a load; rows without a whole key."""
+    at = lambda h: dt.datetime(2021, 6, 1, h)
+    frame = lambda rows: spark.createDataFrame(rows, "sensor_id bigint, timestamp timestamp, v double, least string")
+    path = str(tmp_path / "t")
+    loads = [
+        [(1, at(1), 5.0, "b"), (1, at(1), 5.0, "a"), (1, at(1), 7.0, None), (2, at(1), None, "x"), (2, at(1), 1.0, "x"), (3, None, 1.0, "n")],
+        [(1, at(1), 0.0, "late"), (1, at(2), 2.0, "c"), (None, at(1), 9.0, "n"), (None, at(1), 9.0, "n")],
+        [],
+    ]
+    want = [(1, at(1), 5.0, "a"), (2, at(1), None, "x"), (3, None, 1.0, "n"), (1, at(2), 2.0, "c"), (None, at(1), 9.0, "n"), (None, at(1), 9.0, "n")]
+    for load in [*loads, loads[0][:5], loads[1][:2]]:
+        tables.append_new_rows(frame(load), path)
+    got = [tuple(r) for r in spark.read.parquet(path).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    only = spark.createDataFrame([(1, 1), (1, 1), (None, 2), (None, 2)], "a bigint, b bigint")
+    assert sorted(map(tuple, joins.one_per_key(only, ["a", "b"]).collect()), key=str) == [(1, 1), (None, 2), (None, 2)]
+    hot = frame([(1, at(1), float(k), "h") for k in range(500)])
+    plan = joins.one_per_key(hot, ["sensor_id", "timestamp"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan
