@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from sensorgrid.catalog.base import (
     altitudes,
+    dust,
     dust_hourly,
     ground,
     labelled,
+    meteo,
     meteo_hourly,
     pairs,
     query,
@@ -18,6 +20,7 @@ from sensorgrid.catalog.base import (
 )
 from sensorgrid.operators import joins, resample, sampling
 
+DUST = ["P1", "P2"]
 METEO = ["pressure", "temperature", "humidity"]
 WEATHER_SQL = "round(temp_meteo, 6) AS temp_meteo, round(pres_meteo, 6) AS pres_meteo, " \
     "round(hum_meteo, 6) AS hum_meteo, wind_direction, round(wind_speed, 6) AS wind_speed"
@@ -37,7 +40,10 @@ def colocated(spark, sf):
     "pairs dust_hourly meteo_hourly",
 )
 def paired_meteo(spark, sf):
-    return rounded(joins.attach_meteo(dust_hourly(spark, sf), meteo_hourly(spark, sf), pairs(spark, sf)))
+    """Gaps of the dust sensor are filled after the join; filled hours of the weather sensor have no values to join."""
+    dust_hours = resample.hourly_mean(dust(spark, sf), ["sds_sensor"], DUST, fill=False)
+    meteo_hours = resample.hourly_mean(meteo(spark, sf), ["bme_sensor"], METEO, fill=False)
+    return rounded(joins.attach_meteo(dust_hours, meteo_hours, pairs(spark, sf), METEO, fill=DUST))
 
 
 @query(

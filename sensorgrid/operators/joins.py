@@ -1,8 +1,9 @@
 """Equi-joins of readings, weather, sensor dimension, links and samples.
 
-No join here is hinted: small sides (sensor pairs, weather hours) are broadcast by
-adaptive execution after it has measured them, larger ones are sort-merged with
-skew handling.
+Small sides are broadcast by adaptive execution after it has measured them, larger ones
+are sort-merged with skew handling.  Rows that fill gaps come out of a generator, whose
+output Spark takes for as large as its input: joins of filled hours are hinted, so
+that those hours are never the side that is broadcast.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorgrid.config import STATION_ALTITUDE_M
 from sensorgrid.functions import scalar, text
+from sensorgrid.operators import resample
 from sensorgrid.operators.select import dust_sensors, meteo_sensors
 from sensorgrid.schemas import SENSOR_DIMENSION_COLUMNS
 
@@ -39,19 +41,64 @@ def attach_meteo(
     pairs: DataFrame,
     columns: Sequence[str] = ("pressure", "temperature", "humidity"),
     pair_columns: Sequence[str] = (),
+    fill: Sequence[str] = (),
 ) -> DataFrame:
     """Hourly dust of every pair, left-joined with the hourly weather sensor of the pair.
 
-    ``pair_columns`` are taken over from ``pairs`` by the same join.
+    ``pair_columns`` are taken over from ``pairs`` by the same join.  With ``fill``, the value
+    columns of ``dust_hourly``, the hours missing between a dust sensor's first and last one
+    appear as well, and both frames hold one row per sensor and hour, as ``hourly_mean(fill=False)``
+    gives them; filling after the join keeps the filled hours out of its shuffles.
     """
-    paired = dust_hourly.join(pairs.select("sds_sensor", "bme_sensor", *pair_columns), "sds_sensor")
+    if fill:
+        return _attach_meteo_and_fill(dust_hourly, meteo_hourly, pairs, fill, columns, pair_columns)
+    paired = dust_hourly.hint("merge").join(pairs.select("sds_sensor", "bme_sensor", *pair_columns), "sds_sensor")
     meteo = meteo_hourly.select("bme_sensor", "hour", *columns)
-    return paired.join(meteo, ["bme_sensor", "hour"], "left")
+    return paired.join(meteo.hint("merge"), ["bme_sensor", "hour"], "left")
+
+
+def _attach_meteo_and_fill(
+    dust_hourly: DataFrame,
+    meteo_hourly: DataFrame,
+    pairs: DataFrame,
+    values: Sequence[str],
+    columns: Sequence[str],
+    pair_columns: Sequence[str],
+) -> DataFrame:
+    """Hours of either sensor of a pair side by side, dealt once by pair, and filled there.
+
+    Weather hours outside the dust sensor's first and last hour are dropped; those inside
+    one of its gaps are hours that filling would have added.
+    """
+    pair = F.struct("sds_sensor", "bme_sensor").alias("_pair")  # structs are equal where both ids are null
+    known = pairs.select("sds_sensor", "bme_sensor").distinct()
+    own = dust_hourly.join(known, "sds_sensor").select(pair, "hour", *values, F.col("hour").alias("_own"))
+    paired = meteo_hourly.join(known, "bme_sensor").select(pair, "hour", *columns)
+    hours = own.unionByName(paired, allowMissingColumns=True).filter(F.col("hour").isNotNull()).repartition("_pair")
+    # The dust row of an hour comes first and takes over the values of the weather row behind it.
+    per_pair = Window.partitionBy("_pair")
+    by_hour = per_pair.orderBy("hour", F.col("_own").asc_nulls_last())
+    taken = F.col("_own").isNotNull() & (F.col("hour") == F.lead("hour").over(by_hour))
+    inside = (
+        hours.withColumns({c: F.when(taken, F.lead(c).over(by_hour)).otherwise(F.col(c)) for c in columns} | {
+            "_over": F.col("_own").isNull() & F.coalesce(F.col("hour") == F.lag("hour").over(by_hour), F.lit(False)),
+            "_first": F.min("_own").over(per_pair),
+            "_last": F.max("_own").over(per_pair),
+        })
+        .filter(~F.col("_over") & F.col("hour").between(F.col("_first"), F.col("_last")))
+    )
+    described = pairs.select(pair, "sds_sensor", "bme_sensor", *pair_columns)
+    spans = resample.hour_spans(inside, ["_pair"]).join(described, "_pair")
+    names = ["bme_sensor", "hour", "sds_sensor", *values, *pair_columns, *columns]
+    return resample.explode_spans(spans, ["bme_sensor", "sds_sensor", *pair_columns], [*values, *columns]).select(*names)
 
 
 def attach_weather(readings: DataFrame, weather: DataFrame, hour: str = "hour") -> DataFrame:
-    """Left join of hourly station weather."""
-    return readings.join(weather, hour, "left")
+    """Left join of hourly station weather.
+
+    ``weather`` is broadcast: one row per hour of a station, 8,784 a year, whatever the readings.
+    """
+    return readings.join(F.broadcast(weather), hour, "left")
 
 
 def attach_dimension(

@@ -46,13 +46,23 @@ def fill_hours(hourly: DataFrame, keys: Sequence[str], values: Sequence[str], ho
     Each row spans the hours up to the next one of its key, so no separate grid
     is built and joined.
     """
+    return explode_spans(hour_spans(hourly, keys, hour), keys, values, hour)
+
+
+def hour_spans(hourly: DataFrame, keys: Sequence[str], hour: str = "hour") -> DataFrame:
+    """Rows with ``_last``, the hour before the next row of the key; :func:`explode_spans` makes them rows by hour.
+
+    Joins that need no filled hours go between the two, on rows Spark knows the size of.
+    """
     key_window = Window.partitionBy(*keys).orderBy(hour) if keys else Window.orderBy(hour)
-    one_hour = F.expr("interval 1 hour")
-    spans = hourly.withColumn(
-        "_last", F.coalesce(F.lead(hour).over(key_window) - one_hour, F.col(hour))
-    ).withColumn("_slot", F.explode(F.sequence(F.col(hour), F.col("_last"), one_hour)))
+    return hourly.withColumn("_last", F.coalesce(F.lead(hour).over(key_window) - F.expr("interval 1 hour"), F.col(hour)))
+
+
+def explode_spans(spans: DataFrame, keys: Sequence[str], values: Sequence[str], hour: str = "hour") -> DataFrame:
+    """One row per hour of every span: ``keys`` in all of them, ``values`` in the first."""
+    slots = spans.withColumn("_slot", F.explode(F.sequence(F.col(hour), F.col("_last"), F.expr("interval 1 hour"))))
     own = F.col("_slot") == F.col(hour)
-    return spans.select(
+    return slots.select(
         *keys,
         F.col("_slot").alias(hour),
         *[F.when(own, F.col(v)).alias(v) for v in values],

@@ -1,11 +1,12 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from sensorgrid.accessor import spat
 from sensorgrid.config import DISCOVERY_BOX, Roles
-from sensorgrid.operators import aggregates, folds, joins, sampling, select
+from sensorgrid.operators import aggregates, folds, joins, resample, sampling, select
 
 
 @pytest.fixture(scope="module")
@@ -168,3 +169,54 @@ def test_grid_is_half_open(spark):
     assert got == {(0.0, 0.0), (0.025, 0.0), (0.0, 0.0125), (0.025, 0.0125)}
     point = spark.createDataFrame([(1.0, 1.0, 1.0, 1.0)], "lon_min double, lon_max double, lat_min double, lat_max double")
     assert joins.map_grid(point).count() == 0
+
+
+def moved_after_filling(df):
+    """Lines of the plan that move rows out of a generator: over the network or to the driver and back."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(re.match(r"[ :+*-]*(\(\d+\) )?", line).group(0).split("(")[0].rstrip("* ")) for line in lines]
+    found = []
+    for k, line in enumerate(lines):
+        below = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))
+        if "Exchange" in line and any("Generate" in under for under in lines[k + 1:below]):
+            found.append(line.strip())
+    return found
+
+
+@pytest.fixture(scope="module")
+def gappy(spark):
+    """Dust and weather readings with gaps, in and out of each other's hours, and pairs: two partners, a copy, unknown ids."""
+    t = dt.datetime(2021, 1, 1)
+    dust = [(1, 0, 1.0), (1, 0, 2.0), (1, 5, 3.0), (1, 6, None), (2, 3, 4.0), (3, 1, 5.0), (3, 30, 6.0), (None, 2, 7.0), (4, 0, 8.0)]
+    meteo = [(10, 1, 1.0), (10, 5, 2.0), (10, 9, 3.0), (11, 0, 4.0), (11, 4, None), (11, 6, 6.0), (12, 3, 7.0), (None, 3, 8.0), (12, 90, 9.0)]
+    pairs = [(1, 10, 1.5), (1, 11, 2.5), (2, 12, 3.5), (2, 12, 4.5), (3, None, 5.5), (3, 12, None), (None, 10, 6.5), (9, 11, 7.5)]
+    at = lambda rows: [(i, t + dt.timedelta(hours=h, minutes=7 * k), v) for k, (i, h, v) in enumerate(rows)]
+    return (
+        spark.createDataFrame(at(dust), "sds_sensor bigint, ts timestamp, P1 double"),
+        spark.createDataFrame(at(meteo), "bme_sensor bigint, ts timestamp, pressure double"),
+        spark.createDataFrame(pairs, "sds_sensor bigint, bme_sensor bigint, lat double"),
+    )
+
+
+def test_filling_after_the_pairing_gives_the_same_rows(gappy):
+    dust, meteo, pairs = gappy
+    d, m = resample.hourly_mean(dust, ["sds_sensor"]), resample.hourly_mean(meteo, ["bme_sensor"])
+    filled_first = joins.attach_meteo(d, m, pairs, ["pressure"], ["lat"])
+    plain = d.join(pairs, "sds_sensor").join(m, ["bme_sensor", "hour"], "left").select(filled_first.columns)
+    d, m = resample.hourly_mean(dust, ["sds_sensor"], fill=False), resample.hourly_mean(meteo, ["bme_sensor"], fill=False)
+    filled_last = joins.attach_meteo(d, m, pairs, ["pressure"], ["lat"], ["P1"])
+    assert filled_last.columns == filled_first.columns
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(filled_last) == rows(filled_first) == rows(plain)
+    assert plain.count() == 7 * 2 + 2 + 30 * 2
+
+
+def test_filled_hours_are_neither_broadcast_nor_shuffled(spark, sf, gappy):
+    import __spark_entry__ as entry
+
+    assert moved_after_filling(entry.queries()["j2_dust_with_paired_meteo"](spark, sf)) == []
+    dust, meteo, pairs = gappy
+    joined = joins.attach_meteo(
+        resample.hourly_mean(dust, ["sds_sensor"]), resample.hourly_mean(meteo, ["bme_sensor"]), pairs, ["pressure"]
+    )
+    assert not [line for line in moved_after_filling(joined) if "Broadcast" in line]
