@@ -27,6 +27,7 @@ from sensorgrid.session import stored
 BITS = 4  # 16 x 16 children per node
 BROADCAST_LEVELS = 2  # at most 256 ** 2 = 65,536 nodes per kind, about 5 MB
 MAX_LEVELS = 7  # 100 km / 16 ** 7 = 0.4 mm; cell numbers of an axis fit into 31 bits
+WALK_ROWS = 1 << 19  # rows a task sorts for one level of the walk, at a full fan-out of one node per place and kind
 LEAF_ROWS = 64  # the tree is deepened until no leaf holds more features
 
 
@@ -110,11 +111,13 @@ def nearest_distances(
         partition_by="level",
     )
 
-    # Places are spread once, by a whole-number key; every window below keeps to it.
+    # Places are spread once, by a whole-number key; every window below keeps to it.  Their few bytes say nothing
+    # of the rows they fan out to, so the number of tasks follows from their count.
+    spots = stored(places.select("x", "y").na.drop().distinct(), "places")
+    fan_out = spots.count() * len(kinds) << (2 * BITS)
     walk = (
-        places.select("x", "y").na.drop().distinct()
-        .withColumn("place", F.xxhash64("x", "y"))
-        .repartition("place")
+        spots.withColumn("place", F.xxhash64("x", "y"))
+        .repartition(max(spots.sparkSession.sparkContext.defaultParallelism, -(-fan_out // WALK_ROWS)), "place")
         .withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
         .withColumn("node", F.lit(0).cast("bigint"))
     )

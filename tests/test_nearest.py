@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +44,18 @@ def test_tree_equals_brute_force(spark, levels):
         assert np.isnan(r.none) or r.none is None
 
 
+def test_more_places_walk_in_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "WALK_ROWS", 4 * 256)
+    p = spark.range(500).select((F.col("id") % 100).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    f = spark.createDataFrame([("g", 3.0, 4.0, 3.0, 4.0)], "kind string, ax double, ay double, bx double, by double")
+    out = nearest.nearest_distances(p, f, ["g"])
+    # 100 places of one kind, four to a task; adaptive execution may not merge tasks of a given number.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(place#\d+L, 25\), REPARTITION_BY_NUM", plan)
+    got = {r["x"]: r["g"] for r in out.collect()}
+    assert len(got) == 100 and got[3.0] == 4.0 and got[0.0] == 5.0
+
+
 def test_single_feature_and_golden_point(spark):
     f = spark.createDataFrame(
         [("g", 0.0, 1.45, 0.0, 1.45), ("g", 2.0, 2.0, 2.0, 2.0), ("g", 0.0, 2.5, 0.0, 2.5)],
