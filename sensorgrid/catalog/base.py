@@ -174,7 +174,9 @@ def ground(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def altitudes(spark: SparkSession, sf: str) -> DataFrame:
-    return pressure_altitude(meteo_hourly(spark, sf), weather_hourly(spark, sf))
+    """Hours without readings have no pressure and do not move a median, so they are not filled in."""
+    hours = hourly_mean(meteo(spark, sf), ["bme_sensor"], ["pressure", "temperature", "humidity"], fill=False)
+    return pressure_altitude(hours, weather_hourly(spark, sf))
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:

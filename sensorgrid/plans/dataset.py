@@ -55,13 +55,13 @@ def hourly_dataset(
 ) -> DataFrame:
     """Sensor x hour facts: dust, paired weather sensor, dimension, station weather.
 
-    Readings are reduced to hours before the first join; all joins run on rows per
-    sensor and hour.  ``dust`` has ``sds_sensor``, ``meteo`` has ``bme_sensor``.
+    Readings are reduced to hours before the first join, and gaps are filled after the
+    last shuffle.  ``dust`` has ``sds_sensor``, ``meteo`` has ``bme_sensor``.
     """
-    dust_hourly = resample.hourly_mean(dust, ["sds_sensor"], DUST_VALUES, ts)
+    dust_hourly = resample.hourly_mean(dust, ["sds_sensor"], DUST_VALUES, ts, fill=False)
     meteo_hourly = resample.hourly_mean(meteo, ["bme_sensor"], METEO_VALUES, ts, fill=False)
     described = [c for c in SENSOR_DIMENSION_COLUMNS if c != "sds_sensor"]
-    facts = joins.attach_meteo(dust_hourly, meteo_hourly, sensors, pair_columns=described)
+    facts = joins.attach_meteo(dust_hourly, meteo_hourly, sensors, pair_columns=described, fill=DUST_VALUES)
     weather_columns = [c for c in WEATHER_COLUMNS if c in weather.columns]
     facts = joins.attach_weather(facts, weather.select("hour", *weather_columns))
     return facts.select(

@@ -3,12 +3,16 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from sensorgrid.config import Roles
 from sensorgrid.model import trainer
 from sensorgrid.operators import resample
 from sensorgrid.plans import dataset, discovery, loading
 from sensorgrid.schemas import SDS_COLUMNS, SDS_RAW
 from sensorgrid.streaming import hourly, ingest, online
+from test_select_join_fold import moved_after_filling
+
+QUERIES = entry.queries()
 
 T = dt.datetime
 
@@ -35,6 +39,14 @@ def test_hourly_dataset_columns_and_pairs(spark):
     assert {r["nearest_park"] for r in got[3:]} == {2.0}
 
 
+def test_dataset_moves_no_filled_hours(spark, sf):
+    plan = QUERIES["a2_pressure_altitude"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1  # the hours of the station; filled hours of sensors have no pressure
+    df = QUERIES["p2_hourly_dataset"](spark, sf)
+    assert [line for line in moved_after_filling(df) if "BroadcastExchange" not in line] == []
+    assert len(moved_after_filling(df)) == 1  # the hours of the station
+
+
 def test_discovery_golden(spark):
     day = dt.date(2019, 12, 2)
     html = "".join(f'<a href="2019-12-02{s}">f</a>' for s in ("", "_csv1", "_csv2", "_csv3", "_csv4_indoor"))
