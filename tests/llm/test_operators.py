@@ -1,6 +1,7 @@
 """The numbered operators against brute force, and their defined results on odd rows."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -343,6 +344,53 @@ def test_top_products(spark):
     assert topk.top_products(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def check_top_products(spark, rows, k=5):
+    """The rows of the search against brute force over whole numbers of any length."""
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in topk.top_products(df, F.col("vec_id") % 50 == 0, k=k).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and None not in v]
+    want = {}
+    for q, a in whole:
+        for i, b in whole:
+            if q % 50 == 0 and i != q and len(a) == len(b):
+                score = max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b))))
+                best = want.setdefault(q, {})
+                best[i] = max(score, best.get(i, score))
+    assert got == {q: sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k] for q, best in want.items()}
+
+
+def test_queries_are_not_broadcast(spark):
+    """Blocks of queries for all parts are shuffled: they grow with the square of the table, and Spark sees those for one part alone."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(k, rng.normal(0, 0.2, 8).tolist()) for k in range(3000)], "vec_id bigint, embedding array<double>")
+    found = topk.top_products(df, F.col("vec_id") % 50 == 0)
+    assert len(found.collect()) == 300
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Generate explode" in plan
+    assert "Broadcast" not in plan and "Join" not in plan
+
+
+def test_top_products_over_many_parts_and_blocks(spark, monkeypatch):
+    """Results do not follow from how vectors are dealt: ids with several vectors, several lengths, ties, numbers of any length."""
+    for name, value in (("CHUNK", 16), ("BLOCK", 4), ("PART_BYTES", 2000), ("BLOCK_VALUES", 30)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(10)
+    rows = [(int(i), rng.normal(0, 0.3, n).tolist()) for n, ids in ((6, range(0, 600, 2)), (9, range(0, 300, 3))) for i in ids]
+    rows += [(50 * int(i), rng.normal(0, 0.3, 6).tolist()) for i in rng.integers(0, 4, 40)] + [(7, v) for _, v in rows[:60]]
+    rows += [(i, [0.25] * 6) for i in range(700, 760)] + rows[:20] + [(None, [0.1] * 6), (50, None), (100, [None] * 6)]
+    check_top_products(spark, rows)
+    check_top_products(spark, rows, k=1)
+    check_top_products(spark, [(i, (rng.normal(size=3) * 10.0 ** (i % 5 * 3)).tolist()) for i in range(250)])
+
+
+def test_top_products_of_empty_and_far_vectors(spark):
+    """Vectors without components have the product 0; products under 64 bits are equal once cut, so the smaller id counts."""
+    check_top_products(spark, [(0, []), (1, []), (50, []), (2, [1.0])])
+    check_top_products(spark, [(300, [-1e15, 1.0])] + [(200 - i, [1e15 + i * 1e9, 1.0]) for i in range(1, 150)])
+
+
 @pytest.mark.parametrize("module, label, better", [(toxicity, "toxic", 0.9), (quality, "quality", 0.9)])
 def test_classifiers(spark, module, label, better):
     rng = np.random.default_rng(6)
